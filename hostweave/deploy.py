@@ -1,0 +1,21 @@
+"""Shipping this package to the executors, for the sources that run Python there."""
+
+import os
+import shutil
+import tempfile
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Adds the package to the application's Python files, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    parent, package = os.path.split(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="hostweave-"), package)
+    archive = shutil.make_archive(target, "zip", root_dir=parent, base_dir=package)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

@@ -1,0 +1,19 @@
+"""Join sides of a checked size."""
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` narrow rows.
+
+    For aggregates, whose size Spark cannot estimate beforehand. They are computed once
+    here, reading no more than ``max_rows + 1`` rows; within the limit the rows come back
+    as a local table. Beyond it ``df`` is returned as it is and joins by shuffle, where
+    adaptive execution splits skewed partitions.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
