@@ -7,6 +7,7 @@ cannot hold it (batch and byte position).
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.operators.ranking import TAIL_ROWS, newest_n_counted, top_n_per_group
+from hostweave.operators.sides import bounded_side
 
 ARRIVAL = ["id"]
 LOG_KEY = ["node_name", "log_name"]
@@ -54,7 +55,9 @@ def keep_last_per_spec(
     Lines of logs without a specification are not kept: only configured logs are held.
     The largest ``max_lines`` is looked up first, so that rows beyond it never travel.
     """
-    limits = specs.select("node_name", F.col("name").alias("log_name"), "max_lines")
+    limits = bounded_side(
+        specs.select("node_name", F.col("name").alias("log_name"), "max_lines")
+    )
     largest = limits.agg(F.max("max_lines")).first()[0]
     newest_first = [F.col(c).desc() for c in order]
     kept = top_n_per_group(

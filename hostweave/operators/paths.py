@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.globs import any_path_element_regex
 from hostweave.operators.ranking import top_n_per_group
+from hostweave.operators.sides import bounded_side
 
 SCAN_TIMEOUT_TEXT = "scan timeout exceeded"
 
@@ -34,16 +35,33 @@ def under_roots(inventory: DataFrame, roots: DataFrame) -> DataFrame:
     """Inventory rows paired with every root at or above them.
 
     Prefix containment as an equi-join: each path is exploded into its ancestors and
-    looked up by (node, ancestor). Root tables below Spark's broadcast threshold join
-    without a shuffle; larger ones shuffle, with adaptive skew splitting. Adds the roots'
-    columns (their path as ``root``) and ``rel``, the path below the root.
+    looked up by (node, ancestor). Roots within :func:`bounded_side`'s limit are broadcast,
+    so that the exploded rows are never shuffled; more of them join by shuffle, with
+    adaptive skew splitting. Adds the roots' columns (their path as ``root``) and ``rel``,
+    the path below the root.
     """
-    keyed = roots.withColumn("_root", containment_key(F.col("root")))
+    keyed = bounded_side(roots.withColumn("_root", containment_key(F.col("root"))))
     exploded = inventory.withColumn("_root", F.explode(ancestors(F.col("path"), True)))
     rel = F.substr(F.col("path"), F.length("_root") + 2)
     return exploded.join(keyed, ["node_name", "_root"]).withColumn("rel", rel).drop("_root")
 
 
+def limit_depth(pairs: DataFrame) -> DataFrame:
+    """Rows of :func:`under_roots` no deeper than their root's ``max_depth`` (0: no limit)."""
+    return pairs.filter(within_depth(F.col("path"), F.col("root"), F.col("max_depth")))
+
+
+def not_excluded(rel: Column, regex: Column) -> Column:
+    """No element of ``rel``, the entry's own name included, matches; NULL excludes nothing."""
+    return F.when(regex.isNull(), F.lit(True)).otherwise(~F.rlike(rel, regex))
+
+
+def exclude_paths(pairs: DataFrame, exclude: str = "exclude") -> DataFrame:
+    """Rows of :func:`under_roots` without those an exclude pattern of their root prunes."""
+    regex = any_path_element_regex(F.col(exclude))
+    return pairs.filter(not_excluded(F.col("rel"), regex))
+
+
 def path_counts(inventory: DataFrame, specs: DataFrame) -> DataFrame:
     """Files and directories below each specified root, after depth and excludes.
 
@@ -60,7 +78,7 @@ def path_counts(inventory: DataFrame, specs: DataFrame) -> DataFrame:
     counted = (
         (F.col("rel") != "")
         & within_depth(F.col("path"), F.col("root"), F.col("max_depth"))
-        & F.when(F.col("_exclude").isNull(), True).otherwise(~F.rlike("rel", F.col("_exclude")))
+        & not_excluded(F.col("rel"), F.col("_exclude"))
     )
     counts = (
         pairs.withColumn("_counted", counted)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.clock import MICROS, micros
 from hostweave.functions.globs import any_process_glob, any_process_glob_of
+from hostweave.operators.sides import bounded_side
 
 
 def match_any_glob(processes: DataFrame, patterns: list[str], column: str = "name") -> DataFrame:
@@ -18,8 +19,8 @@ def match_spec_globs(processes: DataFrame, specs: DataFrame) -> DataFrame:
     The patterns of a node become one regex, so this is an equi-join on the node and
     not a join on the match. Nodes without a specification keep all rows.
     """
-    compiled = specs.select(
-        "node_name", "top_n", any_process_glob(F.col("patterns")).alias("_regex")
+    compiled = bounded_side(
+        specs.select("node_name", "top_n", any_process_glob(F.col("patterns")).alias("_regex"))
     )
     joined = processes.join(compiled, "node_name", "left")
     keep = F.col("_regex").isNull() | F.rlike(F.col("name"), F.col("_regex"))

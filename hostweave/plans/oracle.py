@@ -1,5 +1,7 @@
 """The registered queries in DuckDB SQL, written from the semantics alone."""
 
+import re
+
 # Derived tables, by name; each may use the ones before it.
 _TABLES = {
     "fs": """
@@ -153,6 +155,9 @@ _QUERIES = {
     "fs_summary_by_node": f"""SELECT *, {_SEVERITY} AS severity
 FROM (SELECT node_name, {_SUMMARY} FROM fs_last GROUP BY node_name)""",
     "fs_severity": f"SELECT seq, {_SEVERITY} AS severity FROM fs",
+    "fs_read_landed": "SELECT * FROM fs",
+    "mount_real_disks": """SELECT pos, device, CASE p_type WHEN 'SMALL' THEN 'overlay' ELSE 'ext4' END AS fstype
+FROM mounts WHERE real AND p_type <> 'PROMO'""",
     "mount_parse": _MOUNTS.format(good="real AND p_type NOT IN ('PROMO')", mount="mount_point"),
     "mount_parse_bsd": _MOUNTS.format(good="real", mount="mount_point || ' on (x)'"),
     "mount_first_device": _MOUNTS.format(
@@ -186,6 +191,9 @@ FROM (SELECT node_name, pid, collected_at, c, lag(c) OVER s AS p, epoch_us(colle
     "runtime_sec": """SELECT node_name, pos, CASE WHEN event_id % 3 = 2 THEN event_id % 9 * 86400 ELSE 0 END
   + CASE WHEN event_id % 3 >= 1 THEN event_id % 24 * 3600 ELSE 0 END + event_id % 60 * 60 + event_id % 59 AS runtime_sec FROM ps""",
     "log_lines": "SELECT * FROM loglines",
+    "log_read_files": """SELECT node_name, log_name, line, reader FROM loglines
+CROSS JOIN (VALUES ('text'), ('tail')) r(reader)""",
+    "log_by_name": "SELECT id, line FROM loglines WHERE log_name = 'src5'",
     "log_tail_one": "SELECT id, line FROM loglines WHERE log_name = 'src3' ORDER BY id DESC LIMIT 50",
     "log_tail_all": "SELECT id, log_name, line FROM loglines ORDER BY id DESC LIMIT 200",
     "log_keep_last_n": _KEEP_20,
@@ -194,11 +202,11 @@ QUALIFY row_number() OVER (PARTITION BY node_name, log_name ORDER BY id DESC) <=
   CASE WHEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 > 0 THEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 ELSE 1000 END""",
     "log_search": r"SELECT id, line FROM loglines WHERE regexp_matches(line, '[0-9]{3}.*\.$')",
     "log_line_counts": "SELECT node_name, log_name, count(*) AS line_count FROM loglines GROUP BY ALL",
-    "log_files": f"""SELECT *, {_FILE_SIZE.replace('n < ', 'size < ').replace('n::', 'size::').replace('n = 0', 'size = 0').replace("THEN n ||", "THEN size ||")} AS size_text,
+    "log_files": f"""SELECT * EXCLUDE (n), n AS size, {_FILE_SIZE} AS size_text,
   coalesce(strftime(mod_time, '%Y-%m-%d %H:%M:%S'), '-') AS time_text
 FROM (SELECT f.node_name, 'log' || page_id AS name, w AS path,
     CASE WHEN page_id % 3 = 0 THEN 1000 ELSE page_id % 3 * 100 END::INTEGER AS max_lines,
-    coalesce(i.size, 0) AS size, i.mtime AS mod_time
+    coalesce(i.size, 0) AS n, i.mtime AS mod_time
   FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN path || '.gone' ELSE path END AS w FROM files) f
   LEFT JOIN inventory i ON NOT i.is_dir AND i.node_name = f.node_name AND i.path = f.w)""",
     "retention": """SELECT id, created_at FROM loglines WHERE created_at >= TIMESTAMP '2024-01-23 10:07:30'
@@ -208,6 +216,9 @@ QUALIFY row_number() OVER (PARTITION BY log_name ORDER BY id DESC) <= 100""",
     "path_counts": _COUNTS.format(kept="true"),
     "path_counts_depth": _COUNTS.format(kept=_DEPTH),
     "path_counts_exclude": _COUNTS.format(kept=f"{_DEPTH} AND {_EXCLUDE}"),
+    "path_under_roots": "SELECT node_name, path AS root, entry AS path, rel FROM below",
+    "path_limit_depth": f"SELECT node_name, path AS root, entry AS path FROM below WHERE {_DEPTH}",
+    "path_exclude": f"SELECT node_name, path AS root, entry AS path FROM below WHERE {_EXCLUDE}",
     "path_scan_status": """SELECT path, file_count,
   CASE WHEN scan_duration_ms > 30000 OR error_message <> '' THEN 'ERROR' ELSE 'OK' END AS status,
   CASE WHEN scan_duration_ms > 30000 THEN 'scan timeout exceeded' ELSE error_message END AS error_message FROM stats""",
@@ -303,7 +314,7 @@ spec AS (SELECT job_id,
     WHEN 6 THEN '0 0 29 2 *' ELSE CASE WHEN c % 16 = 7 THEN '@daily' ELSE '61 x * * *' END END AS schedule,
   CASE k WHEN 0 THEN [0, 15, 30, 45] WHEN 1 THEN [c % 60] WHEN 3 THEN [c % 60] WHEN 4 THEN [5, 35] ELSE [0] END AS minutes,
   CASE k WHEN 0 THEN range(0, 24) WHEN 1 THEN [c % 24] WHEN 3 THEN [6] WHEN 4 THEN [8, 10, 12, 14, 16, 18] WHEN 5 THEN [12] ELSE [0] END AS hours,
-  CASE k WHEN 2 THEN 'd.day = ' || (c % 28 + 1) WHEN 3 THEN 'dow' ELSE '' END AS unused, k, c FROM jobs),
+  k, c FROM jobs),
 kinds AS (SELECT DISTINCT schedule, minutes, hours, k,
   CASE k WHEN 2 THEN c % 28 + 1 WHEN 3 THEN c % 7 WHEN 4 THEN c % 12 + 1 WHEN 7 THEN c % 16 ELSE 0 END AS v FROM spec),
 days AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2032-03-01', INTERVAL 1 DAY)) AS d),
@@ -311,9 +322,9 @@ fits AS (SELECT schedule, minutes, hours, d FROM kinds JOIN days ON CASE k WHEN
   WHEN 4 THEN month(d) = v WHEN 5 THEN day(d) = 13 OR dayofweek(d) = 5 WHEN 6 THEN day(d) = 29 AND month(d) = 2
   WHEN 7 THEN v = 7 ELSE true END
   QUALIFY row_number() OVER (PARTITION BY schedule ORDER BY d) <= 2),
-runs AS (SELECT schedule, d + to_minutes(h * 60 + m) AS at FROM (
+runs AS (SELECT schedule, d + to_minutes(h * 60 + m) AS run_at FROM (
   SELECT schedule, d, minutes, unnest(hours) AS h FROM fits), (SELECT unnest(range(0, 60)) AS m) WHERE list_contains(minutes, m)),
-next AS (SELECT schedule, min(at) AS next_run FROM runs WHERE at > TIMESTAMP '2024-01-30 10:07:30' GROUP BY schedule)
+next AS (SELECT schedule, min(run_at) AS next_run FROM runs WHERE run_at > TIMESTAMP '2024-01-30 10:07:30' GROUP BY schedule)
 SELECT job_id, schedule, next_run FROM spec LEFT JOIN next USING (schedule)""",
     "node_health": """SELECT node_name, last_seen, samples, age AS age_sec, CASE WHEN age > 3600 THEN 'stale' ELSE 'ok' END AS status
 FROM (SELECT node_name, max(collected_at) AS last_seen, count(*) AS samples,
@@ -328,22 +339,17 @@ FROM (SELECT node_name, max(collected_at) AS last_seen, count(*) AS samples,
 
 
 def _with_tables(sql: str) -> str:
-    """The query below the derived tables it needs, in order."""
-    needed, text = [], sql
+    """The query with the derived tables it needs in front, in order."""
+    needed: list[str] = []
     for name in reversed(_TABLES):
-        if any(f"{word} {name}{end}" in text.replace("\n", " ") for word in ("FROM", "JOIN") for end in " );,"):
-            needed.insert(0, name)
-            text += _TABLES[name] + " "
-        elif text.rstrip().endswith((f"FROM {name}", f"JOIN {name}")):
+        users = [sql, *(_TABLES[n] for n in needed)]
+        if any(re.search(rf"\b(FROM|JOIN) {name}\b", text) for text in users):
             needed.insert(0, name)
-            text += _TABLES[name] + " "
-    head = ",\n".join(f"{name} AS ({_TABLES[name].strip()})" for name in needed)
-    if not head:
+    if not needed:
         return sql
-    sql = sql.strip()
-    if sql.startswith("WITH "):
-        return f"WITH {head},\n{sql[len('WITH '):]}"
-    return f"WITH {head}\n{sql}"
+    head = ",\n".join(f"{name} AS ({_TABLES[name].strip()})" for name in needed)
+    own = re.match(r"\s*WITH ", sql)
+    return f"WITH {head},\n{sql[own.end():]}" if own else f"WITH {head}\n{sql.strip()}"
 
 
 def oracle_sql() -> dict[str, str]:

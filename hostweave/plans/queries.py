@@ -5,7 +5,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostweave.deploy import ship_package
 from hostweave.functions import formatting as fmt, severity as sev
 from hostweave.functions.process import process_state, runtime_seconds
 from hostweave.operators import jsonrows, logs, paging, paths, processes, ranking, summary
@@ -13,9 +12,15 @@ from hostweave.operators.latest import current_snapshot, last_per_pid, latest_by
 from hostweave.operators.schedule import expected_runs
 from hostweave.plans.bindings import Bindings
 from hostweave.sources import specs
-from hostweave.sources.filesystems import fs_samples_from_counters, parse_mount_captures
+from hostweave.sources.filesystems import (
+    exclude_pseudo_fs,
+    fs_samples_from_counters,
+    only_block_devices,
+    parse_mount_captures,
+    read_fs_samples,
+)
 from hostweave.sources.inventory import scan_file_tree
-from hostweave.sources.logs import log_file_info
+from hostweave.sources.logs import log_file_info, read_log_files
 from hostweave.sources.processes import parse_ps_captures
 from hostweave.sources.transfers import list_transfers, parse_transfer_log
 from hostweave.streaming import feeds, sinks
@@ -93,6 +98,23 @@ def fs_severity(b: Bindings) -> DataFrame:
     return _samples(b).select("seq", sev.severity_percent(F.col("used_percent")).alias("severity"))
 
 
+@_query
+def fs_read_landed(b: Bindings) -> DataFrame:
+    """Counters landed as JSON and read back."""
+    landed = fresh_dir(b.spark, "landed")
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    b.fs_counters().write.option("timestampNTZFormat", micros).json(landed)
+    return read_fs_samples(b.spark, landed)
+
+
+@_query
+def mount_real_disks(b: Bindings) -> DataFrame:
+    """The two mount filters on their own."""
+    fields = F.split("line", r"\s+")
+    split = b.mount_lines("linux").select("pos", fields[0].alias("device"), F.get(fields, F.lit(2)).alias("fstype"))
+    return only_block_devices(exclude_pseudo_fs(split))
+
+
 @_query
 def mount_parse(b: Bindings) -> DataFrame:
     return parse_mount_captures(b.mount_lines("linux"))
@@ -206,6 +228,24 @@ def log_lines(b: Bindings) -> DataFrame:
     return b.log_lines()
 
 
+@_query
+def log_read_files(b: Bindings) -> DataFrame:
+    """Texts landed as files and read whole, through both readers."""
+    root = fresh_dir(b.spark, "logs")
+    b.log_texts().select("node_name", "log_name", F.col("text").alias("value")).write.partitionBy(
+        "node_name", "log_name"
+    ).text(root)
+    columns = ["node_name", "log_name", "line"]
+    by_spark = read_log_files(b.spark, root).select(*columns, F.lit("text").alias("reader"))
+    by_tail = feeds.read_whole_logs(b.spark, f"{root}/node_name=*/log_name=*/part-*")
+    return by_spark.unionByName(by_tail.select(*columns, F.lit("tail").alias("reader")))
+
+
+@_query
+def log_by_name(b: Bindings) -> DataFrame:
+    return logs.filter_by_name(b.log_lines(), "src5").select("id", "line")
+
+
 @_query
 def log_tail_one(b: Bindings) -> DataFrame:
     return logs.tail_log(b.log_lines(), "src3", 50).select("id", "line")
@@ -289,6 +329,27 @@ def path_counts_exclude(b: Bindings) -> DataFrame:
     return paths.path_counts(b.path_inventory(), b.path_specs(depth=True, exclude=True))
 
 
+def _root_pairs(b: Bindings) -> DataFrame:
+    roots = b.path_specs(depth=True, exclude=True).withColumnRenamed("path", "root")
+    inventory = b.path_inventory().select("node_name", "path", "is_dir")
+    return paths.under_roots(inventory, roots).filter(F.col("rel") != "")
+
+
+@_query
+def path_under_roots(b: Bindings) -> DataFrame:
+    return _root_pairs(b).select("node_name", "root", "path", "rel")
+
+
+@_query
+def path_limit_depth(b: Bindings) -> DataFrame:
+    return paths.limit_depth(_root_pairs(b)).select("node_name", "root", "path")
+
+
+@_query
+def path_exclude(b: Bindings) -> DataFrame:
+    return paths.exclude_paths(_root_pairs(b)).select("node_name", "root", "path")
+
+
 @_query
 def path_scan_status(b: Bindings) -> DataFrame:
     scans = b.path_stats().select(
@@ -368,7 +429,6 @@ def directory_sizes(b: Bindings) -> DataFrame:
 @_query
 def inventory_scan(b: Bindings) -> DataFrame:
     """Writes the documents as a directory tree and walks it."""
-    ship_package(b.spark)
     root = fresh_dir(b.spark, "tree")
     b.table("documents").select("source", "lang", "doc_id").write.partitionBy(
         "source", "lang"
@@ -556,7 +616,6 @@ def stream_trim(b: Bindings) -> DataFrame:
 @_query
 def stream_tail_replay(b: Bindings) -> DataFrame:
     """Log files grow in two steps and are tailed from one checkpoint."""
-    ship_package(b.spark)
     work = fresh_dir(b.spark, "tail")
     texts = b.log_texts()
     for half in range(2):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hostweave import schemas
+from hostweave.sources.registry import register_source
 
 FORMAT = "file_tree"
 _COLUMNS = ("node_name", "path", "is_dir", "size", "mtime_us")
@@ -90,7 +91,7 @@ def scan_file_tree(
     spark: SparkSession, root: str, node_name: str = "", fan_out_depth: int = 1
 ) -> DataFrame:
     """Inventory of a tree on shared storage, one task per directory at the fan-out depth."""
-    spark.dataSource.register(FileTree)
+    register_source(spark, FileTree)
     return (
         spark.read.format(FORMAT)
         .option("node_name", node_name)

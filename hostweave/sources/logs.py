@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hostweave.operators.sides import bounded_side
+
 
 def clean_line(line: Column) -> Column:
     """A line without its one trailing carriage return."""
@@ -32,8 +34,14 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_file_info(specs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Size and time of every configured log; 0 and NULL where the file is missing."""
+    """Size and time of every configured log; 0 and NULL where the file is missing.
+
+    The inventory is first cut to the configured paths, so that the outer join, which
+    cannot broadcast its left side, does not shuffle all of it.
+    """
     files = inventory.filter(~F.col("is_dir")).select("node_name", "path", "size", "mtime")
+    wanted = bounded_side(specs.select("node_name", "path").distinct())
+    files = files.join(wanted, ["node_name", "path"], "left_semi")
     return specs.join(files, ["node_name", "path"], "left").select(
         "node_name", "name", "path", "max_lines",
         F.coalesce("size", F.lit(0)).alias("size"),

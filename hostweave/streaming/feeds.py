@@ -3,20 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hostweave.sources.registry import register_source
 from hostweave.sources.taillog import FORMAT, LogTail
 from hostweave.streaming.sinks import BatchSink
 
 
 def tail_logs(spark: SparkSession, pattern: str, **options) -> DataFrame:
     """Stream of new log lines; options as in :class:`LogTail`."""
-    spark.dataSource.register(LogTail)
+    register_source(spark, LogTail)
     reader = spark.readStream.format(FORMAT).options(**options)
     return reader.load(pattern).withColumn("created_at", F.localtimestamp())
 
 
 def read_whole_logs(spark: SparkSession, pattern: str, **options) -> DataFrame:
     """All lines of the files now, with their byte positions."""
-    spark.dataSource.register(LogTail)
+    register_source(spark, LogTail)
     return spark.read.format(FORMAT).options(**options).load(pattern)
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from hostweave.operators.latest import last_per_pid, latest_by_key
+from hostweave.operators.latest import current_snapshot, last_per_pid, latest_by_key
 from hostweave.operators.logs import keep_last_n
 from hostweave.streaming.versions import drop_old_versions, read_version, write_version
 
@@ -70,9 +70,7 @@ def replace_snapshot(base: str) -> BatchSink:
         spark = batch.sparkSession
         held = read_version(spark, base, before=batch_id)
         rows = batch if held is None else held.unionByName(batch)
-        newest = rows.groupBy("node_name").agg(F.max("snapshot_id").alias("snapshot_id"))
-        current = rows.join(newest, ["node_name", "snapshot_id"], "left_semi")
-        write_version(last_per_pid(current), base, batch_id)
+        write_version(last_per_pid(current_snapshot(rows)), base, batch_id)
         drop_old_versions(spark, base)
 
     return write
