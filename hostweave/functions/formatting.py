@@ -7,6 +7,7 @@ Decimal places follow the exact binary value of the double, ties to even, as C
 
 from pyspark.sql import Column, functions as F
 
+from hostweave.functions.binding import let
 from hostweave.functions.clock import seconds_between
 
 # Unit names, one per power of 1024.
@@ -23,19 +24,24 @@ def _div(a: Column, b: int) -> Column:
 def fixed_point(value: Column, places: int) -> Column:
     """Text of a DOUBLE with 1 or 2 decimals, exact half-even rounding."""
     step, unit = 10**places, 2 ** _FRACTION_BITS[places]
-    size = F.abs(value)
-    whole = F.floor(size)
-    fraction = ((size - whole.cast("double")) * F.lit(float(unit))).cast("bigint")
-    scaled = fraction * F.lit(step).cast("bigint")
-    digits, rest = _div(scaled, unit), scaled % F.lit(unit)
-    up = (rest > unit // 2) | ((rest == unit // 2) & (digits % 2 == 1))
-    counted = whole * step + digits + F.when(up, 1).otherwise(0)
-    return F.concat(
-        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
-        _div(counted, step).cast("string"),
-        F.lit("."),
-        F.lpad((counted % step).cast("string"), places, "0"),
-    )
+
+    def rounded(scaled: Column) -> Column:
+        digits, rest = _div(scaled, unit), scaled % F.lit(unit)
+        tie_to_odd = (rest == unit // 2) & (digits % 2 == 1)
+        return digits + F.when((rest > unit // 2) | tie_to_odd, 1).otherwise(0)
+
+    def counted(size: Column) -> Column:
+        """The value as a count of its last decimal place."""
+        whole = F.floor(size)
+        fraction = ((size - whole.cast("double")) * F.lit(float(unit))).cast("bigint")
+        return whole * step + let(fraction * F.lit(step).cast("bigint"), rounded)
+
+    def text(count: Column) -> Column:
+        decimals = F.lpad((count % step).cast("string"), places, "0")
+        return F.concat(_div(count, step).cast("string"), F.lit("."), decimals)
+
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, let(let(F.abs(value), counted), text))
 
 
 def _unit_ladder(size: Column, units: tuple[str, ...], places: int) -> Column:
@@ -45,7 +51,7 @@ def _unit_ladder(size: Column, units: tuple[str, ...], places: int) -> Column:
         reached = size >= 1024**power
         divisor = F.when(reached, F.lit(float(1024**power))).otherwise(divisor)
         name = F.when(reached, F.lit(unit)).otherwise(name)
-    text = fixed_point(size.cast("double") / divisor, places)
+    text = let(size.cast("double") / divisor, lambda v: fixed_point(v, places))
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(
         F.concat(text, F.lit(" "), name)
     )

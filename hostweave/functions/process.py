@@ -3,26 +3,31 @@
 from pyspark.sql import Column, functions as F
 
 
+# State words by the first letter of the code.
+STATES = {
+    "": "unknown",
+    "R": "running",
+    "S": "sleeping",
+    "I": "sleeping",
+    "D": "disk-wait",
+    "Z": "zombie",
+    "T": "stopped",
+}
+
+
 def process_state(code: Column) -> Column:
     """State word from the first character of a ``ps`` state code."""
-    head = F.substring(code, 1, 1)
-    return (
-        F.when(head == "", F.lit("unknown"))
-        .when(head == "R", F.lit("running"))
-        .when(head.isin("S", "I"), F.lit("sleeping"))
-        .when(head == "D", F.lit("disk-wait"))
-        .when(head == "Z", F.lit("zombie"))
-        .when(head == "T", F.lit("stopped"))
-        .otherwise(F.lit("other"))
-    )
+    known = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.substring(code, 1, 1)), F.lit("other"))
 
 
 def basename(path: Column) -> Column:
     """Last element of a slash path; ``.`` for the empty string, ``/`` for only slashes."""
+    bare = F.rtrim(path, F.lit("/"))
     return (
         F.when(path == "", F.lit("."))
-        .when(path.rlike(r"\A/+\z"), F.lit("/"))
-        .otherwise(F.regexp_extract(path, r"([^/]+)/*\z", 1))
+        .when(bare == "", F.lit("/"))
+        .otherwise(F.substring_index(bare, "/", -1))
     )
 
 
@@ -31,8 +36,8 @@ def runtime_seconds(elapsed: Column) -> Column:
     shape = r"\A(?:(?:(\d+)-)?(\d+):)?(\d+):(\d+)\z"
 
     def part(group: int) -> Column:
-        text = F.regexp_extract(elapsed, shape, group)
-        return F.coalesce(F.nullif(text, F.lit("")), F.lit("0")).cast("bigint")
+        text = F.nullif(F.regexp_extract(elapsed, shape, group), F.lit(""))
+        return F.coalesce(text.cast("bigint"), F.lit(0))
 
     return F.when(
         elapsed.rlike(shape),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hostweave import schemas
+from hostweave.functions.text import trimmed, words
 from hostweave.functions.usage import avail_bytes, ratio_percent, total_bytes, used_bytes
 
 # Filesystem types that hold no disk data.
@@ -54,14 +55,8 @@ def read_fs_samples(spark: SparkSession, path: str, streaming: bool = False) ->
 _CAPTURE = ["node_name", "capture_id"]
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
-
-
 def _proc_mounts_fields(lines: DataFrame) -> DataFrame:
-    split = lines.select(
-        *_CAPTURE, "pos", F.split(_trimmed(F.col("line")), r"(?U)\s+").alias("f")
-    )
+    split = lines.select(*_CAPTURE, "pos", words(F.col("line")).alias("f"))
     fields = [F.get("f", F.lit(i)) for i in range(3)]
     sound = (F.size("f") >= 3) & ~is_pseudo_fs(fields[2]) & is_block_device(fields[0])
     return split.select(
@@ -74,12 +69,12 @@ def _proc_mounts_fields(lines: DataFrame) -> DataFrame:
 def _bsd_mount_fields(lines: DataFrame) -> DataFrame:
     # The first " on " ends the device, the last " (" ends the mount point.
     shape = r"(?s)\A(.*?) on (.*) \("
-    device = _trimmed(F.regexp_extract("line", shape, 1))
+    device = trimmed(F.regexp_extract("line", shape, 1))
     sound = F.col("line").rlike(shape) & is_block_device(device)
     return lines.select(
         *_CAPTURE, "pos",
         F.when(sound, device).alias("device"),
-        F.when(sound, _trimmed(F.regexp_extract("line", shape, 2))).alias("mount_point"),
+        F.when(sound, trimmed(F.regexp_extract("line", shape, 2))).alias("mount_point"),
     )
 
 

@@ -1,8 +1,10 @@
 """Process listings with the columns pid, user, cpu, rss, state, elapsed, command."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from hostweave.functions.binding import let
 from hostweave.functions.process import basename, process_state
+from hostweave.functions.text import words
 
 HEADER_POS = 0
 KIB = 1024
@@ -18,31 +20,32 @@ def parse_ps_captures(lines: DataFrame) -> DataFrame:
     position 0 of every capture is its header. Lines with fewer than seven fields or
     a bad process id are dropped, a bad CPU or memory figure counts as zero.
     """
-    trimmed = F.regexp_replace("line", r"(?U)\A\s+|\s+\z", "")
     fields = lines.filter(F.col("pos") > HEADER_POS).select(
-        "node_name", "snapshot_id", "pos", "collected_at",
-        F.split(trimmed, r"(?U)\s+").alias("f"),
+        "node_name", "snapshot_id", "pos", "collected_at", words(F.col("line")).alias("f")
     )
 
-    def number(index: int, shape: str, sql_type: str):
-        text = F.col("f")[index]
-        return F.when(text.rlike(shape), text.try_cast(sql_type))
+    def text(index: int) -> Column:
+        return F.get("f", F.lit(index))
+
+    def number(index: int, shape: str, sql_type: str) -> Column:
+        return F.when(text(index).rlike(shape), text(index).try_cast(sql_type))
+
+    def finite(value: Column) -> Column:
+        return F.when(F.abs(value) < float("inf"), value)
 
     cpu = number(2, _DECIMAL, "double")
-    infinite = F.abs(cpu) == float("inf")
-    rss = number(3, _INTEGER, "bigint")
-    return (
-        fields.filter(F.size("f") >= 7)
-        .select(
-            "node_name", "snapshot_id", "pos",
-            number(0, _INTEGER, "bigint").alias("pid"),
-            basename(F.col("f")[6]).alias("name"),
-            F.col("f")[1].alias("user"),
-            F.when(cpu.isNull() | infinite, F.lit(0.0)).otherwise(cpu).alias("cpu_percent"),
-            F.coalesce(F.try_multiply(rss, F.lit(KIB)), F.lit(0)).alias("mem_rss"),
-            process_state(F.col("f")[4]).alias("status"),
-            F.col("f")[5].alias("elapsed"),
-            "collected_at",
-        )
-        .filter(F.col("pid").isNotNull())
+    rss = F.try_multiply(number(3, _INTEGER, "bigint"), F.lit(KIB))
+    row = F.struct(
+        number(0, _INTEGER, "bigint").alias("pid"),
+        basename(text(6)).alias("name"),
+        text(1).alias("user"),
+        F.coalesce(let(cpu, finite), F.lit(0.0)).alias("cpu_percent"),
+        F.coalesce(rss, F.lit(0)).alias("mem_rss"),
+        process_state(text(4)).alias("status"),
+        text(5).alias("elapsed"),
     )
+    # Generating the row, and not filtering the split line, keeps the optimizer from
+    # pushing copies of the split into the filter.
+    whole = F.when(F.size("f") >= 7, F.array(row))
+    parsed = fields.select("node_name", "snapshot_id", "pos", F.inline(whole), "collected_at")
+    return parsed.filter(F.col("pid").isNotNull())

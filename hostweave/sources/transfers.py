@@ -27,20 +27,20 @@ def parse_transfer_log(lines: DataFrame, parse_start: Column | None = None) -> D
 
     # The weekday is left out: the parser rejects EEE. Day numbers may be one digit.
     stamp = F.concat_ws(" ", field(1), field(2), field(3), field(4))
-    parsed = (
-        lines.filter(F.col("line").rlike(LINE_SHAPE))
-        .select(*kept, F.split("line", " +").alias("f"))
-        .select(
-            *kept,
-            F.to_timestamp_ntz(stamp, F.lit("MMM d HH:mm:ss yyyy")).alias("log_time"),
-            field(6).alias("remote_host"),
-            field(13).alias("username"),
-            field(8).alias("filename"),
-            field(7).cast("bigint").alias("bytes"),
-            field(5).cast("bigint").alias("transfer_time_sec"),
-            _decode(field(11), DIRECTIONS).alias("direction"),
-            _decode(field(17), COMPLETION).alias("status"),
-        )
+    row = F.struct(
+        F.to_timestamp_ntz(stamp, F.lit("MMM d HH:mm:ss yyyy")).alias("log_time"),
+        field(6).alias("remote_host"),
+        field(13).alias("username"),
+        field(8).alias("filename"),
+        field(7).cast("bigint").alias("bytes"),
+        field(5).cast("bigint").alias("transfer_time_sec"),
+        _decode(field(11), DIRECTIONS).alias("direction"),
+        _decode(field(17), COMPLETION).alias("status"),
+    )
+    # A generated row, unlike a projected one, is not parsed again by filters on it.
+    fields = F.when(F.col("line").rlike(LINE_SHAPE), F.split("line", " +"))
+    parsed = lines.select(*kept, fields.alias("f")).select(
+        *kept, F.inline(F.when(F.col("f").isNotNull(), F.array(row)))
     )
     return parsed if parse_start is None else parsed.filter(F.col("log_time") >= parse_start)
 
