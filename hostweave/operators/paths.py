@@ -56,10 +56,15 @@ def not_excluded(rel: Column, regex: Column) -> Column:
     return F.when(regex.isNull(), F.lit(True)).otherwise(~F.rlike(rel, regex))
 
 
-def exclude_paths(pairs: DataFrame, exclude: str = "exclude") -> DataFrame:
+def compile_excludes(roots: DataFrame) -> DataFrame:
+    """Replaces the ``exclude`` patterns of roots by one ``exclude_regex`` per root."""
+    regex = any_path_element_regex(F.col("exclude"))
+    return roots.withColumn("exclude_regex", regex).drop("exclude")
+
+
+def exclude_paths(pairs: DataFrame) -> DataFrame:
     """Rows of :func:`under_roots` without those an exclude pattern of their root prunes."""
-    regex = any_path_element_regex(F.col(exclude))
-    return pairs.filter(not_excluded(F.col("rel"), regex))
+    return pairs.filter(not_excluded(F.col("rel"), F.col("exclude_regex")))
 
 
 def path_counts(inventory: DataFrame, specs: DataFrame) -> DataFrame:
@@ -70,15 +75,14 @@ def path_counts(inventory: DataFrame, specs: DataFrame) -> DataFrame:
     ``root_found`` false. Rows are counted before the shuffle, so a root over most of the
     fleet's files costs one row per task.
     """
-    roots = specs.select(
-        "node_name", F.col("path").alias("root"), "max_depth",
-        any_path_element_regex(F.col("exclude")).alias("_exclude"),
+    roots = compile_excludes(
+        specs.select("node_name", F.col("path").alias("root"), "max_depth", "exclude")
     )
     pairs = under_roots(inventory.select("node_name", "path", "is_dir"), roots)
     counted = (
         (F.col("rel") != "")
         & within_depth(F.col("path"), F.col("root"), F.col("max_depth"))
-        & not_excluded(F.col("rel"), F.col("_exclude"))
+        & not_excluded(F.col("rel"), F.col("exclude_regex"))
     )
     counts = (
         pairs.withColumn("_counted", counted)

@@ -5,11 +5,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.schedule import allowed_numbers, is_unrestricted, spelled_out
+from hostweave.operators.sides import bounded_side
 
 # Days searched: two months serve nearly every schedule; eight years hold every
 # combination of day and month, February 29th included.
 NEAR_DAYS, FAR_DAYS = 62, 8 * 366 + 1
-MINUTE_SECONDS = 60
 
 
 def _days(start: dt.date, count: int) -> Column:
@@ -20,8 +20,18 @@ def _days(start: dt.date, count: int) -> Column:
 def expected_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
     """Adds ``next_run``, the first minute after ``now`` that the ``schedule`` allows.
 
-    NULL for a malformed schedule or one that never comes true. With both day fields
-    restricted either may match, as in cron. Narrow: no calendar is joined.
+    NULL for a malformed schedule or one that never comes true. Jobs share schedules, so
+    the search is made once per distinct schedule and joined back.
+    """
+    schedules = jobs.select("schedule").distinct()
+    return jobs.join(bounded_side(next_runs(schedules, now)), "schedule", "left").select(
+        *jobs.columns, "next_run"
+    )
+
+
+def next_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
+    """As :func:`expected_runs`, row by row. With both day fields restricted either may
+    match, as in cron. Narrow: no calendar is joined.
     """
     fields = F.split(spelled_out(F.col("schedule")), r"\s+")
     parts = jobs.withColumn("_f", F.when(F.size(fields) == 5, fields))

@@ -61,7 +61,8 @@ def _processes(b: Bindings) -> DataFrame:
 
 
 def _current_processes(b: Bindings) -> DataFrame:
-    return last_per_pid(current_snapshot(_processes(b)))
+    """The newest capture of each node, chosen before any line is parsed."""
+    return last_per_pid(parse_ps_captures(current_snapshot(b.ps_lines())))
 
 
 # -- filesystems -------------------------------------------------------------------
@@ -330,7 +331,8 @@ def path_counts_exclude(b: Bindings) -> DataFrame:
 
 
 def _root_pairs(b: Bindings) -> DataFrame:
-    roots = b.path_specs(depth=True, exclude=True).withColumnRenamed("path", "root")
+    specified = b.path_specs(depth=True, exclude=True).withColumnRenamed("path", "root")
+    roots = paths.compile_excludes(specified)
     inventory = b.path_inventory().select("node_name", "path", "is_dir")
     return paths.under_roots(inventory, roots).filter(F.col("rel") != "")
 
