@@ -1,7 +1,8 @@
 """Stored log lines: tails, search, trimming.
 
-``order`` names the arrival order, newest last: ``id``, or more columns where one number
-cannot hold it (batch and byte position).
+``order`` names the arrival order, newest last: ``id`` within a log; over all logs, where
+ids may coincide, with the log's name; batch and byte position where one number cannot
+hold them.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +11,7 @@ from hostweave.operators.ranking import TAIL_ROWS, newest_n_counted, top_n_per_g
 from hostweave.operators.sides import bounded_side
 
 ARRIVAL = ["id"]
+FLEET_ARRIVAL = ["id", "node_name", "log_name"]
 LOG_KEY = ["node_name", "log_name"]
 
 
@@ -34,7 +36,7 @@ def tail_log(
     return _newest(filter_by_name(lines, log_name), n, order)
 
 
-def tail_all_logs(lines: DataFrame, order: list[str] = ARRIVAL) -> DataFrame:
+def tail_all_logs(lines: DataFrame, order: list[str] = FLEET_ARRIVAL) -> DataFrame:
     """Newest 200 lines over all logs, oldest first."""
     return _newest(lines, TAIL_ROWS, order)
 

@@ -331,6 +331,7 @@ FROM (SELECT node_name, max(collected_at) AS last_seen, count(*) AS samples,
   (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(collected_at))) // 1000000 AS age FROM fs GROUP BY node_name)""",
     "fleet_union": "SELECT 'node-' || (user_id % 4) AS node_name, event_id, ts FROM events",
     "stream_latest": "SELECT * FROM fs_last",
+    "stream_last_seen": "SELECT node_name, max(collected_at) AS last_seen FROM fs GROUP BY node_name",
     "stream_snapshot": "SELECT * FROM ps_last",
     "stream_trim": _KEEP_20,
     "stream_tail_replay": "SELECT node_name, log_name, line FROM loglines",

@@ -599,6 +599,14 @@ def stream_latest(b: Bindings) -> DataFrame:
     return read_version(b.spark, f"{work}/table")
 
 
+@_query
+def stream_last_seen(b: Bindings) -> DataFrame:
+    work = fresh_dir(b.spark, "seen")
+    seen = feeds.last_seen(fs_samples_from_counters(b.fs_counters(b.stream("events"))))
+    feeds.drain(seen, sinks.store(f"{work}/table"), f"{work}/checkpoint", "complete")
+    return read_version(b.spark, f"{work}/table")
+
+
 @_query
 def stream_snapshot(b: Bindings) -> DataFrame:
     work = fresh_dir(b.spark, "snapshot")
@@ -610,7 +618,7 @@ def stream_snapshot(b: Bindings) -> DataFrame:
 @_query
 def stream_trim(b: Bindings) -> DataFrame:
     work = fresh_dir(b.spark, "trim")
-    sink = sinks.trim_log(f"{work}/table", 20, logs.LOG_KEY, logs.ARRIVAL)
+    sink = sinks.trim_log(f"{work}/table", lambda lines: logs.keep_last_n(lines, 20))
     feeds.drain(b.log_lines(b.stream("documents")), sink, f"{work}/checkpoint")
     return read_version(b.spark, f"{work}/table").select("node_name", "log_name", "id")
 
@@ -626,7 +634,7 @@ def stream_tail_replay(b: Bindings) -> DataFrame:
         ).write.mode("append").partitionBy("node_name", "log_name").text(f"{work}/logs")
         stream = feeds.tail_logs(b.spark, f"{work}/logs/node_name=*/log_name=*/part-*")
         feeds.drain(stream, sinks.append_log(f"{work}/table"), f"{work}/checkpoint")
-    stored = b.spark.read.parquet(f"{work}/table")
+    stored = sinks.read_log_table(b.spark, f"{work}/table")
     return stored.select("node_name", "log_name", "line")
 
 

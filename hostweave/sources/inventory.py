@@ -1,85 +1,72 @@
 """File-tree inventories, landed or walked on shared storage."""
 
 import os
-from dataclasses import dataclass
+import sys
+from collections import deque
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave import schemas
-from hostweave.sources.registry import register_source
-
-FORMAT = "file_tree"
-_COLUMNS = ("node_name", "path", "is_dir", "size", "mtime_us")
-_SCHEMA = "node_name string, path string, is_dir boolean, size bigint, mtime_us bigint"
-
-
-@dataclass
-class SubTree(InputPartition):
-    """A directory to be walked, or only listed where its children have own partitions."""
-
-    path: str
-    deep: bool
-
-
-class FileTree(DataSource):
-    """Entries of directory trees as rows.
-
-    Options: ``path`` (the root), ``node_name``, ``fanOutDepth`` (levels listed on the
-    driver to make partitions, default 1). Symbolic links count as files and are not
-    followed; unreadable entries are skipped; a missing root yields nothing. The root must
-    be on storage that every executor mounts.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self) -> str:
-        return _SCHEMA
-
-    def reader(self, schema) -> "FileTreeReader":
-        return FileTreeReader(dict(self.options))
-
-
-def _entries(path: str):
+from hostweave.workspace import fresh_dir
+
+# Entries a task lists before it hands its remaining directories on.
+TASK_ENTRIES = 50_000
+
+_SCHEMA = (
+    "node_name string, path string, is_dir boolean, size bigint, mtime_us bigint, pending boolean"
+)
+_ARROW = pa.schema(
+    [
+        ("node_name", pa.string()),
+        ("path", pa.string()),
+        ("is_dir", pa.bool_()),
+        ("size", pa.int64()),
+        ("mtime_us", pa.int64()),
+        ("pending", pa.bool_()),
+    ]
+)
+
+
+def _listed(folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """Entries of one directory; links are not followed, unreadable ones are skipped."""
     try:
-        with os.scandir(path) as found:
-            yield from found
+        with os.scandir(folder) as found:
+            for entry in found:
+                is_dir = entry.is_dir(follow_symlinks=False)
+                try:
+                    stat = entry.stat(follow_symlinks=False)
+                    yield entry.path, is_dir, stat.st_size, stat.st_mtime_ns // 1000
+                except OSError:
+                    yield entry.path, is_dir, None, None
     except OSError:
         return
 
 
-def _folders(path: str) -> list[str]:
-    return [e.path for e in _entries(path) if e.is_dir(follow_symlinks=False)]
+def _walk(node_name: str, task_entries: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = deque(p for b in batches for p in b.column("path").to_pylist())
+        listed = 0
+        while waiting and listed < task_entries:
+            rows = []
+            for path, is_dir, size, mtime_us in _listed(waiting.popleft()):
+                rows.append((node_name, path, is_dir, size, mtime_us, False))
+                if is_dir:
+                    waiting.append(path)
+            listed += len(rows) + 1
+            yield _batch(rows)
+        yield _batch([(node_name, path, True, None, None, True) for path in waiting])
 
+    return walk
 
-class FileTreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.node = options.get("node_name", "")
-        self.fan_out = int(options.get("fanoutdepth", options.get("fanOutDepth", 1)))
 
-    def partitions(self) -> list[SubTree]:
-        listed, level = [], [self.root]
-        for _ in range(self.fan_out):
-            listed += [SubTree(p, deep=False) for p in level]
-            level = [child for p in level for child in _folders(p)]
-        return listed + [SubTree(p, deep=True) for p in level]
-
-    def read(self, partition: SubTree):
-        pending = [partition.path]
-        while pending:
-            for entry in _entries(pending.pop()):
-                is_dir = entry.is_dir(follow_symlinks=False)
-                try:
-                    stat = entry.stat(follow_symlinks=False)
-                    size, mtime_us = stat.st_size, stat.st_mtime_ns // 1000
-                except OSError:
-                    size, mtime_us = None, None
-                yield (self.node, entry.path, is_dir, size, mtime_us)
-                if is_dir and partition.deep:
-                    pending.append(entry.path)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW
+    )
 
 
 def read_path_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +75,27 @@ def read_path_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_file_tree(
-    spark: SparkSession, root: str, node_name: str = "", fan_out_depth: int = 1
+    spark: SparkSession, root: str, node_name: str = "", task_entries: int = TASK_ENTRIES
 ) -> DataFrame:
-    """Inventory of a tree on shared storage, one task per directory at the fan-out depth."""
-    register_source(spark, FileTree)
-    return (
-        spark.read.format(FORMAT)
-        .option("node_name", node_name)
-        .option("fanOutDepth", fan_out_depth)
-        .load(root)
-    )
+    """Entries below ``root``, which every executor must have mounted.
+
+    Walks in rounds: a task lists some ten thousand entries, breadth first, and hands the
+    directories it has not reached to the next round, where they are dealt out anew. A
+    subtree with most of the files is so spread over all tasks. The rounds are written to
+    the shared folder. A missing root yields nothing.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    work = fresh_dir(spark, "inventory")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frontier = spark.createDataFrame([(root.removeprefix("file:"),)], "path string")
+    rounds = 0
+    while True:
+        target = f"{work}/round={rounds}"
+        frontier.mapInArrow(_walk(node_name, task_entries), _SCHEMA).write.parquet(target)
+        found = spark.read.schema(_SCHEMA).parquet(target)
+        frontier = found.filter("pending").select("path").repartition(tasks)
+        rounds += 1
+        if frontier.isEmpty():
+            break
+    written = spark.read.schema(_SCHEMA).parquet(*[f"{work}/round={i}" for i in range(rounds)])
+    return written.filter(~F.col("pending")).drop("pending")

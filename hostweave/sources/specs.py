@@ -85,7 +85,7 @@ def validate_node_specs(nodes: DataFrame, paths: DataFrame) -> DataFrame:
         "config_id", F.lit(0).cast("bigint").alias("rank"),
         F.lit("node_name is required").alias("message"),
     )
-    pathless = nodes.join(paths, "config_id", "left_anti").select(
+    pathless = nodes.join(paths.select("config_id").distinct(), "config_id", "left_anti").select(
         "config_id", F.lit(1).cast("bigint").alias("rank"),
         F.lit("at least one path must be configured").alias("message"),
     )
@@ -102,7 +102,7 @@ def validate_node_specs(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 def validate_client_specs(clients: DataFrame, nodes: DataFrame) -> DataFrame:
     """As above for clients: ``config_id`` and nodes ``config_id, idx, name, address``."""
-    nodeless = clients.join(nodes, "config_id", "left_anti").select(
+    nodeless = clients.join(nodes.select("config_id").distinct(), "config_id", "left_anti").select(
         "config_id", F.lit(0).cast("bigint").alias("rank"),
         F.lit("at least one node must be configured").alias("message"),
     )
@@ -137,4 +137,4 @@ def select_specs(specs: DataFrame, requested: DataFrame) -> DataFrame:
 def unknown_paths(specs: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested paths no specification covers; to be checked before work starts."""
     keys = [c for c in ("node_name", "path") if c in requested.columns]
-    return requested.join(specs, keys, "left_anti")
+    return requested.join(specs.select(*keys).distinct(), keys, "left_anti")

@@ -7,6 +7,7 @@ LINE_SHAPE = (
     r"\A[A-Z][a-z]{2} +[A-Z][a-z]{2} +\d{1,2} +\d{2}:\d{2}:\d{2} +\d{4} +\d{1,18} +\S+ +\d{1,18} +\S+ +"
     r"[ab] +\S+ +[oid] +[agr] +\S+ +\S+ +[01] +\S+ +[ci] *\z"
 )
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 DIRECTIONS = {"i": "upload", "o": "download", "d": "delete"}
 COMPLETION = {"c": "complete", "i": "incomplete"}
 
@@ -25,10 +26,13 @@ def parse_transfer_log(lines: DataFrame, parse_start: Column | None = None) -> D
     def field(index: int) -> Column:
         return F.col("f")[index]
 
-    # The weekday is left out: the parser rejects EEE. Day numbers may be one digit.
-    stamp = F.concat_ws(" ", field(1), field(2), field(3), field(4))
+    # Built from its parts: the weekday is no part of it, and days may have one digit.
+    month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), field(1)).cast("string"), 2, "0")
+    stamp = F.concat(
+        field(4), F.lit("-"), month, F.lit("-"), F.lpad(field(2), 2, "0"), F.lit(" "), field(3)
+    )
     row = F.struct(
-        F.to_timestamp_ntz(stamp, F.lit("MMM d HH:mm:ss yyyy")).alias("log_time"),
+        stamp.try_cast("timestamp_ntz").alias("log_time"),
         field(6).alias("remote_host"),
         field(13).alias("username"),
         field(8).alias("filename"),

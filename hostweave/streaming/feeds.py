@@ -26,22 +26,26 @@ def run_feed(
     sink: BatchSink,
     checkpoint: str,
     every: str | None = None,
+    output_mode: str = "append",
 ) -> StreamingQuery:
     """Starts a feed: once over what is available, or with ``every`` periodically.
 
     A run longer than the period delays the next one and never overlaps it.
     """
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(output_mode).foreachBatch(sink)
+    writer = writer.option("checkpointLocation", checkpoint)
     return (
         writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     ).start()
 
 
-def drain(stream: DataFrame, sink: BatchSink, checkpoint: str) -> None:
+def drain(
+    stream: DataFrame, sink: BatchSink, checkpoint: str, output_mode: str = "append"
+) -> None:
     """Runs a feed over all available input and waits for it."""
-    run_feed(stream, sink, checkpoint).awaitTermination()
+    run_feed(stream, sink, checkpoint, output_mode=output_mode).awaitTermination()
 
 
 def last_seen(samples: DataFrame) -> DataFrame:
-    """Latest sample time per node; for a stream, in update or complete mode."""
+    """Latest sample time per node; for a stream, in complete mode (one row per node)."""
     return samples.groupBy("node_name").agg(F.max("collected_at").alias("last_seen"))

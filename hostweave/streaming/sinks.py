@@ -2,10 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.operators.latest import current_snapshot, last_per_pid, latest_by_key
-from hostweave.operators.logs import keep_last_n
 from hostweave.streaming.versions import drop_old_versions, read_version, write_version
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -36,8 +35,17 @@ def with_line_ids(lines: DataFrame, batch_id: int) -> DataFrame:
     return lines.withColumn("id", F.lit(batch_id << OFFSET_BITS) + fits)
 
 
+STORED_LINES = (
+    "node_name string, log_path string, line_offset bigint, line string, oversize_line string, "
+    "created_at timestamp_ntz, id bigint, batch_id bigint, log_name string"
+)
+
+
 def append_log(base: str) -> BatchSink:
-    """Appends log lines with increasing ids, one folder per batch and log."""
+    """Appends log lines with increasing ids, one folder per batch and log.
+
+    A log of several files is in order by ``id, log_path``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = with_line_ids(batch, batch_id)
@@ -69,30 +77,49 @@ def replace_snapshot(base: str) -> BatchSink:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = read_version(spark, base, before=batch_id)
-        rows = batch if held is None else held.unionByName(batch)
-        write_version(last_per_pid(current_snapshot(rows)), base, batch_id)
+        fresh = batch.persist()  # read twice: for the snapshot numbers and for the rows
+        try:
+            rows = fresh if held is None else held.unionByName(fresh)
+            write_version(last_per_pid(current_snapshot(rows)), base, batch_id)
+        finally:
+            fresh.unpersist()
         drop_old_versions(spark, base)
 
     return write
 
 
-def trim_log(base: str, n: int, keys: list[str], order: list[str]) -> BatchSink:
-    """Keeps the newest ``n`` lines of every log.
+def read_log_table(spark: SparkSession, base: str) -> DataFrame:
+    """Lines stored by :func:`append_log`; log names stay text even when they are numbers."""
+    return spark.read.schema(STORED_LINES).parquet(base)
+
 
-    The batch is cut to ``n`` lines per log before it meets the held lines, so a batch
-    costs its own size and the table never more than ``n`` lines per log.
+def trim_log(base: str, keep: Callable[[DataFrame], DataFrame]) -> BatchSink:
+    """Keeps what ``keep`` keeps: ``keep_last_n`` or ``keep_last_per_spec``.
+
+    The batch is cut before it meets the held lines, so a batch costs its own size and the
+    table never holds more than the kept lines per log.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = read_version(batch.sparkSession, base, before=batch_id)
-        newest = keep_last_n(batch, n, keys, order)
-        rows = newest if held is None else keep_last_n(held.unionByName(newest), n, keys, order)
+        newest = keep(batch)
+        rows = newest if held is None else keep(held.unionByName(newest))
         write_version(rows, base, batch_id)
         drop_old_versions(batch.sparkSession, base)
 
     return write
 
 
+def store(base: str) -> BatchSink:
+    """Replaces the table by the batch: for a complete-mode aggregate."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_version(batch, base, batch_id)
+        drop_old_versions(batch.sparkSession, base)
+
+    return write
+
+
 def all_of(*sinks: BatchSink) -> BatchSink:
     """Feeds one batch to several sinks, reading its source once."""
 

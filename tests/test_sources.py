@@ -129,7 +129,7 @@ def test_scan_file_tree(spark, tmp_path):
     os.symlink(tmp_path / "d1", tmp_path / "link")
     expected = [("d1", True), ("d1/a.log", False), ("d1/s1", True), ("d1/s1/b", False), ("d2", True),
                 ("d2/.hidden", False), ("f.txt", False), ("link", False)]
-    for fan_out in (0, 1, 3):
-        found = scan_file_tree(spark, str(tmp_path), "n", fan_out).collect()
+    for task_entries in (1, 3, 1000):
+        found = scan_file_tree(spark, str(tmp_path), "n", task_entries).collect()
         assert sorted((os.path.relpath(r.path, tmp_path), r.is_dir) for r in found) == expected
     assert scan_file_tree(spark, str(tmp_path / "none")).count() == 0

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
+from hostweave.operators.logs import keep_last_n
 from hostweave.sources.taillog import ByteRange, LogFiles, LogTailStreamReader
 from hostweave.streaming import feeds, sinks
 from hostweave.streaming.versions import complete_versions, read_version
@@ -142,7 +143,7 @@ def test_replace_snapshot(spark, rows, tmp_path):
 
 def test_trim_over_batches(spark, rows, tmp_path):
     schema = "log_name string, id bigint"
-    sink = sinks.trim_log(f"{tmp_path}/t", 3, ["log_name"], ["id"])
+    sink = sinks.trim_log(f"{tmp_path}/t", lambda lines: keep_last_n(lines, 3, ["log_name"]))
     sink(rows([("a", i) for i in range(10)] + [("b", 1)], schema), 0)
     sink(rows([("a", 10)], schema), 1)
     assert values(read_version(spark, f"{tmp_path}/t")) == [("a", 10), ("a", 8), ("a", 9), ("b", 1)]
