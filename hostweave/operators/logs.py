@@ -46,7 +46,7 @@ def keep_last_n(
 ) -> DataFrame:
     """Newest ``n`` lines of every log."""
     newest_first = [F.col(c).desc() for c in order]
-    return top_n_per_group(lines, keys, newest_first, order, n)
+    return top_n_per_group(lines, keys, newest_first, n)
 
 
 def keep_last_per_spec(
@@ -63,7 +63,7 @@ def keep_last_per_spec(
     largest = limits.agg(F.max("max_lines")).first()[0]
     newest_first = [F.col(c).desc() for c in order]
     kept = top_n_per_group(
-        lines.join(limits, LOG_KEY), LOG_KEY, newest_first, order, F.col("max_lines"), largest
+        lines.join(limits, LOG_KEY), LOG_KEY, newest_first, F.col("max_lines"), largest
     )
     return kept.select(*lines.columns)
 

@@ -138,4 +138,5 @@ def largest_files(inventory: DataFrame, roots: DataFrame, n: int = 10) -> DataFr
         "node_name", "path", F.lit(True).alias("is_dir"), "size"
     )
     pairs = under_roots(files.unionByName(folders), roots).filter(F.col("rel") != "").drop("rel")
-    return top_n_per_group(pairs, ["node_name", "root"], [F.col("size").desc()], ["path"], n)
+    order = [F.col("size").desc(), F.col("path")]
+    return top_n_per_group(pairs, ["node_name", "root"], order, n)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.clock import MICROS, micros
 from hostweave.functions.globs import any_process_glob, any_process_glob_of
-from hostweave.operators.sides import bounded_side
+from hostweave.operators.sides import HOT_ROWS, bounded_side, hot_groups
 
 
 def match_any_glob(processes: DataFrame, patterns: list[str], column: str = "name") -> DataFrame:
@@ -33,27 +33,33 @@ def with_previous(
     order: str,
     columns: list[str],
     bucket_seconds: int = 3600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``prev_<column>`` from the row before in time order (``order`` unique per key).
 
-    A key with most of the samples must not be sorted by one task: rows are sorted per
-    key and time bucket, and the last row of every bucket, found by a pre-aggregation,
-    is carried into the bucket that follows.
+    Keys are counted first. One with more than ``hot_rows`` rows is not sorted by one task
+    but per time bucket, and the last row of every bucket, found by a pre-aggregation, is
+    carried into the bucket that follows.
     """
-    bucket = F.call_function(
-        "div", micros(F.col(order)), F.lit(bucket_seconds * MICROS).cast("bigint")
-    )
-    bucketed = samples.withColumn("_bucket", bucket)
     previous = {c: f"prev_{c}" for c in columns}
-    last = bucketed.groupBy(*keys, "_bucket").agg(
+    hot = hot_groups(samples, keys, hot_rows)
+    if hot is None:
+        by_key = Window.partitionBy(*keys).orderBy(order)
+        return samples.withColumns({name: F.lag(c).over(by_key) for c, name in previous.items()})
+
+    width = F.lit(bucket_seconds * MICROS).cast("bigint")
+    bucket = F.call_function("div", micros(F.col(order)), width)
+    marked = samples.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
+    bucketed = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
+    last = bucketed.filter("_hot").groupBy(*keys, "_bucket").agg(
         *[F.max_by(c, order).alias(name) for c, name in previous.items()]
     )
-    by_key = Window.partitionBy(*keys).orderBy("_bucket")
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
     carried = last.select(
-        *keys, "_bucket", *[F.lag(name).over(by_key).alias(name) for name in previous.values()]
+        *keys, "_bucket", *[F.lag(name).over(by_bucket).alias(name) for name in previous.values()]
     )
     # A carried row stands in front of its bucket and is dropped after the lag.
-    rows = bucketed.withColumn("_carried", F.lit(False)).unionByName(
+    rows = bucketed.drop("_hot").withColumn("_carried", F.lit(False)).unionByName(
         carried.select(
             *keys, "_bucket", *[F.col(name).alias(c) for c, name in previous.items()],
             F.lit(True).alias("_carried"),
@@ -64,11 +70,13 @@ def with_previous(
     return (
         rows.withColumns({name: F.lag(c).over(in_bucket) for c, name in previous.items()})
         .filter(~F.col("_carried"))
-        .drop("_carried", "_bucket")
+        .select(*samples.columns, *previous.values())
     )
 
 
-def cpu_delta(samples: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def cpu_delta(
+    samples: DataFrame, bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """CPU percent between samples from the used CPU time ``cpu_time_ms``.
 
     NULL for the first sample of a process and where its CPU time went back (a new
@@ -76,7 +84,7 @@ def cpu_delta(samples: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """
     paired = with_previous(
         samples, ["node_name", "pid"], "collected_at", ["cpu_time_ms", "collected_at"],
-        bucket_seconds,
+        bucket_seconds, hot_rows,
     )
     used = F.col("cpu_time_ms") - F.col("prev_cpu_time_ms")
     wall = micros(F.col("collected_at")) - micros(F.col("prev_collected_at"))

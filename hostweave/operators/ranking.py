@@ -1,58 +1,72 @@
 """First, last and largest rows: globally and per group."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hostweave.operators.sides import bounded_side
+from hostweave.operators.sides import HOT_ROWS, bounded_side, hot_groups
 
 # Row counts of the reports.
 TOP_ROWS = 10
 TAIL_ROWS = 200
 
-# Parts a group is ranked in: at least enough for small sessions, at most so many that
-# the second round stays small.
-MIN_PARTS, MAX_PARTS = 8, 1024
-
-
-def _default_parts(df: DataFrame) -> int:
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(shuffles, MIN_PARTS), MAX_PARTS)
+def _parts(df: DataFrame) -> int:
+    """Parts of a group: the square root of the shuffle width balances both rounds."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, math.isqrt(width))
 
 
 def top_n_per_group(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    tie_break: list[str],
     n: int | Column,
     at_most: int | None = None,
-    parts: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """First ``n`` rows of each group in ``order``; exact for any skew.
-
-    Groups are cut in two rounds: within hashed parts of a group, then over what the
-    parts kept. A group holding most of the table is so ranked by many tasks. The parts
-    come from a hash of ``tie_break``, the columns that make the order total, so a lost
-    task is recomputed alike.
-
-    A literal bound of up to 1000 also lets Spark cut rows before the first shuffle
-    (WindowGroupLimit): ``n`` itself or, where ``n`` is a column, its largest value
-    ``at_most``.
+    """First ``n`` rows of each group in ``order``, a total order; exact for any skew.
+
+    Groups are counted first. One with more than ``hot_rows`` rows is cut in two rounds,
+    within parts of the group and then over what the parts kept, so that many tasks rank
+    it. A part is a share of the input partitions: with a literal bound of up to 1000 Spark
+    cuts rows before the shuffle (WindowGroupLimit), and all rows of a group in a task
+    count together there. The bound is ``n`` itself or, where ``n`` is a column, its
+    largest value ``at_most``.
     """
-    part = F.pmod(F.xxhash64(*tie_break), F.lit(parts or _default_parts(df)))
-    ordering = [*order, *[F.col(c) for c in tie_break]]
+    return _cut(df, keys, order, n, at_most, hot_groups(df, keys, hot_rows))
+
 
+def _cut(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    n: int | Column,
+    at_most: int | None,
+    hot: DataFrame | None,
+) -> DataFrame:
     def keep(rows: DataFrame, group: list[str]) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*ordering))
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         within = F.col("_rank") <= n
         if at_most is not None:
             within = within & (F.col("_rank") <= at_most)
         return rows.withColumn("_rank", rank).filter(within).drop("_rank")
 
-    return keep(keep(df.withColumn("_part", part), [*keys, "_part"]).drop("_part"), keys)
+    if hot is None:
+        return keep(df, keys)
+    share = F.spark_partition_id() % _parts(df)
+    marked = df.withColumn("_share", share).join(hot.withColumn("_hot", F.lit(True)), keys, "left")
+    parted = marked.withColumn("_part", F.when(F.col("_hot"), F.col("_share")).otherwise(F.lit(0)))
+    first_round = keep(parted, [*keys, "_part"]).select(*df.columns)
+    return keep(first_round, keys)
 
 
 def newest_n_counted(
-    df: DataFrame, keys: list[str], order: list[str], n: int, bucket: Column
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    n: int,
+    bucket: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Newest ``n`` rows per group for large ``n``, sorting as little as possible.
 
@@ -66,12 +80,13 @@ def newest_n_counted(
     quota = F.lit(n) - F.coalesce(
         F.sum("_rows").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    quotas = counts.withColumn("_quota", quota).filter(F.col("_quota") > 0)
-    joined = bucketed.join(bounded_side(quotas), [*keys, "_bucket"])
-    whole = joined.filter(F.col("_rows") <= F.col("_quota"))
-    cut = top_n_per_group(
-        joined.filter(F.col("_rows") > F.col("_quota")), keys,
-        [F.col(c).desc() for c in order], order, F.col("_quota"),
+    quotas = bounded_side(counts.withColumn("_quota", quota).filter(F.col("_quota") > 0))
+    ends = quotas.filter(F.col("_rows") > F.col("_quota"))
+    hot = ends.filter(F.col("_rows") > hot_rows).select(*keys)
+    whole = bucketed.join(quotas.filter(F.col("_rows") <= F.col("_quota")), [*keys, "_bucket"])
+    cut = _cut(
+        bucketed.join(ends, [*keys, "_bucket"]), keys, [F.col(c).desc() for c in order],
+        F.col("_quota"), None, None if hot.isEmpty() else hot,
     )
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
@@ -96,16 +111,17 @@ def top_mem(processes: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 
 def top_per_node(processes: DataFrame, column: str, n: int = TOP_ROWS) -> DataFrame:
     """The largest ``n`` of every node, with their rank."""
-    order = [F.col(column).desc()]
-    kept = top_n_per_group(processes, ["node_name"], order, ["pid"], n)
-    return rank_within(kept, ["node_name"], [*order, F.col("pid")])
+    order = [F.col(column).desc(), F.col("pid")]
+    kept = top_n_per_group(processes, ["node_name"], order, n)
+    return rank_within(kept, ["node_name"], order)
 
 
 def first_n_in_capture(
     processes: DataFrame, n: int | Column, at_most: int | None = None
 ) -> DataFrame:
     """First ``n`` rows of each capture in listing order (no sort by CPU)."""
-    return top_n_per_group(processes, ["node_name", "snapshot_id"], [], ["pos"], n, at_most)
+    capture = ["node_name", "snapshot_id"]
+    return top_n_per_group(processes, capture, [F.col("pos")], n, at_most)
 
 
 def list_processes(processes: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Join sides of a checked size."""
+"""Join sides and groups of a checked size."""
 
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_ROWS = 100_000
 
+# Rows of a group that one task sorts without trouble.
+HOT_ROWS = 5_000_000
+
 
 def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` narrow rows.
@@ -17,3 +20,13 @@ def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Groups with more than ``hot_rows`` rows, for a join; None where there are none.
+
+    Costs one pre-aggregated pass over the key columns when the plan is built.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = bounded_side(counted.filter(F.col("_rows") > hot_rows).select(*keys))
+    return None if hot.isEmpty() else hot

@@ -102,9 +102,13 @@ def trim_log(base: str, keep: Callable[[DataFrame], DataFrame]) -> BatchSink:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = read_version(batch.sparkSession, base, before=batch_id)
-        newest = keep(batch)
-        rows = newest if held is None else keep(held.unionByName(newest))
-        write_version(rows, base, batch_id)
+        fresh = batch.persist()  # read twice: to count its groups and to rank them
+        try:
+            newest = keep(fresh)
+            rows = newest if held is None else keep(held.unionByName(newest))
+            write_version(rows, base, batch_id)
+        finally:
+            fresh.unpersist()
         drop_old_versions(batch.sparkSession, base)
 
     return write

@@ -97,18 +97,19 @@ def newest(data, n):
     return sorted((k, i) for k, ids in groups.items() for i in sorted(ids)[-limit(k):])
 
 
+@pytest.mark.parametrize("hot_rows", [100, 10_000])
 @pytest.mark.parametrize("n", [1, 7, 5000])
-def test_top_n_per_group_matches_brute_force(rows, n):
+def test_top_n_per_group_matches_brute_force(rows, n, hot_rows):
     data, df = skewed(rows)
-    kept = ranking.top_n_per_group(df, ["k"], [F.col("id").desc()], ["id"], n)
+    kept = ranking.top_n_per_group(df, ["k"], [F.col("id").desc()], n, hot_rows=hot_rows)
     assert sorted(tuple(r) for r in kept.select("k", "id").collect()) == newest(data, n)
 
 
-@pytest.mark.parametrize("n", [1, 100, 777, 10_000])
-def test_newest_n_counted_matches_brute_force(rows, n):
+@pytest.mark.parametrize("n, hot_rows", [(1, 20), (100, 10_000), (777, 20), (777, 10_000), (10_000, 20)])
+def test_newest_n_counted_matches_brute_force(rows, n, hot_rows):
     data, df = skewed(rows)
     bucket = F.call_function("div", F.col("id"), F.lit(64).cast("bigint"))
-    kept = ranking.newest_n_counted(df, ["k"], ["id"], n, bucket)
+    kept = ranking.newest_n_counted(df, ["k"], ["id"], n, bucket, hot_rows)
     assert sorted(tuple(r) for r in kept.select("k", "id").collect()) == newest(data, n)
 
 
@@ -172,7 +173,8 @@ def test_spec_globs(rows):
     assert processes.match_any_glob(procs, []).count() == 4
 
 
-def test_with_previous_matches_brute_force(rows):
+@pytest.mark.parametrize("hot_rows", [0, 100, 10_000])
+def test_with_previous_matches_brute_force(rows, hot_rows):
     rng = random.Random(5)
     start = dt.datetime(2024, 3, 9, 20)  # spans a daylight saving gap of the session zone
     seen, data = set(), []
@@ -182,7 +184,7 @@ def test_with_previous_matches_brute_force(rows):
             seen.add((key, at))
             data.append((key, start + dt.timedelta(seconds=at), rng.choice([None, rng.randrange(100)])))
     df = rows(data, "k string, ts timestamp_ntz, v int")
-    got = values(processes.with_previous(df, ["k"], "ts", ["v", "ts"], 1800), "k", "ts", "prev_v", "prev_ts")
+    got = values(processes.with_previous(df, ["k"], "ts", ["v", "ts"], 1800, hot_rows), "k", "ts", "prev_v", "prev_ts")
     expected, last = [], {}
     for key, ts, v in sorted(data, key=lambda r: (r[0], r[1])):
         expected.append((key, ts, *last.get(key, (None, None))))
@@ -194,7 +196,7 @@ def test_cpu_delta(rows):
     t = dt.datetime(2024, 1, 1)
     df = rows([("n", 1, t, 0), ("n", 1, t + dt.timedelta(seconds=10), 5000), ("n", 1, t + dt.timedelta(hours=3), 10)],
               "node_name string, pid bigint, collected_at timestamp_ntz, cpu_time_ms bigint")
-    got = [r.cpu_delta_percent for r in processes.cpu_delta(df).orderBy("collected_at").collect()]
+    got = [r.cpu_delta_percent for r in processes.cpu_delta(df, hot_rows=1).orderBy("collected_at").collect()]
     assert got == [None, 50.0, None]
 
 
