@@ -2,8 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_LINE_NUMBERED = "node_name", "capture_id", "pos", "line"
-
 
 def number_lines(captures: DataFrame, text: str = "value") -> DataFrame:
     """One row per line of a whole capture text, with its 0-based position."""

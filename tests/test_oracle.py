@@ -28,6 +28,16 @@ def test_every_query_has_sql():
     assert registered().keys() == oracle_sql().keys()
 
 
+def test_entry_is_the_use_of_each_node(spark):
+    import __spark_entry__ as entry_point
+
+    assert entry_point.queries().keys() == entry_point.oracle_sql().keys()
+    df = entry_point.entry(spark)
+    assert df.columns == ["node_name", "mounts", "total_bytes", "used_bytes", "avail_bytes",
+                          "used_percent", "severity"]
+    assert df.count() == 4
+
+
 @pytest.mark.parametrize("name", sorted(registered()))
 def test_query_matches_sql(spark, database, name):
     df = registered()[name](spark, SF_DIR)
