@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import pfor
+from hostweave.llm import mixing, packing, pfor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,18 @@ def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_token_files(files)
 
 
+def op4_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
+
+
+def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files,)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op4_exact_complement_packing, op8_low_discrepancy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_low_discrepancy_mix": mixing.SQL}
