@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, packing, pfor
+from hostweave.llm import mixing, packing, pfor, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_token_files(files)
 
 
+def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
+
+
 def op4_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -29,7 +34,7 @@ def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op4_exact_complement_packing, op8_low_discrepancy_mix)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op8_low_discrepancy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
