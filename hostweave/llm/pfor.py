@@ -285,5 +285,5 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    # A file is a task's work: files are dealt out one by one.
-    return files.select("path", "start").repartition(F.col("path")).mapInArrow(read, schema)
+    # A file is a task's work, so they are dealt out one by one, not gathered by their few bytes.
+    return files.select("path", "start").repartition(max(1, files.count())).mapInArrow(read, schema)

@@ -11,6 +11,11 @@ import pyarrow.compute as pc
 #: ASCII white space, x20 and x09 to x0D, by byte value.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII letters and punctuation, by byte value.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 #: Text of one slice of a batch; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -69,10 +74,12 @@ def words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
 
 
 def chunks(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-    """The texts cut before each run of white space that follows another byte; bounds as in ``words``."""
+    """The texts cut before each run of white space that follows another byte, and between an
+    ASCII letter and ASCII punctuation after it; bounds as in ``words``."""
     raw, offsets = buffer_of(texts)
     white, first = _edges(raw, offsets)
-    begins = first[:-1] | (white & ~np.concatenate(([True], white[:-1]))) if len(raw) else white
+    begins = first[:-1]
+    begins[1:] |= (white[1:] & ~white[:-1]) | (PUNCTUATION[raw[1:]] & LETTER[raw[:-1]])
     begin = np.flatnonzero(begins)
     return from_buffer(raw, np.append(begin, len(raw))), np.searchsorted(begin, offsets)
 
@@ -87,4 +94,7 @@ def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """begin[0], begin[0]+1, .. of length[0] numbers, then those of the next run."""
     ends = np.cumsum(length)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(begin - (ends - length), length) + np.arange(total)
+    kind = np.int32 if total < 1 << 31 and (not len(begin) or begin.max() < 1 << 31) else np.int64
+    out = np.repeat((begin - (ends - length)).astype(kind), length)
+    out += np.arange(total, dtype=kind)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import sys
 import types
@@ -13,17 +14,21 @@ import pyarrow.compute as pc
 from hostweave.llm import texts as tx
 
 #: Distinct pieces that a Python worker remembers before it starts anew: memory, not results.
-REMEMBERED = 400_000
-#: White space beyond ASCII: next to it, a cut at ASCII white space could change the ids.
-WIDE_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+REMEMBERED = 1_000_000
+#: Texts with white space beyond ASCII or what may be a special token are encoded whole.
+WHOLE = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pieces that stay apart when they are joined: a space and letters.
+PLAIN = r"^ \p{L}+$"
+JOINED = 1000
 
 
 class TextEncoder:
     """Ids of texts by the tokenizers library, add_special_tokens=False.
 
-    Pre-tokenizers here never join a letter with white space that follows it, so a text's
-    ids are those of its chunks (white space, then other bytes). Distinct chunks are encoded
-    once and remembered. Texts with white space beyond ASCII are encoded whole.
+    The pre-tokenizers used here never join a letter with white space or punctuation that
+    follows it, so a text's ids are those of its pieces (white space, then other bytes, cut
+    between letter and punctuation). Distinct pieces are encoded once and remembered. Pieces
+    of a space and letters are encoded many at a time and told apart by their last ids.
     """
 
     def __init__(self, path: str):
@@ -31,6 +36,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.size = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():  # a byte-level name has a character for each byte
+            self.size[i] = name.endswith(self.suffix) if self.suffix else len(name)
         self.forget()
 
     @classmethod
@@ -47,47 +57,72 @@ class TextEncoder:
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _each(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all names one after the other, and how many each has."""
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         length = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for x in coded for i in x), np.uint32, int(length.sum()))
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, flat))
-        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+        return np.fromiter((i for x in coded for i in x), np.uint32, int(length.sum())), length
+
+    def _together(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for names that match ``PLAIN``: a name ends with the id that ends its bytes or word."""
+        parts = [names[i : i + JOINED] for i in range(0, len(names), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        ids, length = [], []
+        for part, x in zip(parts, coded, strict=True):
+            flat = np.array(x.ids, np.uint32)
+            size = self.size[flat]
+            wanted = np.ones(len(part), np.int64) if self.suffix else np.fromiter((len(n.encode()) for n in part), np.int64, len(part))
+            at, done = np.cumsum(wanted), np.cumsum(size)
+            ends = np.searchsorted(done, at)
+            if not len(done) or done[-1] != at[-1] or (done[ends] != at).any():
+                flat, many = self._each(part)
+            else:
+                many = np.diff(ends, prepend=-1)
+            ids.append(flat)
+            length.append(many)
+        return np.concatenate(ids), np.concatenate(length)
+
+    def _learn(self, new: pa.StringArray) -> None:
+        plain = pc.match_substring_regex(new, PLAIN)
+        for own, encode in ((plain, self._together), (pc.invert(plain), self._each)):
+            if names := new.filter(own).to_pylist():
+                ids, length = encode(names)
+                self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
+                self.length = np.concatenate((self.length, length))
+                self.ids = np.concatenate((self.ids, ids))
+                self.slots.update(zip(names, range(len(self.slots), len(self.slots) + len(names)), strict=True))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and bounds: text i has ids bounds[i] to bounds[i+1]."""
-        wide = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)
-        if not wide.any():
-            return self._by_chunks(texts)
-        parts, size = [], np.zeros(len(texts), np.int64)
-        at = 0
-        while at < len(texts):  # runs of texts of one kind
-            end = at + 1
-            while end < len(texts) and wide[end] == wide[at]:
-                end += 1
-            run = texts.slice(at, end - at)
-            if wide[at]:
-                coded = [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(run.to_pylist(), add_special_tokens=False)]
-                parts += coded
-                size[at:end] = [len(x) for x in coded]
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(texts)
+        parts, size = [], []
+        for i in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(whole)) + 1):  # runs of one kind
+            run = texts.slice(int(i[0]), len(i))
+            if whole[i[0]]:
+                ids, length = self._each(run.to_pylist())
             else:
-                ids, bounds = self._by_chunks(run)
-                parts.append(ids)
-                size[at:end] = np.diff(bounds)
-            at = end
-        return np.concatenate(parts), np.concatenate(([0], np.cumsum(size)))
+                ids, bounds = self._by_pieces(run)
+                length = np.diff(bounds)
+            parts.append(ids)
+            size.append(length)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(size))))
+
+    def _find(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.get, names, itertools.repeat(-1)), np.int64, len(names))
 
-    def _by_chunks(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def _by_pieces(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         pieces, bounds = tx.chunks(texts)
         code, distinct = tx.codes(pieces)
         names = distinct.to_pylist()
         if len(self.slots) + len(names) > REMEMBERED:
             self.forget()
-        if new := [x for x in names if x not in self.slots]:
-            self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[code]
+        slot = self._find(names)
+        if (new := np.flatnonzero(slot < 0)).size:
+            self._learn(distinct.take(pa.array(new)))
+            slot[new] = self._find([names[i] for i in new.tolist()])
+        slot = slot[code]
         length = self.length[slot]
         ids = self.ids[tx.spread(self.begin[slot], length)]
         return ids, np.concatenate(([0], np.cumsum(length)))[bounds]
