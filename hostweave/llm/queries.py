@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, packing, pfor, quality
+from hostweave.llm import mixing, packing, pfor, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +28,20 @@ def op4_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    pages = found.where("gap IS NULL AND record_type IN ('response', 'revisit')")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op8_low_discrepancy_mix)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op8_low_discrepancy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_low_discrepancy_mix": mixing.SQL}
+    return {"op5_warc_salvage": warc.SQL, "op8_low_discrepancy_mix": mixing.SQL}
