@@ -177,7 +177,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
             raw, size = ids.astype("<u4"), np.diff(bounds)
             many = -(-size // capacity)
             doc = np.repeat(np.arange(len(size)), many)
-            piece = tx.spread(np.zeros(len(size), np.int64), many)
+            piece = tx.spread(np.zeros(len(size), np.int64), many).astype(np.int64)
             start = piece * capacity
             length = np.minimum(size[doc] - start, capacity)
             begin = bounds[doc] + start
