@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, packing, pfor, quality, warc
+from hostweave.llm import mixing, neardup, packing, pfor, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,17 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("_text")
+
+
 def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op8_low_discrepancy_mix)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op7_lsh_forest, op8_low_discrepancy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
