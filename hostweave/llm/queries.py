@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, neardup, packing, pfor, quality, warc
+from hostweave.llm import mixing, neardup, packing, passages, pfor, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,13 @@ def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.remove_repeats(documents)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op7_lsh_forest, op8_low_discrepancy_mix)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op7_lsh_forest, op8_low_discrepancy_mix, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
