@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostweave.llm.tables import written
+from hostweave.llm.tables import only, set_aside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -116,20 +116,36 @@ def mix_schedule(targets: DataFrame) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame, seed: str = "mix") -> DataFrame:
-    """All documents with size, source_size, target and taken (words the mix takes, with repeats).
+    """doc_id, source, size, source_size, target and taken (words the mix takes, with repeats) of all documents.
 
     Null text has size 0; null sources are one source; a document without words is never taken.
     Documents are shuffled by md5 of the seed and doc_id, then by doc_id and size, so reruns agree;
-    rows equal in all of these may swap what is taken of them. Columns of these names in the
-    input are replaced, the others kept; names that begin with _ must not be used. No row of an
-    empty table.
+    rows equal in all of these may swap what is taken of them. Other columns are not read. An
+    empty table gives no row.
     """
-    own = ["size", "source_size", "target", "taken"]
-    sized = documents.drop(*own).withColumn("size", word_count(F.col("text")))
-    stored = written(sized.drop("text").withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    return _mixed(only(documents, "doc_id", "source", "text").withColumn("size", word_count(F.col("text"))).drop("text"), seed)
+
+
+def _mixed(sized: DataFrame, seed: str) -> DataFrame:
+    stored = written(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     return stored.join(taken_words(stored, seed), "_row").drop("_row")
 
 
+def mixed_copies(documents: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix as whole documents: each as often as the mix takes its words, rounded (only the
+    document where a source's target is reached is taken in part). Their own columns only."""
+    documents, names = set_aside(documents, "doc_id", "source", "text")
+    key = F.xxhash64("source", "text").alias("_key")
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), key)
+    copies = F.floor(F.sum("taken") / F.first("size") + 0.5).cast("long")
+    taken = _mixed(sized, seed).where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_taken"))
+    taken = taken.agg(copies.alias("_copies"), F.count(F.lit(1)).alias("_n")).where("_copies > 0")
+    rows = documents.withColumn("_key", key).join(taken, (F.col("_key") == F.col("_taken")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Rows that are repeated stand in the copies of all of them.
+    rows = rows.where("_n = 1").unionByName(rows.where("_n > 1").dropDuplicates(["_id", "_taken"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns).toDF(*names)
+
+
 def taken_words(stored: DataFrame, seed: str = "mix") -> DataFrame:
     """_row, source_size, target and taken for stored documents with _row, doc_id, source and size."""
     laid = (

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
 from hostweave.llm.components import components
-from hostweave.llm.tables import written
+from hostweave.llm.tables import only, set_aside, written
 
 SHINGLE = 5
 #: Percent of the union that two sets must share.
@@ -99,7 +99,7 @@ def with_signatures(documents: DataFrame) -> DataFrame:
                 ["doc_id", "_text", "n_shingles", "_one", "_two", "_sign"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_text"), "text")
+    rows = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_text"), "text")
     return rows.mapInArrow(sign, "doc_id long, _text long, n_shingles long, _one long, _two long, _sign binary")
 
 
@@ -272,7 +272,7 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate(sets).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["node", "shingles"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    rows = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     same = F.col("_hash") == F.col("_text"), F.col("_id").eqNullSafe(F.col("doc_id"))
     return rows.join(wanted, same[0] & same[1]).select("node", "text").mapInArrow(collect, "node long, shingles array<long>")
 
@@ -339,8 +339,9 @@ def without_duplicates(documents: DataFrame) -> DataFrame:
     """One document of each component, with its own columns; of rows equal in doc_id and text, one."""
     verdicts = written(near_duplicates(documents), "duplicates")
     kept = verdicts.where("kept").groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.count(F.lit(1)).alias("_n"))
+    documents, names = set_aside(documents, "doc_id", "text")
     rows = documents.withColumn("_hash", F.xxhash64("text"))
     found = rows.join(kept, (F.col("_hash") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     once = found.where("_n = 1").select(*documents.columns)
     repeated = found.where("_n > 1").dropDuplicates(["_id", "_text"]).select(*documents.columns)
-    return once.unionByName(repeated)
+    return once.unionByName(repeated).toDF(*names)

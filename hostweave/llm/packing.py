@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
-from hostweave.llm.tables import written
+from hostweave.llm.tables import only, written
 from hostweave.llm.tokenizing import TextEncoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -193,7 +193,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return only(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
 from hostweave.llm.suffixes import deep_shallow
-from hostweave.llm.tables import file_system
+from hostweave.llm.tables import file_system, only, schema_with, set_aside
 from hostweave.workspace import fresh_dir
 
 #: Length of a repeated string; of the strings whose least hash stands for it.
@@ -347,24 +347,27 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
-    """The documents' columns but text, with n_bytes, n_removed, n_spans and kept_sha256, and with
-    ``with_text`` the text that is left (a character that is cut in two goes whole).
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of all documents, and with ``with_text``
+    the text that is left (a character that is cut in two goes whole).
 
     Every byte goes that is covered by a string of 50 bytes that also starts in a document with a
     smaller doc_id. All texts are judged as they came in, overlaps count, matches never cross
     documents. Null text is empty. A null doc_id is greater than all others; rows with one doc_id
-    never remove from each other, so of repeated rows all stay. Columns of the result's names in
-    the input are replaced. An empty table gives no row.
+    never remove from each other, so of repeated rows all stay. Other columns are not read. An
+    empty table gives no row.
     """
+    return _removed(only(documents, "doc_id", "text"), with_text)
+
+
+def _removed(documents: DataFrame, with_text: bool) -> DataFrame:
+    """The same, with all columns of documents that has doc_id, text and columns set aside."""
     spark = documents.sparkSession
-    own = [x.split()[0] for x in DIGEST.split(", ")] + ["_row"]
-    others = [f for f in documents.schema if f.name not in (*own, "text")]
+    rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+    others = [f for f in rows.schema if f.name != "text"]
+    own = [x.split()[0] for x in DIGEST.split(", ")]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = fresh_dir(spark, "stored-documents")
-    chosen = documents.select(*[F.col(f"`{f.name}`") for f in others], "text")
-    chosen.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id()).write.option(
-        "compression", "zstd"
-    ).parquet(folder)
+    rows.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.parquet(folder)
     removed = _removed_strings(stored, buckets, _shared_hashes(stored, buckets))
 
@@ -401,18 +404,19 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
         arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()))
         if with_text:
             arrays.append(pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()))
-        return pa.RecordBatch.from_arrays(arrays, [f.name for f in others] + own[:-1] + ["text"] * with_text)
+        return pa.RecordBatch.from_arrays(arrays, [f.name for f in others] + own + ["text"] * with_text)
 
-    kinds = [f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in others] + [DIGEST] + ["text string"] * with_text
-    return stored.mapInArrow(finish, ", ".join(kinds))
+    return stored.mapInArrow(finish, schema_with(others, DIGEST + ", text string" * with_text))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents with their own columns and what is left of their texts; n_chars, if there, is
     counted anew. A document of which no word is left, though it had some, goes."""
-    left = remove_repeats(documents, with_text=True)
+    counted = ["n_chars"] if "n_chars" in documents.columns else []
+    documents, names = set_aside(documents, "doc_id", "text", *counted)
+    left = _removed(documents, with_text=True)
     rows = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*documents.columns)
+    for name in counted:
+        length = F.char_length("text").cast(documents.schema[name].dataType)
+        rows = rows.withColumn(name, F.when(F.col("n_removed") > 0, length).otherwise(F.col(name)))
+    return rows.select(*documents.columns).toDF(*names)

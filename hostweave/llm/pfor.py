@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
-from hostweave.llm.tables import file_system, output_folder, written
+from hostweave.llm.tables import file_system, only, output_folder, written
 from hostweave.llm.tokenizing import TextEncoder, with_end
 
 MAGIC = b"PFR1"
@@ -249,7 +249,8 @@ def write_token_files(
 
     order = ["doc_id", "_tie"]
     files = (
-        documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_tie"))
+        only(documents, "doc_id", "text")
+        .select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_tie"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
-from hostweave.llm.tables import written
+from hostweave.llm.tables import only, schema_with, set_aside, written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -91,7 +91,7 @@ def _repeated_words(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def with_statistics(documents: DataFrame) -> DataFrame:
     """The documents' columns and the five statistics; null text has none of anything."""
-    fields = [f for f in documents.schema if f.name not in STATS]
+    fields = documents.schema.fields
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.sliced(batches, "text"):
@@ -101,8 +101,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
                 [f.name for f in fields] + list(STATS),
             )
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{s} long" for s in STATS]
-    return documents.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(measure, ", ".join(kinds))
+    return documents.mapInArrow(measure, schema_with(fields, ", ".join(f"{s} long" for s in STATS)))
 
 
 def base_failed() -> Column:
@@ -282,12 +281,13 @@ def judge(measured: DataFrame, fitted: tuple[DataFrame, DataFrame, int]) -> Data
 
 
 def quality_verdicts(documents: DataFrame) -> DataFrame:
-    """Every document's columns but the text, its statistics, base_failed, distance and kept.
+    """Every document's doc_id, lang, source, its statistics, base_failed, distance and kept.
 
     Null text has no words and fails the base rules. Null languages and sources are groups of
-    their own. Repeated rows are judged alike. An empty table gives no row.
+    their own. Repeated rows are judged alike. Other columns are not read. An empty table gives
+    no row.
     """
-    measured = written(with_statistics(documents).drop("text"), "quality-statistics")
+    measured = written(with_statistics(only(documents, "doc_id", "lang", "source", "text")).drop("text"), "quality-statistics")
     return judge(measured, fit(measured))
 
 
@@ -297,5 +297,6 @@ def keep_good(documents: DataFrame) -> DataFrame:
     Their statistics are taken twice, for the estimates and for the verdict, so that no text is
     stored or shuffled.
     """
+    documents, names = set_aside(documents, "lang", "source", "text")
     fitted = fit(written(with_statistics(documents.select("lang", "source", "text")).drop("text"), "quality-statistics"))
-    return judge(with_statistics(documents), fitted).where("kept").select(*documents.columns)
+    return judge(with_statistics(documents), fitted).where("kept").select(*documents.columns).toDF(*names)

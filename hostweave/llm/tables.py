@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from hostweave.workspace import fresh_dir
 
@@ -18,6 +19,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with every column but the needed ones renamed to _x0, _x1, .., and the needed first
+    of each name kept, so that no other column can clash; and its names before."""
+    names, left = df.columns, list(needed)
+    for name in names:
+        if name in left:
+            left.remove(name)
+    if left:
+        raise ValueError(f"no column {', '.join(left)}")
+    left, renamed = list(needed), []
+    for i, name in enumerate(names):
+        renamed.append(name if name in left else f"_x{i}")
+        if name in left:
+            left.remove(name)
+    return df.toDF(*renamed), names
+
+
+def only(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, whatever others there are."""
+    return set_aside(df, *needed)[0].select(*needed)
+
+
+def schema_with(fields: StructType | list, more: str) -> StructType:
+    """The fields, and those of a DDL string."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
 def output_folder(spark: SparkSession, label: str, path: str | None) -> str:
     """The folder for an operator's files: the caller's, or a new one in the shared folder."""
     return (path or fresh_dir(spark, label)).rstrip("/")

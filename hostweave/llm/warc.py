@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.llm.tables import file_system, output_folder, written
+from hostweave.llm.tables import file_system, only, output_folder, written
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     spark = pages.sparkSession
     target = output_folder(spark, "archives", folder)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
+    rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("_sha1", F.sha1("payload"))
     shared = (
         rows.where(F.length("payload") >= least_bytes)
