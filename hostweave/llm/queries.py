@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, neardup, packing, passages, pfor, quality, warc
+from hostweave.llm import mixing, neardup, packing, passages, pfor, quality, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("_text")
 
@@ -48,8 +52,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op7_lsh_forest, op8_low_discrepancy_mix, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op6_dual_cover_tree, op7_lsh_forest, op8_low_discrepancy_mix, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_salvage": warc.SQL, "op8_low_discrepancy_mix": mixing.SQL}
+    return {"op5_warc_salvage": warc.SQL, "op6_dual_cover_tree": topk.SQL, "op8_low_discrepancy_mix": mixing.SQL}
