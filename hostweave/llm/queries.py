@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import mixing, neardup, packing, passages, pfor, quality, topk, warc
+from hostweave.llm import licenses, mixing, neardup, packing, passages, pfor, quality, tokencounts, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 
+def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -51,9 +55,30 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_unigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfor_token_files, op2_covariance_outliers, op4_exact_complement_packing, op5_warc_salvage, op6_dual_cover_tree, op7_lsh_forest, op8_low_discrepancy_mix, op9_suffix_dedup)}
+    chosen = (
+        op1_pfor_token_files,
+        op2_covariance_outliers,
+        op3_license_sentences,
+        op4_exact_complement_packing,
+        op5_warc_salvage,
+        op6_dual_cover_tree,
+        op7_lsh_forest,
+        op8_low_discrepancy_mix,
+        op9_suffix_dedup,
+        op10_unigram_trie,
+    )
+    return {f.__name__: f for f in chosen}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_salvage": warc.SQL, "op6_dual_cover_tree": topk.SQL, "op8_low_discrepancy_mix": mixing.SQL}
+    return {
+        "op3_license_sentences": licenses.sql(),
+        "op5_warc_salvage": warc.SQL,
+        "op6_dual_cover_tree": topk.SQL,
+        "op8_low_discrepancy_mix": mixing.SQL,
+    }
