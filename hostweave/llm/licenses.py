@@ -83,7 +83,7 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "UNLICENSE",
 }
 #: Words of which every known sentence holds one; a text without them is not cut up.
-HINT = r"(?i)licen[cs]e|permission|redistribution|warrant|liab|rights reserved|public domain|copyright"
+HINT = r"(?i)licen[cs]e|permission|redistribution|warranty|liable|reserved|public[^a-z0-9.+]+domain|creative|under[^a-z0-9.+]+(the[^a-z0-9.+]+)?cc"
 #: Rules in order: licence and the identifiers it asks for; those with ? may be missing. What no
 #: rule uses up and names a licence by itself is that licence.
 RULES = (
