@@ -31,7 +31,7 @@ LENGTH, GRAM = 50, 24
 RUN = LENGTH - GRAM + 1
 RUN_BYTES = 80
 #: Bytes of text, runs with bytes, and runs of a slice that are worked on together.
-SLICE, TOGETHER, HELD = 2 << 20, 100_000, 4_000_000
+SLICE, TOGETHER, HELD = 1 << 20, 50_000, 2_000_000
 #: Bits of a hash that travel in the first round, besides its bucket: too few only add work.
 TRAVELS = 40
 FACTOR = 0x9FB21C651E98DF25
@@ -132,7 +132,7 @@ def _beside(folder: str, part: int) -> list[bytes]:
 
 def _write_beside(found: DataFrame, label: str) -> str:
     folder = fresh_dir(found.sparkSession, label)
-    found.repartition("part").write.partitionBy("part").parquet(folder)
+    found.repartition("part").write.option("compression", "uncompressed").partitionBy("part").parquet(folder)
     return folder
 
 
@@ -202,13 +202,13 @@ def _shared_hashes(stored: DataFrame, buckets: int) -> str:
             order = np.lexsort((key, part))
             key, part = key[order] * np.uint64(buckets) + np.uint64(bucket), part[order]
             begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-            ends = np.append(begin[1:], len(part))
+            ends = np.append(begin[1:], len(part))[: len(begin)]
             blobs = [_packed(np.unique(key[a:b])) for a, b in zip(begin, ends, strict=True)]
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     sent = stored.select("_row", "text").mapInArrow(send, "bucket int, part long, blob binary")
-    return _write_beside(sent.repartition(buckets, "bucket").mapInArrow(meet, "part long, blob binary"), "shared-hashes")
+    return _write_beside(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "part long, blob binary"), "shared-hashes")
 
 
 class _Intervals:
@@ -279,7 +279,25 @@ def _removed_strings(stored: DataFrame, buckets: int, shared: str) -> str:
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        local = _Intervals()
+        local, held = _Intervals(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            value, row, doc, at, content = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            # What an equal run here already settles need not travel.
+            later = doc > _alike(content, doc)[1]
+            local.add(row[later], at[later], np.arange(RUN) < content[later, -1:])
+            value, row, doc, at, content = (x[~later] for x in (value, row, doc, at, content))
+            if not len(value):
+                return
+            bucket = (value % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((value, bucket))
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
+            blobs = [_packed(value[k], row[k], doc[k], at[k].astype(np.uint32), content[k]) for k in np.split(order, cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order[cut]]), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "part", "blob"]
+            )
+
         for part, batch in _by_part(batches):
             if part not in known:
                 blobs = _beside(shared, part)
@@ -295,24 +313,13 @@ def _removed_strings(stored: DataFrame, buckets: int, shared: str) -> str:
                 value, text, place, count = value[found], text[found], place[found], count[found]
                 if not len(value):
                     continue
-                content, doc = run_bytes(raw, place, count), doc_id[text]
-                at = place - offsets[text]
-                # What an equal run here already settles need not travel.
-                later = doc > _alike(content, doc)[1]
-                local.add(row[text[later]], at[later], np.arange(RUN) < count[later][:, None])
-                value, content, doc, text, at = value[~later], content[~later], doc[~later], text[~later], at[~later]
-                bucket = (value % np.uint64(buckets)).astype(np.int32)
-                order = np.lexsort((value, bucket))
-                cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
-                blobs = [
-                    _packed(value[k], row[text[k]], doc[k], at[k].astype(np.uint32), content[k])
-                    for k in np.split(order, cut[1:])
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order[cut]]), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "part", "blob"]
-                )
+                held.append((value, row[text], doc_id[text], place - offsets[text], run_bytes(raw, place, count)))
+            if sum(len(x[0]) for x in held) > 2 * TOGETHER:
+                yield from flush()
             if sum(map(len, local.rows)) > 1 << 20:
                 yield local.batch()
+        if held:
+            yield from flush()
         if (rest := local.batch()) is not None:
             yield rest
 
@@ -339,7 +346,7 @@ def _removed_strings(stored: DataFrame, buckets: int, shared: str) -> str:
 
     sent = stored.select("_row", "doc_id", "text").mapInArrow(send, "bucket int, part long, blob binary")
     # Settled intervals have no bucket: they are dealt by part.
-    dealt = sent.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.col("part")))
+    dealt = sent.repartitionById(buckets, F.coalesce(F.col("bucket"), F.pmod(F.col("part"), F.lit(buckets)).cast("int")))
     return _write_beside(dealt.mapInArrow(meet, "part long, blob binary"), "removed-strings")
 
 
@@ -403,7 +410,8 @@ def _removed(documents: DataFrame, with_text: bool) -> DataFrame:
         arrays = [batch.column(f.name) for f in others] + [pa.array(c, pa.int64()) for c in columns]
         arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()))
         if with_text:
-            arrays.append(pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()))
+            null = batch.column("text").is_null().to_pylist()
+            arrays.append(pa.array([None if n else x.decode("utf-8", "ignore") for x, n in zip(left, null, strict=True)], pa.string()))
         return pa.RecordBatch.from_arrays(arrays, [f.name for f in others] + own + ["text"] * with_text)
 
     return stored.mapInArrow(finish, schema_with(others, DIGEST + ", text string" * with_text))
