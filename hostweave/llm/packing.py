@@ -172,7 +172,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = TextEncoder.of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in tx.sliced(batches, "text"):
+        for batch in tx.sliced(batches, "text", 2 * tx.SLICE_BYTES):
             ids, bounds = with_end(*encoder.encode(tx.strings(batch.column("text"))), end_id)
             raw, size = ids.astype("<u4"), np.diff(bounds)
             many = -(-size // capacity)

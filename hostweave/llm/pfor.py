@@ -230,7 +230,7 @@ def write_token_files(
             writer.close()
             rows.append((writer.uri, part, len(rows), writer.n_docs, writer.n_ids))
 
-        for batch in tx.sliced(batches, "text"):
+        for batch in tx.sliced(batches, "text", 2 * tx.SLICE_BYTES):
             ids, bounds = with_end(*encoder.encode(tx.strings(batch.column("text"))), end_id)
             at = 0
             while at < batch.num_rows:

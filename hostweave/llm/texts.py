@@ -17,7 +17,7 @@ LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 #: Text of one slice of a batch; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def strings(column: pa.Array) -> pa.StringArray:
@@ -28,7 +28,10 @@ def strings(column: pa.Array) -> pa.StringArray:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in order, cut into slices with about ``most`` bytes of ``column``."""
+    """The batches' rows in order, cut into slices with about ``most`` bytes of ``column``.
+
+    After the last, memory that Arrow holds for later goes back: workers outlive tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
@@ -38,6 +41,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()
 
 
 def buffer_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from hostweave.llm.tables import only
 #: Stands for the white space before a word.
 SPACE = "▁"
 #: Distinct pre-tokens that a Python worker remembers before it starts anew: memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Log probability that a byte of a character outside the vocabulary costs beyond the rarest piece.
 UNKNOWN = 10.0
 
@@ -116,7 +116,7 @@ def token_counts(documents: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = UnigramTrie.of(model)
-        for batch in tx.sliced(batches, "text"):
+        for batch in tx.sliced(batches, "text", 2 * tx.SLICE_BYTES):
             words, bounds = tx.words(tx.strings(batch.column("text")))
             total = np.concatenate(([0], np.cumsum(trie.counts(words))))[bounds]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from hostweave.llm import texts as tx
 
 #: Distinct pieces that a Python worker remembers before it starts anew: memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Texts with white space beyond ASCII or what may be a special token are encoded whole.
 WHOLE = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Pieces that stay apart when they are joined: a space and letters.
