@@ -52,6 +52,7 @@ class TextEncoder:
         return held[path]
 
     def forget(self) -> None:
+        """Gives the remembered pieces' memory back; a task ends with it, as its worker lives on."""
         self.slots: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
