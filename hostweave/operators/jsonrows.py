@@ -22,8 +22,8 @@ def to_json_rows(df: DataFrame, omit_empty: list[str] = [], name: str = "json")
 def page_envelope(page_rows: DataFrame, meta: DataFrame, order: list[str]) -> DataFrame:
     """One JSON object with the rows of a page under ``data`` and ``meta`` beside it.
 
-    For pages cut by a limit: their rows are gathered into one value. A full list is
-    written with :func:`to_json_rows`, one object per row.
+    For pages cut by a limit: their rows are gathered into one value. A full list has no meta;
+    it is written with :func:`to_json_rows`, one object per row.
     """
     keyed = page_rows.select(F.struct(*order, F.struct(*page_rows.columns).alias("_row")).alias("_r"))
     rows = keyed.agg(
@@ -32,5 +32,5 @@ def page_envelope(page_rows: DataFrame, meta: DataFrame, order: list[str]) -> Da
     zero_free = F.struct(
         *[F.nullif(F.col(c), F.lit(0)).alias(c) for c in ("total", "limit", "offset")]
     )
-    header = meta.select(zero_free.alias("meta")).scalar()
+    header = meta.select(F.when(F.col("limit").isNotNull(), zero_free).alias("meta")).scalar()
     return rows.select(F.to_json(F.struct("data", header.alias("meta")), _IGNORE_NULLS).alias("json"))

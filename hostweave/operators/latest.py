@@ -2,8 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from hostweave.operators.sides import bounded_side
-
 # Types whose aggregation buffer is a fixed-width slot, so that Spark hash-aggregates.
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -29,10 +27,10 @@ def latest_by_key(df: DataFrame, keys: list[str], order: str = "seq") -> DataFra
 def current_snapshot(df: DataFrame, snapshot: str = "snapshot_id", node: str = "node_name") -> DataFrame:
     """Rows of each node's newest snapshot.
 
-    The snapshot numbers are one small row per node: within :func:`bounded_side`'s limit
-    they are broadcast and the history is neither shuffled nor sorted.
+    The snapshot numbers are one small row per node, so Spark broadcasts them once it knows
+    their bytes, and the history is not sorted.
     """
-    newest = bounded_side(df.groupBy(node).agg(F.max(snapshot).alias(snapshot)))
+    newest = df.groupBy(node).agg(F.max(snapshot).alias(snapshot))
     return df.join(newest, [node, snapshot], "left_semi")
 
 

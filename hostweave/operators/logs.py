@@ -8,7 +8,6 @@ hold them.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.operators.ranking import TAIL_ROWS, newest_n_counted, top_n_per_group
-from hostweave.operators.sides import bounded_side
 
 ARRIVAL = ["id"]
 FLEET_ARRIVAL = ["id", "node_name", "log_name"]
@@ -54,18 +53,17 @@ def keep_last_per_spec(
 ) -> DataFrame:
     """Newest ``max_lines`` of every log, the number taken from its specification.
 
-    Lines of logs without a specification are not kept: only configured logs are held.
-    The largest ``max_lines`` is looked up first, so that rows beyond it never travel.
+    Of several specifications of one log the first counts (by ``idx``, if there is such a
+    column). Logs without one are kept whole.
     """
-    limits = bounded_side(
-        specs.select("node_name", F.col("name").alias("log_name"), "max_lines")
-    )
-    largest = limits.agg(F.max("max_lines")).first()[0]
+    place = "idx" if "idx" in specs.columns else "max_lines"
+    first = F.min_by("max_lines", place).alias("_max_lines")
+    limits = specs.groupBy("node_name", F.col("name").alias("log_name")).agg(first)
+    limited = lines.join(limits, LOG_KEY, "left")
     newest_first = [F.col(c).desc() for c in order]
-    kept = top_n_per_group(
-        lines.join(limits, LOG_KEY), LOG_KEY, newest_first, F.col("max_lines"), largest
-    )
-    return kept.select(*lines.columns)
+    # A null limit is that of a log without specification.
+    kept = top_n_per_group(limited.filter("_max_lines IS NOT NULL"), LOG_KEY, newest_first, F.col("_max_lines"))
+    return kept.unionByName(limited.filter("_max_lines IS NULL")).select(*lines.columns)
 
 
 def log_line_counts(lines: DataFrame, keys: list[str] = LOG_KEY) -> DataFrame:

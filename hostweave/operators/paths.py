@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.globs import any_path_element_regex
 from hostweave.operators.ranking import top_n_per_group
-from hostweave.operators.sides import bounded_side
 
 SCAN_TIMEOUT_TEXT = "scan timeout exceeded"
 
@@ -35,12 +34,11 @@ def under_roots(inventory: DataFrame, roots: DataFrame) -> DataFrame:
     """Inventory rows paired with every root at or above them.
 
     Prefix containment as an equi-join: each path is exploded into its ancestors and
-    looked up by (node, ancestor). Roots within :func:`bounded_side`'s limit are broadcast,
-    so that the exploded rows are never shuffled; more of them join by shuffle, with
-    adaptive skew splitting. Adds the roots' columns (their path as ``root``) and ``rel``,
-    the path below the root.
+    looked up by (node, ancestor). Roots whose bytes Spark finds small are broadcast; more of
+    them join by shuffle, with adaptive skew splitting. Adds the roots' columns (their path as
+    ``root``) and ``rel``, the path below the root.
     """
-    keyed = bounded_side(roots.withColumn("_root", containment_key(F.col("root"))))
+    keyed = roots.withColumn("_root", containment_key(F.col("root")))
     exploded = inventory.withColumn("_root", F.explode(ancestors(F.col("path"), True)))
     rel = F.substr(F.col("path"), F.length("_root") + 2)
     return exploded.join(keyed, ["node_name", "_root"]).withColumn("rel", rel).drop("_root")
@@ -70,11 +68,14 @@ def exclude_paths(pairs: DataFrame) -> DataFrame:
 def path_counts(inventory: DataFrame, specs: DataFrame) -> DataFrame:
     """Files and directories below each specified root, after depth and excludes.
 
-    ``inventory`` is one snapshot (see ``current_snapshot``); ``specs`` are resolved and
-    unique by (node, path). A root nothing was found under has zero counts, status OK and
+    ``inventory`` is one snapshot (see ``current_snapshot``); ``specs`` are resolved. Of specs
+    that name a root twice the first by ``idx`` counts, if there is such a column. A root nothing was found under has zero counts, status OK and
     ``root_found`` false. Rows are counted before the shuffle, so a root over most of the
     fleet's files costs one row per task.
     """
+    place = "idx" if "idx" in specs.columns else "max_depth"
+    first = F.min_by(F.struct("max_depth", "exclude"), place).alias("_spec")
+    specs = specs.groupBy("node_name", "path").agg(first).select("node_name", "path", "_spec.*")
     roots = compile_excludes(
         specs.select("node_name", F.col("path").alias("root"), "max_depth", "exclude")
     )

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions.clock import MICROS, micros
 from hostweave.functions.globs import any_process_glob, any_process_glob_of
-from hostweave.operators.sides import HOT_ROWS, bounded_side, hot_groups
 
 
 def match_any_glob(processes: DataFrame, patterns: list[str], column: str = "name") -> DataFrame:
@@ -19,9 +18,7 @@ def match_spec_globs(processes: DataFrame, specs: DataFrame) -> DataFrame:
     The patterns of a node become one regex, so this is an equi-join on the node and
     not a join on the match. Nodes without a specification keep all rows.
     """
-    compiled = bounded_side(
-        specs.select("node_name", "top_n", any_process_glob(F.col("patterns")).alias("_regex"))
-    )
+    compiled = specs.select("node_name", "top_n", any_process_glob(F.col("patterns")).alias("_regex"))
     joined = processes.join(compiled, "node_name", "left")
     keep = F.col("_regex").isNull() | F.rlike(F.col("name"), F.col("_regex"))
     return joined.filter(keep).drop("_regex")
@@ -33,25 +30,18 @@ def with_previous(
     order: str,
     columns: list[str],
     bucket_seconds: int = 3600,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``prev_<column>`` from the row before in time order (``order`` unique per key).
 
-    Keys are counted first. One with more than ``hot_rows`` rows is not sorted by one task
-    but per time bucket, and the last row of every bucket, found by a pre-aggregation, is
-    carried into the bucket that follows.
+    A key is not sorted by one task but per time bucket, and the last row of every bucket,
+    found by a pre-aggregation, is carried into the bucket that follows. Choose the bucket so
+    that a key's rows in it suit one task.
     """
     previous = {c: f"prev_{c}" for c in columns}
-    hot = hot_groups(samples, keys, hot_rows)
-    if hot is None:
-        by_key = Window.partitionBy(*keys).orderBy(order)
-        return samples.withColumns({name: F.lag(c).over(by_key) for c, name in previous.items()})
-
     width = F.lit(bucket_seconds * MICROS).cast("bigint")
     bucket = F.call_function("div", micros(F.col(order)), width)
-    marked = samples.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    bucketed = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
-    last = bucketed.filter("_hot").groupBy(*keys, "_bucket").agg(
+    bucketed = samples.withColumn("_bucket", bucket)
+    last = bucketed.groupBy(*keys, "_bucket").agg(
         *[F.max_by(c, order).alias(name) for c, name in previous.items()]
     )
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
@@ -59,7 +49,7 @@ def with_previous(
         *keys, "_bucket", *[F.lag(name).over(by_bucket).alias(name) for name in previous.values()]
     )
     # A carried row stands in front of its bucket and is dropped after the lag.
-    rows = bucketed.drop("_hot").withColumn("_carried", F.lit(False)).unionByName(
+    rows = bucketed.withColumn("_carried", F.lit(False)).unionByName(
         carried.select(
             *keys, "_bucket", *[F.col(name).alias(c) for c, name in previous.items()],
             F.lit(True).alias("_carried"),
@@ -74,9 +64,7 @@ def with_previous(
     )
 
 
-def cpu_delta(
-    samples: DataFrame, bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def cpu_delta(samples: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """CPU percent between samples from the used CPU time ``cpu_time_ms``.
 
     NULL for the first sample of a process and where its CPU time went back (a new
@@ -84,7 +72,7 @@ def cpu_delta(
     """
     paired = with_previous(
         samples, ["node_name", "pid"], "collected_at", ["cpu_time_ms", "collected_at"],
-        bucket_seconds, hot_rows,
+        bucket_seconds,
     )
     used = F.col("cpu_time_ms") - F.col("prev_cpu_time_ms")
     wall = micros(F.col("collected_at")) - micros(F.col("prev_collected_at"))

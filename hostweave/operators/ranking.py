@@ -4,70 +4,55 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hostweave.operators.sides import HOT_ROWS, bounded_side, hot_groups
-
 # Row counts of the reports.
 TOP_ROWS = 10
 TAIL_ROWS = 200
 
+#: Literal bound up to which Spark cuts a group's rows in each task before the shuffle.
+CUT_IN_TASK = 1000
+
+
 def _parts(df: DataFrame) -> int:
     """Parts of a group: the square root of the shuffle width balances both rounds."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(2, math.isqrt(width))
 
 
-def top_n_per_group(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    n: int | Column,
-    at_most: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | Column) -> DataFrame:
     """First ``n`` rows of each group in ``order``, a total order; exact for any skew.
 
-    Groups are counted first. One with more than ``hot_rows`` rows is cut in two rounds,
-    within parts of the group and then over what the parts kept, so that many tasks rank
-    it. A part is a share of the input partitions: with a literal bound of up to 1000 Spark
-    cuts rows before the shuffle (WindowGroupLimit), and all rows of a group in a task
-    count together there. The bound is ``n`` itself or, where ``n`` is a column, its
-    largest value ``at_most``.
+    A column ``n`` must be the same in all rows of a group. For a literal of up to
+    ``CUT_IN_TASK`` Spark cuts rows in each task before the shuffle (WindowGroupLimit).
+    Otherwise groups are cut in two rounds, within parts of the group and
+    then over what the parts kept; a part is a share of the input partitions.
     """
-    return _cut(df, keys, order, n, at_most, hot_groups(df, keys, hot_rows))
 
-
-def _cut(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    n: int | Column,
-    at_most: int | None,
-    hot: DataFrame | None,
-) -> DataFrame:
     def keep(rows: DataFrame, group: list[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        within = F.col("_rank") <= n
-        if at_most is not None:
-            within = within & (F.col("_rank") <= at_most)
-        return rows.withColumn("_rank", rank).filter(within).drop("_rank")
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    if hot is None:
+    if isinstance(n, int) and n <= CUT_IN_TASK:
         return keep(df, keys)
-    share = F.spark_partition_id() % _parts(df)
-    marked = df.withColumn("_share", share).join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    parted = marked.withColumn("_part", F.when(F.col("_hot"), F.col("_share")).otherwise(F.lit(0)))
-    first_round = keep(parted, [*keys, "_part"]).select(*df.columns)
-    return keep(first_round, keys)
-
-
-def newest_n_counted(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    n: int,
-    bucket: Column,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    parted = df.withColumn("_part", F.spark_partition_id() % _parts(df))
+    return keep(keep(parted, [*keys, "_part"]).select(*df.columns), keys)
+
+
+def rows_before(rows: Column, keys: list[str], order: list[Column]) -> Column:
+    """Sum of ``rows`` over what comes before in ``order``; 0 for the first."""
+    before = Window.partitionBy(*keys).orderBy(*order)
+    return F.coalesce(F.sum(rows).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def newest_by_quota(df: DataFrame, quotas: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Newest ``_quota`` rows of each group, of which there are ``_rows``; groups that fit pass whole."""
+    counted = df.join(quotas.filter(F.col("_quota") > 0), keys)
+    whole = counted.filter(F.col("_rows") <= F.col("_quota"))
+    newest = [F.col(c).desc() for c in order]
+    cut = top_n_per_group(counted.filter(F.col("_rows") > F.col("_quota")), keys, newest, F.col("_quota"))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+
+
+def newest_n_counted(df: DataFrame, keys: list[str], order: list[str], n: int, bucket: Column) -> DataFrame:
     """Newest ``n`` rows per group for large ``n``, sorting as little as possible.
 
     ``bucket`` must not decrease along ``order``. Rows are counted per group and bucket;
@@ -76,19 +61,9 @@ def newest_n_counted(
     """
     bucketed = df.withColumn("_bucket", bucket)
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    newer = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc())
-    quota = F.lit(n) - F.coalesce(
-        F.sum("_rows").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    quotas = bounded_side(counts.withColumn("_quota", quota).filter(F.col("_quota") > 0))
-    ends = quotas.filter(F.col("_rows") > F.col("_quota"))
-    hot = ends.filter(F.col("_rows") > hot_rows).select(*keys)
-    whole = bucketed.join(quotas.filter(F.col("_rows") <= F.col("_quota")), [*keys, "_bucket"])
-    cut = _cut(
-        bucketed.join(ends, [*keys, "_bucket"]), keys, [F.col(c).desc() for c in order],
-        F.col("_quota"), None, None if hot.isEmpty() else hot,
-    )
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    quota = F.lit(n) - rows_before(F.col("_rows"), keys, [F.col("_bucket").desc()])
+    kept = newest_by_quota(bucketed, counts.withColumn("_quota", quota), [*keys, "_bucket"], order)
+    return kept.select(*df.columns)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -116,12 +91,10 @@ def top_per_node(processes: DataFrame, column: str, n: int = TOP_ROWS) -> DataFr
     return rank_within(kept, ["node_name"], order)
 
 
-def first_n_in_capture(
-    processes: DataFrame, n: int | Column, at_most: int | None = None
-) -> DataFrame:
+def first_n_in_capture(processes: DataFrame, n: int | Column) -> DataFrame:
     """First ``n`` rows of each capture in listing order (no sort by CPU)."""
     capture = ["node_name", "snapshot_id"]
-    return top_n_per_group(processes, capture, [F.col("pos")], n, at_most)
+    return top_n_per_group(processes, capture, [F.col("pos")], n)
 
 
 def list_processes(processes: DataFrame) -> DataFrame:

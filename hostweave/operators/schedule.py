@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.functions.schedule import allowed_numbers, is_unrestricted, spelled_out
-from hostweave.operators.sides import bounded_side
 
 # Days searched: two months serve nearly every schedule; eight years hold every
 # combination of day and month, February 29th included.
@@ -24,7 +23,7 @@ def expected_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
     the search is made once per distinct schedule and joined back.
     """
     schedules = jobs.select("schedule").distinct()
-    return jobs.join(bounded_side(next_runs(schedules, now)), "schedule", "left").select(
+    return jobs.join(next_runs(schedules, now), "schedule", "left").select(
         *jobs.columns, "next_run"
     )
 

@@ -199,7 +199,7 @@ CROSS JOIN (VALUES ('text'), ('tail')) r(reader)""",
     "log_keep_last_n": _KEEP_20,
     "log_keep_last_per_spec": """SELECT node_name, log_name, id FROM loglines
 QUALIFY row_number() OVER (PARTITION BY node_name, log_name ORDER BY id DESC) <=
-  CASE WHEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 > 0 THEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 ELSE 1000 END""",
+  CASE WHEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 > 0 THEN substr(log_name, 4)::INTEGER % 5 * 3 - 3 ELSE 1000 END OR log_name = 'src7'""",
     "log_search": r"SELECT id, line FROM loglines WHERE regexp_matches(line, '[0-9]{3}.*\.$')",
     "log_line_counts": "SELECT node_name, log_name, count(*) AS line_count FROM loglines GROUP BY ALL",
     "log_files": f"""SELECT * EXCLUDE (n), n AS size, {_FILE_SIZE} AS size_text,

@@ -168,8 +168,7 @@ def proc_first_n(b: Bindings) -> DataFrame:
 def proc_spec_first_n(b: Bindings) -> DataFrame:
     specified = specs.resolve_process_specs(b.process_specs())
     matched = processes.match_spec_globs(_processes(b), specified)
-    largest = specified.agg(F.max("top_n")).first()[0]
-    kept = ranking.first_n_in_capture(matched, F.col("top_n"), largest)
+    kept = ranking.first_n_in_capture(matched, F.col("top_n"))
     return kept.select("node_name", "snapshot_id", "pos", "name")
 
 

@@ -20,6 +20,6 @@ def read_text_captures(spark: SparkSession, root: str) -> DataFrame:
     A capture is one host's command output, so a file is read whole: positions on
     split files would not be line numbers.
     """
-    files = spark.read.text(root, wholetext=True)
+    files = spark.read.schema("value string, node_name string").text(root, wholetext=True)
     capture = F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(?:\.[^.]*)?\z", 1)
     return number_lines(files.withColumn("capture_id", capture))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hostweave.operators.sides import bounded_side
+
+#: Text files below ``node_name=<n>/log_name=<l>``: names stay text even when they are numbers.
+NAMED_TEXT = "value string, node_name string, log_name string"
 
 
 def clean_line(line: Column) -> Column:
@@ -22,15 +24,14 @@ def split_log_lines(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines of whole files, with the partition columns of the path.
+    """Non-empty lines of whole files, with the node and log that the path names.
 
     Only ``\\n`` ends a line: the reader's default also breaks at a lone ``\\r``.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = spark.read.schema(NAMED_TEXT).option("lineSep", "\n").text(path)
     named = raw.withColumn("log_path", F.col("_metadata.file_path"))
-    return drop_blank(
-        named.withColumn("line", clean_line(F.col("value"))).drop("value")
-    )
+    lines = drop_blank(named.withColumn("line", clean_line(F.col("value"))).drop("value"))
+    return lines.select("node_name", "log_name", "log_path", "line")
 
 
 def log_file_info(specs: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def log_file_info(specs: DataFrame, inventory: DataFrame) -> DataFrame:
     cannot broadcast its left side, does not shuffle all of it.
     """
     files = inventory.filter(~F.col("is_dir")).select("node_name", "path", "size", "mtime")
-    wanted = bounded_side(specs.select("node_name", "path").distinct())
+    wanted = specs.select("node_name", "path").distinct()
     files = files.join(wanted, ["node_name", "path"], "left_semi")
     return specs.join(files, ["node_name", "path"], "left").select(
         "node_name", "name", "path", "max_lines",

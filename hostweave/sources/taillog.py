@@ -5,13 +5,18 @@ offset is, per file, the inode and the byte after the last complete line, kept i
 query's checkpoint: a restart resumes where it was. Files must be on storage that every
 executor mounts.
 
-A file is read again from its start when its inode changed (rotation) or when it ends
-before the last offset (truncation). A file truncated and grown past the old offset
-between two triggers is not noticed.
+A file is read again from its start when another file took its place (rotation) or when it
+ends before the last offset (truncation). A file that only changed its name goes on where it
+was, known by its inode and a checksum of its first bytes. A file that is absent for a while keeps its offset: in memory, and
+across restarts in ``stateFile``, as a source is not told where the query stood before. A file
+truncated and grown past the old offset between two triggers is not noticed.
 """
 
 import glob
+import json
 import os
+import zlib
+from urllib.parse import unquote
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -28,6 +33,7 @@ BLOCK_BYTES = 1 << 20
 DEFAULT_RANGE_BYTES = 128 << 20
 DEFAULT_MAX_LINE_BYTES = 1 << 20
 BATCH_ROWS = 8192
+HEAD_BYTES = 256
 
 _SCHEMA = (
     "node_name string, log_name string, log_path string, line_offset bigint, "
@@ -63,8 +69,9 @@ class LogTail(DataSource):
     """Lines of log files, as a stream or (whole files) as a table.
 
     Options: ``path``, a glob of files below directories ``node_name=<n>/log_name=<l>``
-    (new files join at the next trigger); ``maxPartitionBytes``; ``maxLineBytes``, beyond
-    which a line comes in ``oversize_line``; ``emitPartial`` (default false) to emit an
+    (new files join at the next trigger); ``stateFile``, where offsets of absent files outlive
+    a restart; ``maxPartitionBytes``; ``maxLineBytes``, beyond which a line comes in
+    ``oversize_line``, in pieces of that many bytes with a row and offset each; ``emitPartial`` (default false) to emit an
     unterminated last line, whose rest then becomes another line; ``failOnDataLoss``
     (default true) for planned bytes that are gone before they were read.
     """
@@ -93,6 +100,7 @@ class LogFiles:
             self.pattern = self.pattern[len("file:"):]
         self.range_bytes = int(given.get("maxpartitionbytes", DEFAULT_RANGE_BYTES))
         self.max_line_bytes = int(given.get("maxlinebytes", DEFAULT_MAX_LINE_BYTES))
+        self.state_file = given.get("statefile", "").removeprefix("file:")
         self.emit_partial = given.get("emitpartial", "false").lower() == "true"
         self.fail_on_loss = given.get("failondataloss", "true").lower() == "true"
 
@@ -100,7 +108,7 @@ class LogFiles:
         return sorted(p for p in glob.glob(self.pattern) if os.path.isfile(p))
 
     def ranges(self, path: str, inode: int, first: int, last: int) -> list[ByteRange]:
-        labels = dict(p.split("=", 1) for p in path.split("/") if "=" in p)
+        labels = {k: unquote(v) for k, v in (p.split("=", 1) for p in path.split("/") if "=" in p)}
         return [
             ByteRange(
                 labels.get("node_name", ""), labels.get("log_name", ""), path, inode,
@@ -120,7 +128,7 @@ class LogFiles:
             if stat.st_ino != part.inode or stat.st_size < part.last:
                 self._lost(part, "the file was replaced or truncated")
                 return
-            yield from self._batches(part, _lines_in(handle, part))
+            yield from self._batches(part, _lines_in(handle, part, self.max_line_bytes))
 
     def _lost(self, part: ByteRange, why: str) -> None:
         if self.fail_on_loss:
@@ -138,12 +146,11 @@ class LogFiles:
                  pa.array(oversize, pa.string())]
             return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
-        for offset, raw in lines:
-            raw = raw.removesuffix(b"\r")
+        for offset, raw, fits in lines:
+            raw = raw.removesuffix(b"\r") if fits else raw
             if not raw:
                 continue
             text = raw.decode("utf-8", "replace")
-            fits = len(raw) <= self.max_line_bytes
             offsets.append(offset)
             texts.append(text if fits else None)
             oversize.append(None if fits else text)
@@ -154,8 +161,12 @@ class LogFiles:
             yield flush()
 
 
-def _lines_in(handle, part: ByteRange) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes without line feed) of the lines that start within the range."""
+def _lines_in(handle, part: ByteRange, most: int) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes without line feed, whole) of the lines that start within the range.
+
+    A line of more than ``most`` bytes comes in pieces of ``most`` bytes, none of them whole:
+    no more of it is held at a time.
+    """
     position = part.start
     handle.seek(position)
     if part.start > part.first:
@@ -163,13 +174,33 @@ def _lines_in(handle, part: ByteRange) -> Iterator[tuple[int, bytes]]:
         # exactly here is ours, so the search begins one byte earlier.
         position -= 1
         handle.seek(position)
-        position += len(handle.readline(part.last - position))
+        skipped = b""
+        while not skipped.endswith(b"\n") and position < part.last:
+            skipped = handle.readline(min(BLOCK_BYTES, part.last - position))
+            position += len(skipped)
+            if not skipped:
+                return
     while position < part.stop:
-        raw = handle.readline(part.last - position)
+        # Room for the line end, so that a line of just ``most`` bytes is whole.
+        raw = handle.readline(min(most + 2, part.last - position))
         if not raw:
             return
-        yield position, raw.removesuffix(b"\n")
-        position += len(raw)
+        text = raw.removesuffix(b"\n")
+        if len(text.removesuffix(b"\r")) <= most and (raw.endswith(b"\n") or position + len(raw) >= part.last):
+            yield position, text, True
+            position += len(raw)
+            continue
+        begin, held = position, b""
+        while raw:
+            position += len(raw)
+            ended = raw.endswith(b"\n")
+            held += raw.removesuffix(b"\n").removesuffix(b"\r") if ended else raw
+            while len(held) > most or (ended and held):
+                yield begin, held[:most], False
+                begin, held = begin + most, held[most:]
+            raw = b"" if ended else handle.readline(min(most, part.last - position))
+        if held:
+            yield begin, held, False
 
 
 def _after_last_newline(path: str, size: int, floor: int) -> int:
@@ -186,22 +217,41 @@ def _after_last_newline(path: str, size: int, floor: int) -> int:
     return floor
 
 
+def _head(path: str, end: int) -> int:
+    """Checksum of the first bytes up to ``end``, HEAD_BYTES at most."""
+    with open(path, "rb") as handle:
+        return zlib.crc32(handle.read(min(end, HEAD_BYTES)))
+
+
 class LogTailStreamReader(DataSourceStreamReader):
     def __init__(self, files: LogFiles):
         self.files = files
         self._seen: dict[str, tuple[int, int, int]] = {}  # path -> inode, size, line end
+        self._known: dict[str, list[int]] | None = None  # offsets given out, absent files included
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        offset = {}
+        found = {}
         for path in self.files.paths():
             try:
-                offset[path] = self._line_end(path)
+                found[path] = self._line_end(path)
             except FileNotFoundError:
                 continue
-        return offset
+        if self._known is None:
+            self._known = self._stored()
+        here = {o[0] for o in found.values()}
+        absent = {p: o for p, o in self._known.items() if p not in found and o[0] not in here}
+        self._known = absent | found
+        return dict(self._known)
+
+    def _stored(self) -> dict[str, list[int]]:
+        try:
+            with open(self.files.state_file) as handle:
+                return json.load(handle)
+        except FileNotFoundError:
+            return {}
 
     def _line_end(self, path: str) -> list[int]:
         stat = os.stat(path)
@@ -213,19 +263,32 @@ class LogTailStreamReader(DataSourceStreamReader):
             else:
                 end = _after_last_newline(path, stat.st_size, end if grown else 0)
             self._seen[path] = (stat.st_ino, stat.st_size, end)
-        return [stat.st_ino, end]
+        return [stat.st_ino, end, _head(path, end)]
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        if self.files.state_file:
+            self._store(end)
+        known = {inode: (done, head) for inode, done, head in start.values()}
         planned = []
-        for path, (inode, last) in end.items():
-            known_inode, known_end = start.get(path, (None, 0))
-            same = known_inode == inode and known_end <= last
-            planned += self.files.ranges(path, inode, known_end if same else 0, last)
+        for path, offset in end.items():
+            if start.get(path) == offset:
+                continue
+            inode, last, _ = offset
+            done, head = known.get(inode, (0, None))
+            same = done <= last and os.path.exists(path) and _head(path, done) == head
+            planned += self.files.ranges(path, inode, done if same else 0, last)
         return planned
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         return self.files.lines(partition)
 
+    def _store(self, end: dict) -> None:
+        """Once a batch is planned, its end is in the query's log and will be reached."""
+        spare = f"{self.files.state_file}.new"
+        with open(spare, "w") as handle:
+            json.dump(end, handle)
+        os.replace(spare, self.files.state_file)
+
     def commit(self, end: dict) -> None:
         pass
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
-from hostweave.operators import logs, paging, paths, processes, ranking, sides, summary
+from hostweave.operators import logs, paging, paths, processes, ranking, summary
 from hostweave.operators.jsonrows import page_envelope, to_json_rows
 from hostweave.operators.latest import current_snapshot, last_per_pid, latest_by_key
 from hostweave.operators.schedule import expected_runs
@@ -47,12 +47,9 @@ def test_overlapping_roots_both_count(rows, tree):
     assert got == [("m", "/r", 0), ("n", "/r", 5), ("n", "/r/dir1", 3)]
 
 
-def test_many_roots_join_by_shuffle(rows, tree, monkeypatch):
-    roots = rows([("n", "/r", 0, []), ("n", "/r/dir1", 0, [])], SPEC)
-    few = values(paths.path_counts(tree, roots))
-    unbounded = lambda df: sides.bounded_side(df, 1)
-    monkeypatch.setattr(paths, "bounded_side", unbounded)
-    assert values(paths.path_counts(tree, roots)) == few
+def test_repeated_root_counts_once(rows, tree):
+    twice = rows([("n", "/r", 1, [], 1), ("n", "/r", 0, [], 0)], SPEC + ", idx int")
+    assert values(paths.path_counts(tree, twice), "file_count", "dir_count") == [(5, 3)]
 
 
 def test_largest_files(rows, tree):
@@ -97,19 +94,19 @@ def newest(data, n):
     return sorted((k, i) for k, ids in groups.items() for i in sorted(ids)[-limit(k):])
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
+@pytest.mark.parametrize("column", [False, True])
 @pytest.mark.parametrize("n", [1, 7, 5000])
-def test_top_n_per_group_matches_brute_force(rows, n, hot_rows):
+def test_top_n_per_group_matches_brute_force(rows, n, column):
     data, df = skewed(rows)
-    kept = ranking.top_n_per_group(df, ["k"], [F.col("id").desc()], n, hot_rows=hot_rows)
+    kept = ranking.top_n_per_group(df, ["k"], [F.col("id").desc()], F.lit(n) if column else n)
     assert sorted(tuple(r) for r in kept.select("k", "id").collect()) == newest(data, n)
 
 
-@pytest.mark.parametrize("n, hot_rows", [(1, 20), (100, 10_000), (777, 20), (777, 10_000), (10_000, 20)])
-def test_newest_n_counted_matches_brute_force(rows, n, hot_rows):
+@pytest.mark.parametrize("n", [1, 100, 777, 10_000])
+def test_newest_n_counted_matches_brute_force(rows, n):
     data, df = skewed(rows)
     bucket = F.call_function("div", F.col("id"), F.lit(64).cast("bigint"))
-    kept = ranking.newest_n_counted(df, ["k"], ["id"], n, bucket, hot_rows)
+    kept = ranking.newest_n_counted(df, ["k"], ["id"], n, bucket)
     assert sorted(tuple(r) for r in kept.select("k", "id").collect()) == newest(data, n)
 
 
@@ -135,8 +132,10 @@ def test_keep_last_per_spec(rows):
     limits = {f"k{i}": i for i in range(1, 50)} | {"hot": 300}
     table = rows([("n", k, v) for k, v in limits.items()], "node_name string, name string, max_lines int")
     kept = logs.keep_last_per_spec(lines, table).select("log_name", "id")
-    wanted = newest([d for d in data if d[0] in limits], lambda k: limits[k])
+    wanted = newest(data, lambda k: limits.get(k, len(data)))  # k0 has no specification
     assert sorted(tuple(r) for r in kept.collect()) == wanted
+    twice = rows([("n", "hot", 5, 1), ("n", "hot", 3, 0)], "node_name string, name string, max_lines int, idx int")
+    assert logs.keep_last_per_spec(lines, twice).filter("log_name = 'hot'").count() == 3
 
 
 def test_tails(rows):
@@ -173,8 +172,8 @@ def test_spec_globs(rows):
     assert processes.match_any_glob(procs, []).count() == 4
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100, 10_000])
-def test_with_previous_matches_brute_force(rows, hot_rows):
+@pytest.mark.parametrize("seconds", [60, 1800, 10**7])
+def test_with_previous_matches_brute_force(rows, seconds):
     rng = random.Random(5)
     start = dt.datetime(2024, 3, 9, 20)  # spans a daylight saving gap of the session zone
     seen, data = set(), []
@@ -184,7 +183,7 @@ def test_with_previous_matches_brute_force(rows, hot_rows):
             seen.add((key, at))
             data.append((key, start + dt.timedelta(seconds=at), rng.choice([None, rng.randrange(100)])))
     df = rows(data, "k string, ts timestamp_ntz, v int")
-    got = values(processes.with_previous(df, ["k"], "ts", ["v", "ts"], 1800, hot_rows), "k", "ts", "prev_v", "prev_ts")
+    got = values(processes.with_previous(df, ["k"], "ts", ["v", "ts"], seconds), "k", "ts", "prev_v", "prev_ts")
     expected, last = [], {}
     for key, ts, v in sorted(data, key=lambda r: (r[0], r[1])):
         expected.append((key, ts, *last.get(key, (None, None))))
@@ -196,7 +195,7 @@ def test_cpu_delta(rows):
     t = dt.datetime(2024, 1, 1)
     df = rows([("n", 1, t, 0), ("n", 1, t + dt.timedelta(seconds=10), 5000), ("n", 1, t + dt.timedelta(hours=3), 10)],
               "node_name string, pid bigint, collected_at timestamp_ntz, cpu_time_ms bigint")
-    got = [r.cpu_delta_percent for r in processes.cpu_delta(df, hot_rows=1).orderBy("collected_at").collect()]
+    got = [r.cpu_delta_percent for r in processes.cpu_delta(df).orderBy("collected_at").collect()]
     assert got == [None, 50.0, None]
 
 

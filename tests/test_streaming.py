@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import random
 
@@ -8,7 +9,8 @@ from conftest import values
 from hostweave.operators.logs import keep_last_n
 from hostweave.sources.taillog import ByteRange, LogFiles, LogTailStreamReader
 from hostweave.streaming import feeds, sinks
-from hostweave.streaming.versions import complete_versions, read_version
+from hostweave.sources.logs import read_log_files
+from hostweave.streaming.versions import RUN_PROPERTY, complete_versions, read_version
 from hostweave.workspace import fresh_dir, shared_root
 
 
@@ -27,8 +29,8 @@ class Tail:
         pattern = f"{self.base}/logs/node_name=*/log_name=*/*"
         stream = feeds.tail_logs(self.spark, pattern, **options)
         feeds.drain(stream, sinks.append_log(f"{self.base}/table"), f"{self.base}/checkpoint")
-        stored = self.spark.read.parquet(f"{self.base}/table").orderBy("id")
-        rows = [(r.id, r.line or r.oversize_line) for r in stored.collect()]
+        stored = sinks.read_log_table(self.spark, f"{self.base}/table").orderBy(*sinks.STORED_ORDER)
+        rows = [(tuple(r[c] for c in sinks.STORED_ORDER), r.line or r.oversize_line) for r in stored.collect()]
         new = [line for key, line in rows if key not in self.seen]
         self.seen |= {key for key, _ in rows}
         return new
@@ -53,14 +55,47 @@ def test_tail_append_partial_truncate_rotate_restart(spark, tmp_path):
     assert sorted(values(spark.read.parquet(f"{tmp_path}/table"), "log_name", "node_name"))[0] == ("app", "n")
 
 
+def test_tail_absence_rename_and_reused_inode(spark, tmp_path):
+    tail = Tail(spark, tmp_path)
+    state = {"stateFile": str(tmp_path / "state.json")}
+    tail.append(b"a\nb\n")
+    assert tail.run(**state) == ["a", "b"]
+    os.rename(tail.file, tmp_path / "away")
+    (tail.folder / "other.log").write_bytes(b"o\n")
+    assert tail.run(**state) == ["o"]
+    os.rename(tmp_path / "away", tail.file)  # back, with nothing new
+    (tail.folder / "third.log").write_bytes(b"t\n")
+    assert tail.run(**state) == ["t"]
+    os.rename(tail.file, tail.folder / "app.log.1")  # rotated within the pattern
+    with open(tail.folder / "app.log.1", "ab") as handle:
+        handle.write(b"late\n")
+    tail.file.write_bytes(b"new\n")
+    assert sorted(tail.run(**state)) == ["late", "new"]
+    reader = LogTailStreamReader(LogFiles({"path": str(tail.file)}))
+    inode = os.stat(tail.file).st_ino
+    planned = reader.partitions({"gone": [inode, 2, 12345]}, reader.latestOffset())
+    assert [(p.start, p.stop) for p in planned] == [(0, 4)]  # the same inode, but another file
+
+
+def test_names_are_read_as_they_were_written(spark, tmp_path):
+    folder = tmp_path / "node_name=01" / "log_name=web%3A80"
+    folder.mkdir(parents=True)
+    (folder / "part-0").write_bytes(b"x\n")
+    tailed = feeds.read_whole_logs(spark, f"{tmp_path}/node_name=*/log_name=*/*")
+    assert values(tailed, "node_name", "log_name") == [("01", "web:80")]
+    assert values(read_log_files(spark, str(tmp_path)), "node_name", "log_name", "line") == [("01", "web:80", "x")]
+
+
 def test_tail_partial_and_oversize(spark, tmp_path):
     tail = Tail(spark, tmp_path)
     tail.append(b"x" * 50 + b"\nab")
-    assert tail.run(emitPartial=True, maxLineBytes=20) == ["x" * 50, "ab"]
+    assert tail.run(emitPartial=True, maxLineBytes=20) == ["x" * 20, "x" * 20, "x" * 10, "ab"]
     tail.append(b"c\n")
     assert tail.run(emitPartial=True, maxLineBytes=20) == ["c"]
     stored = spark.read.parquet(f"{tmp_path}/table").filter("oversize_line is not null")
-    assert values(stored, "line", "line_offset") == [(None, 0)]
+    assert values(stored, "line", "line_offset", "oversize_line") == [
+        (None, 0, "x" * 20), (None, 20, "x" * 20), (None, 40, "x" * 10)
+    ]
 
 
 def read_ranges(path, data, range_bytes):
@@ -133,6 +168,35 @@ def test_sinks_are_repeatable(spark, rows, tmp_path):
     assert complete_versions(spark, f"{tmp_path}/t") == [1, 2, 3]  # older ones are dropped
 
 
+@pytest.fixture
+def in_run(spark):
+    """Names the stream that the sinks of this thread write for."""
+    yield lambda name: spark.sparkContext.setLocalProperty(RUN_PROPERTY, name)
+    spark.sparkContext.setLocalProperty(RUN_PROPERTY, None)
+
+
+def test_new_checkpoint_goes_on_with_the_table(rows, spark, tmp_path, in_run):
+    schema = "k string, v int, seq bigint"
+    latest, history = sinks.upsert_latest(f"{tmp_path}/t", ["k"]), sinks.append_history(f"{tmp_path}/h")
+    for run, batch_id, data in [("a", 7, ("old", 1, 1)), ("a", 8, ("old", 2, 2)), ("b", 0, ("new", 1, 1)), ("b", 0, ("new", 1, 1)),
+                                ("a", 8, ("old", 2, 2)), ("a", 9, ("last", 1, 1))]:
+        in_run(run)
+        latest(rows([data], schema), batch_id)
+        history(rows([data], schema), batch_id)
+    assert values(read_version(spark, f"{tmp_path}/t")) == [("last", 1, 1), ("new", 1, 1), ("old", 2, 2)]
+    assert spark.read.parquet(f"{tmp_path}/h").count() == 4
+
+
+def test_streams_with_two_checkpoints(spark, rows, tmp_path):
+    schema = "k string, status string, seq bigint"
+    for n in range(2):
+        rows([(f"k{n}", "x", n)], schema).write.parquet(f"{tmp_path}/in{n}")
+        sink = sinks.all_of(sinks.upsert_latest(f"{tmp_path}/t", ["k"]), sinks.append_history(f"{tmp_path}/h"))
+        feeds.drain(file_stream(spark, f"{tmp_path}/in{n}", schema), sink, f"{tmp_path}/checkpoint{n}")
+    assert values(read_version(spark, f"{tmp_path}/t"), "k") == [("k0",), ("k1",)]
+    assert sorted(r.run.split("-")[0] for r in spark.read.parquet(f"{tmp_path}/h").collect()) == ["00000000", "00000001"]
+
+
 def test_replace_snapshot(spark, rows, tmp_path):
     schema = "node_name string, snapshot_id bigint, pos bigint, pid bigint, name string"
     sink = sinks.replace_snapshot(f"{tmp_path}/t")
@@ -149,12 +213,37 @@ def test_trim_over_batches(spark, rows, tmp_path):
     assert values(read_version(spark, f"{tmp_path}/t")) == [("a", 10), ("a", 8), ("a", 9), ("b", 1)]
 
 
-def test_line_ids_grow_and_refuse_overflow(rows):
-    df = rows([(0,), (77,)], "line_offset bigint")
-    first, second = (values(sinks.with_line_ids(df, b), "id") for b in (1, 2))
-    assert max(first) < min(second)
-    with pytest.raises(Exception, match="does not fit"):
-        sinks.with_line_ids(rows([(1 << 40,)], "line_offset bigint"), 0).collect()
+def test_batches_and_positions_have_no_limit(rows, spark, tmp_path):
+    lines = rows([("n", "/l", 1 << 41, "x", None, dt.datetime(2024, 1, 1), "app")],
+                 "node_name string, log_path string, line_offset bigint, line string, oversize_line string, created_at timestamp_ntz, log_name string")
+    for batch_id in (1 << 23, (1 << 23) + 1):
+        sinks.append_log(f"{tmp_path}/t")(lines, batch_id)
+    stored = sinks.read_log_table(spark, f"{tmp_path}/t")
+    assert values(stored, "batch_id", "line_offset") == [(1 << 23, 1 << 41), ((1 << 23) + 1, 1 << 41)]
+
+
+@pytest.mark.parametrize("keys", [[], ["log_name"]])
+@pytest.mark.parametrize("days, most", [(100, 10**6), (2, 10**6), (100, 25), (100, 3), (3, 40), (0, 7)])
+def test_stored_retention(rows, spark, tmp_path, keys, days, most):
+    data = [("n", "/l", i, f"l{i}", None, dt.datetime(2024, 1, 10) - dt.timedelta(hours=5 * (59 - i)), "a" if i % 3 else "b") for i in range(60)]
+    schema = "node_name string, log_path string, line_offset bigint, line string, oversize_line string, created_at timestamp_ntz, log_name string"
+    for batch_id in range(3):
+        sinks.append_log(f"{tmp_path}/t")(rows(data[batch_id * 20 : batch_id * 20 + 20], schema), batch_id)
+    sinks.retain_stored(spark, f"{tmp_path}/t", F.lit(dt.date(2024, 1, 10)), days, most, keys)
+    young = [d for d in data if d[5].date() >= dt.date(2024, 1, 10) - dt.timedelta(days=days)]
+    groups = {k: [d[2] for d in young if not keys or d[6] == k] for k in ("a", "b")}
+    want = {i for ids in groups.values() for i in ids[-most:]}
+    assert {r.line_offset for r in sinks.read_log_table(spark, f"{tmp_path}/t").collect()} == want
+    assert not [f for f in os.listdir(tmp_path / "t") if f.startswith("_")]
+
+
+def test_compaction_bounds_files_of_many_and_hot_values(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id", "IF(id % 2 = 0, 'hot', concat('k', id % 99)) AS k").repartition(40)
+    sinks.compact_table(df, f"{tmp_path}/out", 8, ["k"])
+    files = [f for _, _, names in os.walk(tmp_path / "out") for f in names if f.endswith(".parquet")]
+    hot = [f for f in os.listdir(tmp_path / "out" / "k=hot") if f.endswith(".parquet")]
+    assert len(files) <= 8 + 100 and 2 <= len(hot) <= 4
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20_000
 
 
 def test_compaction_keeps_rows(spark, tmp_path):
