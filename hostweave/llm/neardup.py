@@ -1,10 +1,11 @@
 """Near duplicates by an LSH forest of MinHash signatures, confirmed on whole shingle sets.
 
 Each tree orders the signatures by hash values of its own. Documents whose order begins with
-the same values are a region. A small region is compared whole; a large one is cut by the next
-value (so dense places get deeper prefixes), and its members are compared with their neighbours
-in the order, which share the longest prefix, and with the members nearest to its most common
-values. Candidates by signature are confirmed on the full sets.
+the same values are a region. A small region is compared whole; a large one is first cut by the
+next value (so dense places get deeper prefixes), and its members are compared with their
+neighbours in the order, which share the longest prefix, and with the members nearest to its most
+common values. Candidates by signature are confirmed on the full sets. Then all pairs of the large
+regions that no link has joined yet are compared, block by block over many tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TREES, PREFIX, DEPTH, HASHES = 16, 3, 8, 64
 REGION = 64
 #: Neighbours in order and central members that each member of a larger region is compared with.
 NEIGHBOURS, CENTRES = 2, 3
+#: Rows of a block, about, when all pairs of a larger region are compared; pairs looked at together.
+BLOCK, AT_ONCE = 512, 1 << 17
 #: Least share of equal signature bytes of a candidate: linked pairs fall below once in 10**5.
 CANDIDATE = 0.52
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,7 +184,8 @@ FOUND = "a long, b long, alike double, " + TREE
 
 
 def _compare(sorted_rows: DataFrame) -> DataFrame:
-    """Candidate pairs of ordered rows; of regions at a partition's edge also the central members.
+    """Candidate pairs of ordered rows; of regions at a partition's edge also the central members,
+    and of regions that are not compared whole a row without a node.
 
     A region cut by partitions is compared in parts; what its central members yield among
     themselves joins the parts.
@@ -215,6 +219,13 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
         for low, high in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
             parts += run.candidates(low, high, PREFIX)
         yield from joined(parts)
+        large = begin[end - begin > REGION]
+        if k := len(large):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(tree[large]), _fixed(key[large]),
+                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+                ["a", "b", "alike", "tree", "key", "node", "n_shingles", "sketch"],
+            )
         for low, high in edges(begin, end, first, last):
             chosen = pa.array(run.centres(low, high))
             part = rows.take(chosen).combine_chunks().to_batches()[0]
@@ -251,15 +262,60 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(compare, FOUND)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b, alike) of classes (node, n_shingles, _sign), each once."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b, alike) of classes (node, n_shingles, _sign), each once; and the
+    regions (tree, prefix) whose pairs are not all among them."""
     order = ["tree", "key", "node"]
     found = written(_compare(_trees(classes).repartitionByRange(*order).sortWithinPartitions(*order)), "forest")
-    cut = found.where("a IS NULL").select("tree", "key", "node", "n_shingles", "sketch").distinct()
+    cut = found.where("a IS NULL AND node IS NOT NULL").select("tree", "key", "node", "n_shingles", "sketch").distinct()
     prefix = F.substring("key", 1, 4 * PREFIX)
     again = _compare(cut.repartition("tree", prefix).sortWithinPartitions(*order))
     pairs = found.select("a", "b", "alike").unionByName(again.select("a", "b", "alike")).where("a IS NOT NULL")
-    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
+    wide = found.where("a IS NULL AND node IS NULL").select("tree", prefix.alias("prefix")).distinct()
+    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates"), written(wide, "regions")
+
+
+def _pairs_of_blocks(rows: pa.Table) -> pa.Table:
+    """Pairs of a cell's two blocks, or of its one, by size and signature, whose components differ."""
+    rows = rows.combine_chunks()
+    block, component = rows["block"].to_numpy(), rows["component"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(rows.num_rows, HASHES)
+    run = _Run(sketch, rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), sketch)
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    parts = [run.pairs(one[:0], one[:0])]
+    step = max(1, AT_ONCE // max(1, len(other)))
+    for at in range(0, len(one), step):
+        some = one[at : at + step]
+        apart = component[some][:, None] != component[other]
+        if i == j:
+            apart &= some[:, None] < other
+        a, b = np.nonzero(apart)
+        parts.append(run.pairs(some[a], other[b]))
+    a, b, alike = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64())})
+
+
+def candidates_apart(classes: DataFrame, label: DataFrame, wide: DataFrame) -> DataFrame:
+    """All candidate pairs (a < b, alike) in the wide regions whose ends lie in different components.
+
+    A region's rows are dealt into blocks, and each two blocks meet in a task of bounded size. A
+    region of one component has nothing to compare.
+    """
+    labeled = classes.join(label, "node", "left").select("node", "n_shingles", "_sign", F.coalesce("component", "node").alias("component"))
+    regions = wide.withColumn("region", F.monotonically_increasing_id())
+    trees = _trees(labeled).select("tree", F.substring("key", 1, 4 * PREFIX).alias("prefix"), "node", "n_shingles", "sketch")
+    rows = trees.join(regions, ["tree", "prefix"]).select("region", "node", "n_shingles", "sketch")
+    rows = written(rows.join(labeled.select("node", "component"), "node"), "wide-rows")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    sizes = written(sizes.where("_low < _high").select("region", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "wide-sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    dealt = rows.join(sizes, "region").withColumn("block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = dealt.select(
+        "region", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "n_shingles", "component", "sketch"
+    )
+    pairs = cells.groupBy("region", "i", "j").applyInArrow(_pairs_of_blocks, "a long, b long, alike double")
+    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates-apart")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,14 +353,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     document kept. Repeated rows are equal sets, so one class, and get equal results.
 
     Equal sets are one class, so copies are compared once. First each class is confirmed against
-    its likeliest candidate, then whatever candidates still lie in different components.
+    its likeliest candidate, then whatever candidates still lie in different components, and last
+    whatever pairs of the large regions do.
     """
     signed = written(with_signatures(documents), "signatures")
     alike = ["_one", "_two", "n_shingles"]
     rep = F.min(F.struct("doc_id", "_text")).alias("_rep")
     classes = signed.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("_least"), rep, F.first("_sign").alias("_sign"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs = candidates(classes)
+    pairs, wide = candidates(classes)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = classes.join(ends, "node").select("node", "_rep.doc_id", "_rep._text")
     sets = written(_sets(documents, wanted).dropDuplicates(["node"]), "sets")
@@ -321,7 +378,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .join(label.select(F.col("node").alias("b"), F.col("component").alias("_cb")), "b", "left")
         .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
     )
-    label = components(first.unionByName(written(_confirmed(apart, sets), "links")))
+    links = first.unionByName(written(_confirmed(apart, sets), "links"))
+    label = components(links)
+    more = written(candidates_apart(classes, label, wide).join(pairs, ["a", "b"], "left_anti"), "more-candidates")
+    if not more.isEmpty():
+        late = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(ends, "node", "left_anti")
+        wanted = classes.join(late, "node").select("node", "_rep.doc_id", "_rep._text")
+        sets = sets.unionByName(written(_sets(documents, wanted).dropDuplicates(["node"]), "sets"))
+        label = components(links.unionByName(written(_confirmed(more, sets), "links")))
 
     labeled = classes.select(*alike, "node", "_least").join(label, "node", "left").withColumn("_component", F.coalesce("component", "node"))
     smallest = labeled.groupBy("_component").agg(F.min("_least").alias("component_id"))

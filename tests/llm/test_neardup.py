@@ -72,6 +72,38 @@ def test_region_cut_by_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def chain(seed, count, size, step):
+    """Texts that each change a few words in place of the one before, so that only close ones are linked."""
+    rng, now = np.random.default_rng(seed), words(seed, size)
+    out = []
+    for _ in range(count):
+        at = int(rng.integers(0, size - step))
+        now[at : at + step] = [f"y{x}" for x in rng.integers(0, 1 << 30, step)]
+        out.append(" ".join(now))
+    return out
+
+
+def family(seed, count, size, own, linked):
+    """Pages of one template with ``own`` words in a row of their own, and every tenth a near copy of the page before."""
+    base, out = words(seed, size), []
+    for i in range(count):
+        if i % 10 == 9:
+            last = out[-1].split(" ")
+            last[:linked] = [f"z{i}.{k}" for k in range(linked)]
+            out.append(" ".join(last))
+        else:
+            out.append(" ".join(base[:-own] + [f"v{i}.{k}" for k in range(own)]))
+    return out
+
+
+def test_large_regions_are_compared_whole(spark, monkeypatch):
+    """A chain of drifting copies and a family of templated pages, over 1,000 texts each."""
+    rows = [(i, t, "en", "a") for i, t in enumerate(chain(5, 1100, 150, 14))]
+    rows += [(5000 + i, t, "en", "a") for i, t in enumerate(family(6, 1100, 160, 24, 20))]
+    monkeypatch.setattr(neardup, "BLOCK", 200)
+    assert result(neardup.near_duplicates(odd_documents(spark, rows)).drop("_text")) == expected(rows)
+
+
 def test_odd_documents(spark):
     assert result(neardup.near_duplicates(odd_documents(spark)).drop("_text")) == expected(ODD)
     left = neardup.without_duplicates(odd_documents(spark))
