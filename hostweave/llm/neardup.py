@@ -5,7 +5,8 @@ the same values are a region. A small region is compared whole; a large one is f
 next value (so dense places get deeper prefixes), and its members are compared with their
 neighbours in the order, which share the longest prefix, and with the members nearest to its most
 common values. Candidates by signature are confirmed on the full sets. Then all pairs of the large
-regions that no link has joined yet are compared, block by block over many tasks.
+regions, and of those cut by partitions, that no link has joined yet are compared, block by block
+over many tasks.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
     and of regions that are not compared whole a row without a node.
 
     A region cut by partitions is compared in parts; what its central members yield among
-    themselves joins the parts.
+    themselves joins most of the parts early, before ``candidates_apart`` compares it whole.
     """
 
     def found(pairs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -271,7 +272,8 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefix = F.substring("key", 1, 4 * PREFIX)
     again = _compare(cut.repartition("tree", prefix).sortWithinPartitions(*order))
     pairs = found.select("a", "b", "alike").unionByName(again.select("a", "b", "alike")).where("a IS NOT NULL")
-    wide = found.where("a IS NULL AND node IS NULL").select("tree", prefix.alias("prefix")).distinct()
+    # Large ones, and those that a partition's edge may have cut.
+    wide = found.where("a IS NULL").select("tree", prefix.alias("prefix")).distinct()
     return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates"), written(wide, "regions")
 
 
@@ -354,7 +356,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Equal sets are one class, so copies are compared once. First each class is confirmed against
     its likeliest candidate, then whatever candidates still lie in different components, and last
-    whatever pairs of the large regions do.
+    whatever pairs of the large regions, and of those cut by partitions, do.
     """
     signed = written(with_signatures(documents), "signatures")
     alike = ["_one", "_two", "n_shingles"]

@@ -104,6 +104,26 @@ def test_large_regions_are_compared_whole(spark, monkeypatch):
     assert result(neardup.near_duplicates(odd_documents(spark, rows)).drop("_text")) == expected(rows)
 
 
+def test_candidates_do_not_depend_on_partitions(spark):
+    """A family small enough to be compared whole, in one partition and cut by many."""
+    rows = [(i, t, "en", "a") for i, t in enumerate(family(7, 60, 160, 24, 20))]
+    signed = neardup.with_signatures(odd_documents(spark, rows)).withColumnRenamed("doc_id", "node")
+    classes = neardup.written(signed.select("node", "n_shingles", "_sign"), "classes")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    nothing = spark.createDataFrame([], "node long, component long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = []
+    try:
+        for partitions in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            pairs, wide = neardup.candidates(classes)
+            found.append(set(result(pairs.union(neardup.candidates_apart(classes, nothing, wide)), "a", "b")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
 def test_odd_documents(spark):
     assert result(neardup.near_duplicates(odd_documents(spark)).drop("_text")) == expected(ODD)
     left = neardup.without_duplicates(odd_documents(spark))
