@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import licenses, mixing, neardup, packing, passages, pfor, quality, tokencounts, topk, warc
+from hostweave.llm import licenses, mixing, neardup, packing, passages, pfor, quality, streamdedup, tokencounts, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_unigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_pfor_token_files,
@@ -71,6 +75,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_low_discrepancy_mix,
         op9_suffix_dedup,
         op10_unigram_trie,
+        op11_streaming_exact_dedup,
     )
     return {f.__name__: f for f in chosen}
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_salvage": warc.SQL,
         "op6_dual_cover_tree": topk.SQL,
         "op8_low_discrepancy_mix": mixing.SQL,
+        "op11_streaming_exact_dedup": streamdedup.SQL,
     }
