@@ -22,12 +22,13 @@ BATCH_BYTES = 4 << 30
 KEY_BYTES = 32
 #: Copies that one copy of the staying text is compared with.
 COPIES = 1024
-#: Bounded native memory for all partitions of the state in an executor.
+#: Bounded native memory for all partitions of the state in an executor, and no disk held in advance for each.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 SQL = r"""
@@ -98,7 +99,8 @@ def _checked(rows: DataFrame) -> DataFrame:
 def verdicts(table: DataFrame, held: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """A row per row of ``table`` (Parquet files that the state has seen): doc_id, keep_id, group_size, kept, text_sha256."""
     repeated = written(held.where("n > 1"), "repeated-digests")
-    found = _located(table, key_bytes).join(repeated, "_key", "left")
+    # Merged at every size, so that texts of a hot digest stay split by Spark's skew handling.
+    found = _located(table, key_bytes).join(repeated.hint("merge"), "_key", "left")
     rows = written(found.withColumn("_normal", F.when(F.col("n") > 1, F.col("_normal"))), "digests")
     single = rows.where("n IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
     hits = written(_checked(rows.where("n > 1")), "hits")
