@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hostweave.llm import licenses, mixing, neardup, packing, passages, pfor, quality, streamdedup, tokencounts, topk, warc
+from hostweave.llm import licenses, mixing, neardup, packing, passages, periods, pfor, quality, streamdedup, tokencounts, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(periods.with_periods(table(spark, sf_dir, "documents")), digest=True)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS length, r.start AS start, r.period AS period)))")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = found.withColumn("_best", longest).withColumn("length", -F.col("_best.length"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.start").alias("start"), "length", F.col("_best.period").alias("period"),
+        F.floor(1000 * F.col("length") / F.col("_best.period")).alias("exponent_milli"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_pfor_token_files,
@@ -76,6 +90,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_suffix_dedup,
         op10_unigram_trie,
         op11_streaming_exact_dedup,
+        op12_tiled_runs,
     )
     return {f.__name__: f for f in chosen}
 

@@ -117,3 +117,35 @@ def check_packing(pieces, capacity):
             end += length
         assert end <= capacity
     return len(by)
+
+
+def runs(words):
+    """(start, length, period) of every maximal periodic stretch, by comparing each word with that of each period before."""
+    found, n = {}, len(words)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            begin = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i + q - begin >= max(12, 2 * q):
+                found.setdefault((begin, i + q - begin), q)
+            i += 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def collapsed(words, found):
+    dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+    return [w for i, w in enumerate(words) if i not in dropped]
+
+
+def periodic(doc_id, text):
+    """The words of a text with the query's planted period."""
+    words = WORD.findall(text or "")
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
