@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import licenses, mixing, neardup, packing, passages, periods, pfor, quality, streamdedup, tokencounts, topk, warc
+from hostweave.llm import licenses, mixing, neardup, packing, passages, periods, pfor, quality, streamdedup, tokencounts, topk, turns, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_rank_convergence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired_after_damage(table(spark, sf_dir, "conversations"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_pfor_token_files,
@@ -91,6 +95,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_unigram_trie,
         op11_streaming_exact_dedup,
         op12_tiled_runs,
+        op13_rank_convergence_repair,
     )
     return {f.__name__: f for f in chosen}
 

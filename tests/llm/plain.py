@@ -149,3 +149,67 @@ def periodic(doc_id, text):
     a = g % n
     p = 1 + (n - a) // (3 + g % 8)
     return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+FOLLOW = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+
+def cheapest(rows):
+    """(cost, audit, repaired rows) of rows (role, text, fault), by trying every edit from the end on."""
+    nothing = (float("inf"), "", ())
+    best = {s: (0, "", ()) if s in ("", "a") else nothing for s in ("", "s", "u", "a")}
+
+    def with_inserts(base):
+        for _ in range(3):
+            for s in base:
+                new = "a" if s == "u" else "u"
+                cost, audit, kept = base[new]
+                base[s] = min(base[s], (cost + 3, "I" + audit, ((("assistant" if s == "u" else "user"), ""), *kept)))
+        return base
+
+    best = with_inserts(best)
+    for role, text, fault in reversed(rows):
+        now = {}
+        for s in best:
+            cost, audit, kept = best[s]
+            ways = [(cost + 4, "D" + audit, kept)]
+            if fault not in ("blank", "duplicate"):
+                extra = 3 * (fault == "truncated")
+                if (s, role[:1]) in FOLLOW:
+                    cost, audit, kept = best[FOLLOW[s, role[:1]]]
+                    ways.append((cost + extra, "K" + audit, ((role, text), *kept)))
+                cost, audit, kept = best["a" if s == "u" else "u"]
+                ways.append((cost + extra + 3, "R" + audit, ((("assistant" if s == "u" else "user"), text), *kept)))
+            now[s] = min(ways)
+        best = with_inserts(now)
+    return best[""]
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, lines) of rows (turn, role, text) in any order."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    seen, judged = set(), []
+    for _, role, text in rows:
+        kept = text.strip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not kept else "duplicate" if (role, text) in seen else "truncated" if kept[-1] not in ".!?" else ""
+        seen.add((role, text))
+        judged.append((role, text, fault))
+    turns = {t for t, *_ in rows if t is not None}
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit, kept = cheapest(judged)
+    faults = Counter(f for *_, f in judged)
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return gaps, faults["blank"], faults["duplicate"], faults["truncated"], illegal, cost, audit, [f"{r}:{t}" for r, t in kept]
+
+
+def damage(rows):
+    """Rows (conv_id, turn, role, text) after the query's damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind = zlib.crc32(name.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind:
+            row = (conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+            out += [row] * (2 if kind == 3 else 1)
+    return out
