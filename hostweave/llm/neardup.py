@@ -4,9 +4,9 @@ Each tree orders the signatures by hash values of its own. Documents whose order
 the same values are a region. A small region is compared whole; a large one is first cut by the
 next value (so dense places get deeper prefixes), and its members are compared with their
 neighbours in the order, which share the longest prefix, and with the members nearest to its most
-common values. Candidates by signature are confirmed on the full sets. Then all pairs of the large
-regions, and of those cut by partitions, that no link has joined yet are compared, block by block
-over many tasks.
+common values. Candidates by signature are confirmed on the full sets. Then the large regions, and
+those cut by partitions, that links have not joined yet are compared whole, block by block over many
+tasks, which count full sets themselves and give links only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import texts as tx
@@ -32,8 +32,8 @@ TREES, PREFIX, DEPTH, HASHES = 16, 3, 8, 64
 REGION = 64
 #: Neighbours in order and central members that each member of a larger region is compared with.
 NEIGHBOURS, CENTRES = 2, 3
-#: Rows of a block, about, when all pairs of a larger region are compared; pairs looked at together.
-BLOCK, AT_ONCE = 512, 1 << 17
+#: Bytes of a block, about, when what is apart in larger regions is compared whole.
+BLOCK_BYTES = 8 << 20
 #: Least share of equal signature bytes of a candidate: linked pairs fall below once in 10**5.
 CANDIDATE = 0.52
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +113,18 @@ def _tree_functions(tree: int) -> list[int]:
     return own + [TREES * PREFIX + (tree + 5 * j) % spare for j in range(DEPTH - PREFIX)]
 
 
+def _sketches(classes: DataFrame) -> DataFrame:
+    """node, n_shingles and the low bytes of the whole signature."""
+
+    def low(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = np.frombuffer(b"".join(batch.column("_sign").to_pylist()), ">u4").reshape(-1, HASHES)
+            sketch = _fixed((signs & 0xFF).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), sketch], ["node", "n_shingles", "sketch"])
+
+    return classes.select("node", "n_shingles", "_sign").mapInArrow(low, "node long, n_shingles long, sketch binary")
+
+
 TREE = "tree int, key binary, node long, n_shingles long, sketch binary"
 
 
@@ -277,47 +289,99 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates"), written(wide, "regions")
 
 
-def _pairs_of_blocks(rows: pa.Table) -> pa.Table:
-    """Pairs of a cell's two blocks, or of its one, by size and signature, whose components differ."""
+def areas_apart(classes: DataFrame, label: DataFrame, wide: DataFrame) -> DataFrame:
+    """area, node and component of all classes in wide regions that hold more than one component.
+
+    Regions of any trees that share a class are one area, so its pairs are looked at once.
+    """
+    component = F.coalesce("component", "node").alias("component")
+    trees = _trees(classes).select("tree", F.substring("key", 1, 4 * PREFIX).alias("prefix"), "node")
+    regions = written(wide.select("tree", "prefix", (F.lit(-1) - F.monotonically_increasing_id()).alias("region")), "wide-regions")
+    rows = written(trees.join(regions, ["tree", "prefix"]).join(label, "node", "left").select("region", "node", component), "wide-rows")
+    several = rows.groupBy("region").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
+    apart = written(rows.join(several.select("region"), "region"), "wide-apart")
+    if apart.isEmpty():
+        return apart.select(F.col("region").alias("area"), "node", "component")
+    joined = components(apart.select(F.col("node").alias("a"), F.col("region").alias("b"))).select("node", F.col("component").alias("area"))
+    return apart.select("node", "component").distinct().join(joined, "node").select("area", "node", "component")
+
+
+def _joined(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        root[x] = root.get(root[x], root[x])
+        x = root[x]
+    return x
+
+
+def _links_of_cell(rows: pa.Table) -> pa.Table:
+    """Links between components, counted on full sets, of a cell's two blocks, or of its one: as many
+    as join what the cell can join, whatever number of pairs is alike."""
     rows = rows.combine_chunks()
-    block, component = rows["block"].to_numpy(), rows["component"].to_numpy()
+    low, i, j, mixed_sizes = (rows[c][0].as_py() for c in ("low", "i", "j", "next"))
+    size_class, block = rows["size_class"].to_numpy(), rows["block"].to_numpy()
+    node, size, component = (rows[c].to_numpy() for c in ("node", "n_shingles", "component"))
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(rows.num_rows, HASHES)
-    run = _Run(sketch, rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), sketch)
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    parts = [run.pairs(one[:0], one[:0])]
-    step = max(1, AT_ONCE // max(1, len(other)))
-    for at in range(0, len(one), step):
-        some = one[at : at + step]
-        apart = component[some][:, None] != component[other]
-        if i == j:
-            apart &= some[:, None] < other
-        a, b = np.nonzero(apart)
-        parts.append(run.pairs(some[a], other[b]))
-    a, b, alike = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64())})
-
-
-def candidates_apart(classes: DataFrame, label: DataFrame, wide: DataFrame) -> DataFrame:
-    """All candidate pairs (a < b, alike) in the wide regions whose ends lie in different components.
-
-    A region's rows are dealt into blocks, and each two blocks meet in a task of bounded size. A
-    region of one component has nothing to compare.
+    sets = rows["shingles"].chunk(0) if rows.num_rows else None
+    at = sets.offsets.to_numpy().astype(np.int64) if rows.num_rows else np.zeros(1, np.int64)
+    names, code = np.unique(sets.values.to_numpy(), return_inverse=True)
+    one = np.flatnonzero((size_class == low) & (block == i))
+    other = np.flatnonzero((size_class == low + mixed_sizes) & (block == j))
+    same, held, root, links = not mixed_sizes and i == j, np.zeros(len(names), bool), {}, []
+    for x in one.tolist() if len(other) else ():
+        near = other[(component[other] != component[x]) & (100 * np.minimum(size[other], size[x]) >= LINKED * np.maximum(size[other], size[x]))]
+        near = near[near > x] if same else near
+        near = near[np.count_nonzero(sketch[near] == sketch[x], axis=1) >= CANDIDATE * HASHES]
+        here = _joined(root, int(component[x]))
+        near = near[[_joined(root, c) != here for c in component[near].tolist()]] if len(near) else near
+        if not len(near):
+            continue
+        own = code[at[x] : at[x + 1]]
+        held[own] = True
+        length = at[near + 1] - at[near]
+        shared = np.add.reduceat(held[code[tx.spread(at[near], length)]].astype(np.int64), np.cumsum(length) - length)
+        held[own] = False
+        for y in near[100 * shared >= LINKED * (size[x] + size[near] - shared)].tolist():
+            mine, its = _joined(root, int(component[x])), _joined(root, int(component[y]))
+            if mine != its:
+                root[its] = mine
+                links.append((min(node[x], node[y]), max(node[x], node[y])))
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links_apart(rows: DataFrame) -> DataFrame:
+    """Links (a < b) that join the components of each area (area, node, component, n_shingles, sketch, shingles).
+
+    Linked sets differ in size by a third at most. An area's classes are dealt by size, and those of
+    a size into blocks of bounded bytes; blocks that can hold a link meet in a task. No pair leaves
+    it that is not a link, and of links only those that join something.
     """
-    labeled = classes.join(label, "node", "left").select("node", "n_shingles", "_sign", F.coalesce("component", "node").alias("component"))
-    regions = wide.withColumn("region", F.monotonically_increasing_id())
-    trees = _trees(labeled).select("tree", F.substring("key", 1, 4 * PREFIX).alias("prefix"), "node", "n_shingles", "sketch")
-    rows = trees.join(regions, ["tree", "prefix"]).select("region", "node", "n_shingles", "sketch")
-    rows = written(rows.join(labeled.select("node", "component"), "node"), "wide-rows")
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    sizes = written(sizes.where("_low < _high").select("region", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "wide-sizes")
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = rows.join(sizes, "region").withColumn("block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = dealt.select(
-        "region", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "n_shingles", "component", "sketch"
+    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / LINKED))).cast("int")
+    rows = written(rows.withColumn("size_class", size_class), "area-rows")
+    weight = F.sum(8 * F.col("n_shingles") + 512)
+    blocks = written(rows.groupBy("area", "size_class").agg(F.ceil(weight / BLOCK_BYTES).cast("int").alias("_own")), "area-blocks")
+    above = blocks.select("area", (F.col("size_class") - 1).alias("size_class"), F.col("_own").alias("_above"))
+    below = blocks.select("area", (F.col("size_class") + 1).alias("size_class"), F.col("_own").alias("_below"))
+    blocks = blocks.join(above, ["area", "size_class"], "left").join(below, ["area", "size_class"], "left")
+    dealt = rows.join(blocks, ["area", "size_class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_own")).cast("int"))
+    c, k = F.col("size_class"), F.col("block")
+
+    def cells(count: Column, cell) -> Column:
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), cell)).otherwise(F.array())
+
+    def cell(low: Column, i: Column, j: Column, further: int) -> Column:
+        return F.struct(low.alias("low"), i.alias("i"), j.alias("j"), F.lit(further).alias("next"))
+
+    kind = "array<struct<low:int,i:int,j:int,next:int>>"
+    every = F.concat(
+        cells(F.col("_own"), lambda j: cell(c, F.least(k, j), F.greatest(k, j), 0)).cast(kind),
+        cells(F.coalesce("_above", F.lit(0)), lambda j: cell(c, k, j, 1)).cast(kind),
+        cells(F.coalesce("_below", F.lit(0)), lambda i: cell(c - 1, i, k, 1)).cast(kind),
+    )
+    met = dealt.withColumn("_cell", F.explode(every)).select(
+        "area", "_cell.*", "size_class", "block", "node", "component", "n_shingles", "sketch", "shingles"
     )
-    pairs = cells.groupBy("region", "i", "j").applyInArrow(_pairs_of_blocks, "a long, b long, alike double")
-    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates-apart")
+    return met.groupBy("area", "low", "i", "j", "next").applyInArrow(_links_of_cell, "a long, b long")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -356,7 +420,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Equal sets are one class, so copies are compared once. First each class is confirmed against
     its likeliest candidate, then whatever candidates still lie in different components, and last
-    whatever pairs of the large regions, and of those cut by partitions, do.
+    the large regions, and those cut by partitions, are compared whole in tasks that give only links
+    between different components. That work grows with the square of the different texts in a
+    region of several components; what is shuffled and stored for it does not grow with pairs.
     """
     signed = written(with_signatures(documents), "signatures")
     alike = ["_one", "_two", "n_shingles"]
@@ -382,12 +448,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     links = first.unionByName(written(_confirmed(apart, sets), "links"))
     label = components(links)
-    more = written(candidates_apart(classes, label, wide).join(pairs, ["a", "b"], "left_anti"), "more-candidates")
-    if not more.isEmpty():
-        late = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(ends, "node", "left_anti")
+    apart = written(areas_apart(classes, label, wide), "areas")
+    if not apart.isEmpty():
+        late = apart.select("node").join(ends, "node", "left_anti")
         wanted = classes.join(late, "node").select("node", "_rep.doc_id", "_rep._text")
         sets = sets.unionByName(written(_sets(documents, wanted).dropDuplicates(["node"]), "sets"))
-        label = components(links.unionByName(written(_confirmed(more, sets), "links")))
+        sketched = _sketches(classes).join(apart, "node").join(sets, "node")
+        label = components(links.unionByName(written(links_apart(sketched), "links")))
 
     labeled = classes.select(*alike, "node", "_least").join(label, "node", "left").withColumn("_component", F.coalesce("component", "node"))
     smallest = labeled.groupBy("_component").agg(F.min("_least").alias("component_id"))
