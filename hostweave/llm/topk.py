@@ -25,6 +25,8 @@ from hostweave.workspace import fresh_dir
 
 #: Rows of a block, of a group of queries, of a leaf.
 BLOCK, GROUP, LEAF = 2048, 8192, 32
+#: Blocks that a task holds while it searches, about.
+HELD = 64
 #: Most cells; sampled rows for each, from which their centres are chosen.
 CELLS, SAMPLED = 512, 8
 
@@ -100,7 +102,7 @@ def loaded(data: bytes) -> tuple[np.ndarray, np.ndarray, Node]:
 
 
 class Best:
-    """The k best (score, id) of each query: highest score, then smallest id."""
+    """The k best (score, id) of each query: highest score, then smallest id; rows that repeat count each."""
 
     def __init__(self, count: int, k: int):
         self.score = np.full((count, k), -np.inf)
@@ -117,12 +119,8 @@ class Best:
                 hit = hit[score[q, hit] >= best]
                 hit = hit[np.argsort(-score[q, hit], kind="stable")[:k]]
             s, i = np.concatenate((self.score[low + q], score[q, hit])), np.concatenate((self.id[low + q], ids[hit]))
-            first = np.lexsort((i, -s))
-            pair = np.stack((s[first], i[first]))
-            fresh = np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0) | np.isinf(pair[0, 1:])))
-            first = first[fresh][:k]
-            self.score[low + q, : len(first)], self.id[low + q, : len(first)] = s[first], i[first]
-            self.score[low + q, len(first) :], self.id[low + q, len(first) :] = -np.inf, np.iinfo(np.int64).max
+            first = np.lexsort((i, -s))[:k]
+            self.score[low + q], self.id[low + q] = s[first], i[first]
 
 
 def dual_search(queries: tuple[np.ndarray, np.ndarray, Node], rows: tuple[np.ndarray, np.ndarray, Node], best: Best, base: int) -> int:
@@ -189,15 +187,16 @@ def _in_cells(rows: DataFrame, count: int) -> DataFrame:
 
 
 def _trees(rows: DataFrame, size: int) -> DataFrame:
-    """A row per block of about ``size`` rows of one cell: block, n, tree. Cells are at most CELLS."""
+    """A row per block of about ``size`` rows of one cell: cell, part, n, tree. Cells are at most CELLS."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
     blocks = rows.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id", "point"), F.col("_parts")))
 
     def grow(block: pa.Table) -> pa.Table:
         tree = cover_tree(block["id"].to_numpy(), _matrix(block["point"].combine_chunks()))
-        return pa.table({"n": pa.array([len(tree[0])], pa.int64()), "tree": pa.array([stored(tree)], pa.binary())})
+        own = block.select(["cell", "part"]).slice(0, 1)
+        return own.append_column("n", pa.array([len(tree[0])], pa.int64())).append_column("tree", pa.array([stored(tree)], pa.binary()))
 
-    return blocks.select("cell", "part", "id", "point").groupBy("cell", "part").applyInArrow(grow, "n long, tree binary")
+    return blocks.select("cell", "part", "id", "point").groupBy("cell", "part").applyInArrow(grow, "cell int, part long, n long, tree binary")
 
 
 def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -208,7 +207,8 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
     are listed if there are fewer than k. A vector that is null or holds a null or a component
     that is not finite takes no part, nor does a row without an id. Shorter vectors count as
     zero beyond their end; an empty one scores 0. Rows that share an id are not each other's
-    candidates; a list holds equal (id, score) once. An empty table gives no row.
+    candidates, and each of them is one to others: a row that repeats is listed as often. Query rows equal
+    in all ask once; different vectors of one query id share its list. An empty table gives no row.
     """
     spark = vectors.sparkSession
     rows = written(prepared(vectors, id_col, vector_col, scale), "points")
@@ -223,8 +223,8 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
     folder = fresh_dir(spark, "query-trees")
     queries = placed.where(F.col("id") % every == 0).distinct()
     trees = written(_trees(queries, BLOCK), "query-trees")
-    before = Window.orderBy(F.xxhash64("tree")).rowsBetween(Window.unboundedPreceding, -1)
-    grouped = trees.withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / GROUP))
+    groups = max(1, -(-(trees.agg(F.sum("n")).first()[0] or 0) // GROUP))
+    grouped = trees.select("tree", F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("part"))
     grouped.repartition("part").write.partitionBy("part").parquet(folder)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +251,9 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
                 ["query_id", "vec_id", "score"],
             )
 
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count()))
-    found = index.select("tree").repartition(tasks).mapInArrow(search, "query_id long, vec_id long, score long").distinct()
+    many = index.count()
+    tasks = max(1, min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // HELD))))
+    found = index.select("tree").repartition(tasks).mapInArrow(search, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -273,7 +274,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.p AS DOUBLE[]), CAST(c.p AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+      FROM (SELECT DISTINCT vec_id, p FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

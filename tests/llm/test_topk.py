@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from plain import result
 
@@ -11,7 +13,7 @@ def plain(rows, k, every):
     points = [(i, np.pad(p, (0, width - len(p))).astype(int)) for i, p in points]
     out = set()
     for q in {i for i, _ in points if i % every == 0}:
-        scores = {(-int(p @ own), i) for o, own in points if o == q for i, p in points if i != q}
+        scores = [(-int(p @ np.array(own)), i) for own in {tuple(p) for o, p in points if o == q} for i, p in points if i != q]
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])}
     return sorted(out, key=repr)
 
@@ -63,6 +65,16 @@ def test_odd_vectors(spark, monkeypatch, block):
     assert result(topk.top_k(vectors(spark, rows), 5, 10)) == plain(rows, 5, 10)
 
 
+def test_repeated_rows_are_listed_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [9.0, 0.0]), (7, [9.0, 0.0]), *((i, [float(i), 0.0]) for i in range(7))]
+    found = topk.top_k(vectors(spark, rows), 5, 50).where("query_id = 50").orderBy("rank")
+    assert [r.vec_id for r in found.collect()] == [7, 7, 6, 5, 4]
+    database = duckdb.connect()
+    database.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    names = "query_id, rank, vec_id, score"
+    assert result(topk.top_k(vectors(spark, rows), 5, 50)) == sorted(database.sql(f"SELECT {names} FROM ({topk.SQL})").fetchall(), key=repr)
+
+
 def test_few_and_no_vectors(spark):
     assert result(topk.top_k(vectors(spark, [(0, [1.0]), (1, [2.0])]), 5, 50)) == [(0, 1, 1, 131072)]
     assert result(topk.top_k(vectors(spark, [(0, [1.0])]), 5, 50)) == []
