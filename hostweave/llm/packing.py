@@ -192,7 +192,6 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
                  pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task)), pa.array(nth)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
-        encoder.forget()
 
     return only(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -242,7 +242,6 @@ def write_token_files(
                 if writer.n_ids >= file_ids:
                     finish(writer)
                     writer = None
-        encoder.forget()
         if writer:
             finish(writer)
         if rows:

@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 
 from hostweave.llm import texts as tx
 
-#: Distinct pieces that a Python worker remembers before it starts anew: memory, not results.
-REMEMBERED = 600_000
+#: Bytes of distinct pieces, about, that a Python worker remembers before it starts anew, and that it
+#: keeps for its next task: memory, not results. A piece takes its name, its ids and a slot.
+REMEMBERED_BYTES = 128 << 20
+SLOT_BYTES = 180
 #: Texts with white space beyond ASCII or what may be a special token are encoded whole.
 WHOLE = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Pieces that stay apart when they are joined: a space and letters.
@@ -52,7 +54,8 @@ class TextEncoder:
         return held[path]
 
     def forget(self) -> None:
-        """Gives the remembered pieces' memory back; a task ends with it, as its worker lives on."""
+        """Gives the remembered pieces' memory back."""
+        self.held = 0
         self.slots: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
@@ -91,6 +94,7 @@ class TextEncoder:
                 self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
                 self.length = np.concatenate((self.length, length))
                 self.ids = np.concatenate((self.ids, ids))
+                self.held += SLOT_BYTES * len(names) + sum(map(len, names)) + 4 * len(ids)
                 self.slots.update(zip(names, range(len(self.slots), len(self.slots) + len(names)), strict=True))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +121,7 @@ class TextEncoder:
         pieces, bounds = tx.chunks(texts)
         code, distinct = tx.codes(pieces)
         names = distinct.to_pylist()
-        if len(self.slots) + len(names) > REMEMBERED:
+        if self.held + SLOT_BYTES * len(names) > REMEMBERED_BYTES:
             self.forget()
         slot = self._find(names)
         if (new := np.flatnonzero(slot < 0)).size:
