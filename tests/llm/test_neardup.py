@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pyarrow as pa
 from conftest import SF_DIR
 from plain import CLASHES, NAMES, ODD, components, odd_documents, result, shingles
@@ -100,28 +101,39 @@ def test_large_regions_are_compared_whole(spark, monkeypatch):
     """A chain of drifting copies and a family of templated pages, over 1,000 texts each."""
     rows = [(i, t, "en", "a") for i, t in enumerate(chain(5, 1100, 150, 14))]
     rows += [(5000 + i, t, "en", "a") for i, t in enumerate(family(6, 1100, 160, 24, 20))]
-    monkeypatch.setattr(neardup, "BLOCK", 200)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 300_000)  # about 200 rows
     assert result(neardup.near_duplicates(odd_documents(spark, rows)).drop("_text")) == expected(rows)
 
 
 def test_candidates_do_not_depend_on_partitions(spark):
     """A family small enough to be compared whole, in one partition and cut by many."""
     rows = [(i, t, "en", "a") for i, t in enumerate(family(7, 60, 160, 24, 20))]
-    signed = neardup.with_signatures(odd_documents(spark, rows)).withColumnRenamed("doc_id", "node")
-    classes = neardup.written(signed.select("node", "n_shingles", "_sign"), "classes")
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    nothing = spark.createDataFrame([], "node long, component long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    found = []
     try:
         for partitions in ("1", "40"):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            pairs, wide = neardup.candidates(classes)
-            found.append(set(result(pairs.union(neardup.candidates_apart(classes, nothing, wide)), "a", "b")))
+            assert result(neardup.near_duplicates(odd_documents(spark, rows)).drop("_text")) == expected(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert found[0] == found[1] and len(found[0]) > 1000
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 40_000])
+def test_links_apart_join_what_all_pairs_would(spark, monkeypatch, block_bytes):
+    """Rows of many sizes, each a component of its own: links between blocks join what brute force joins, with less than a link a row."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block_bytes)
+    rows = [(i, t, "en", "a") for i, t in enumerate(family(8, 150, 160, 24, 20))]
+    rows += [(1000 + i, " ".join(words(9, 120 + 3 * i)), "en", "a") for i in range(60)]  # each the next one's beginning
+    signed = neardup.with_signatures(odd_documents(spark, rows)).withColumnRenamed("doc_id", "node")
+    classes = neardup.written(signed.select("node", "n_shingles", "_sign", "_text"), "classes")
+    sets = neardup._sets(odd_documents(spark, rows), classes.selectExpr("node", "node AS doc_id", "_text"))
+    alone = classes.selectExpr("-1L AS area", "node", "node AS component")
+    links = neardup.written(neardup.links_apart(neardup._sketches(classes).join(alone, "node").join(sets, "node")), "links")
+    found = {r.node: r.component for r in neardup.components(links).collect()}
+    assert {r[0]: found.get(r[0], r[0]) for r in rows} == {r[0]: r[2] for r in expected(rows)}
+    if block_bytes > 1 << 20:
+        assert links.count() < 2 * len(rows)
 
 
 def test_odd_documents(spark):
