@@ -334,6 +334,16 @@ FROM (SELECT node_name, max(collected_at) AS last_seen, count(*) AS samples,
     "stream_last_seen": "SELECT node_name, max(collected_at) AS last_seen FROM fs GROUP BY node_name",
     "stream_snapshot": "SELECT * FROM ps_last",
     "stream_trim": _KEEP_20,
+    "stream_trim_state": _KEEP_20,
+    "stream_heartbeat": "SELECT node_name, max(collected_at) AS last_seen, 'stale' AS status FROM fs GROUP BY node_name",
+    "stream_latest_bounded": """
+WITH parts AS (SELECT *, least((day(collected_at) - 1) // 8 + (seq % 50 = 0)::INTEGER, 4) AS part FROM fs),
+marks AS (SELECT p.part, max(e.collected_at) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT part FROM parts) p
+          JOIN (SELECT part, max(collected_at) AS collected_at FROM parts GROUP BY part) e
+            ON e.part < p.part AND (e.part >= 3) = (p.part >= 3) GROUP BY p.part)
+SELECT * EXCLUDE (part, mark) FROM parts LEFT JOIN marks USING (part)
+WHERE mark IS NULL OR date_trunc('day', collected_at) + INTERVAL 1 DAY > mark
+QUALIFY row_number() OVER (PARTITION BY node_name, mount_point ORDER BY seq DESC) = 1""",
     "stream_tail_replay": "SELECT node_name, log_name, line FROM loglines",
     "compacted_table": "SELECT * FROM fs",
 }

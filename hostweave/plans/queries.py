@@ -23,7 +23,7 @@ from hostweave.sources.inventory import scan_file_tree
 from hostweave.sources.logs import log_file_info, read_log_files
 from hostweave.sources.processes import parse_ps_captures
 from hostweave.sources.transfers import list_transfers, parse_transfer_log
-from hostweave.streaming import feeds, sinks
+from hostweave.streaming import feeds, keyed, sinks
 from hostweave.streaming.versions import read_version
 from hostweave.workspace import fresh_dir
 
@@ -637,6 +637,63 @@ def stream_tail_replay(b: Bindings) -> DataFrame:
     return stored.select("node_name", "log_name", "line")
 
 
+@_query
+def stream_trim_state(b: Bindings) -> DataFrame:
+    """Lines come in four steps; a second checkpoint goes on from the state of the first."""
+    work = fresh_dir(b.spark, "trim-state")
+    documents, held = b.table("documents"), None
+    for step in range(4):
+        part = documents.where(F.col("doc_id") % 4 == step) if step else documents.where("doc_id % 4 = 0 OR doc_id IS NULL")
+        part.write.mode("append").parquet(f"{work}/landed")
+        stream = b.spark.readStream.schema(documents.schema).parquet(f"{work}/landed")
+        changes = keyed.keep_newest(b.log_lines(stream), 20, initial=held if step >= 2 else None)
+        checkpoint = f"{work}/checkpoint{step // 2}"
+        with keyed.keyed_state(b.spark):
+            feeds.drain(changes, sinks.append_history(f"{work}/changes"), checkpoint, "update")
+        if step == 1:
+            held = keyed.newest_kept(b.spark, checkpoint)
+    return keyed.newest_kept(b.spark, checkpoint).select("node_name", "log_name", "id")
+
+
+@_query
+def stream_heartbeat(b: Bindings) -> DataFrame:
+    """Every node is seen, and is stale once no sample has come for a while."""
+    work = fresh_dir(b.spark, "heartbeat")
+    beats = keyed.heartbeats(fs_samples_from_counters(b.fs_counters(b.stream("events"))), timeout_ms=500)
+    with keyed.keyed_state(b.spark):
+        run = feeds.run_feed(beats, sinks.append_history(f"{work}/changes"), f"{work}/checkpoint", "1 second", "update")
+    try:
+        while not any(p["numInputRows"] for p in run.recentProgress):
+            _running(run)
+        while True:
+            now = latest_by_key(b.spark.read.parquet(f"{work}/changes"), ["node_name"], "batch_id")
+            if now.where("status = 'alive'").isEmpty():
+                return now.select("node_name", "last_seen", "status")
+            _running(run)
+    finally:
+        run.stop()
+
+
+def _running(run) -> None:
+    if run.awaitTermination(0.5):
+        raise RuntimeError("the stream of heartbeats ended before all nodes were silent")
+
+
+@_query
+def stream_latest_bounded(b: Bindings) -> DataFrame:
+    """Samples come by weeks, some of them a week late; a second checkpoint takes the last two."""
+    work = fresh_dir(b.spark, "bounded")
+    events = b.table("events")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8) + (F.col("event_id") % 50 == 0).cast("int"), F.lit(4))
+    for step in range(5):
+        folder, checkpoint = f"{work}/landed{step // 3}", f"{work}/checkpoint{step // 3}"
+        events.where(week == step).write.mode("append").parquet(folder)
+        stream = fs_samples_from_counters(b.fs_counters(b.spark.readStream.schema(events.schema).parquet(folder)))
+        with keyed.keyed_state(b.spark):
+            feeds.drain(keyed.latest_in_windows(stream, MOUNT), sinks.append_history(f"{work}/table"), checkpoint, "update")
+    return keyed.latest_of_windows(b.spark.read.parquet(f"{work}/table"), MOUNT)
+
+
 @_query
 def compacted_table(b: Bindings) -> DataFrame:
     work = fresh_dir(b.spark, "compact")
