@@ -345,6 +345,8 @@ SELECT * EXCLUDE (part, mark) FROM parts LEFT JOIN marks USING (part)
 WHERE mark IS NULL OR date_trunc('day', collected_at) + INTERVAL 1 DAY > mark
 QUALIFY row_number() OVER (PARTITION BY node_name, mount_point ORDER BY seq DESC) = 1""",
     "stream_tail_replay": "SELECT node_name, log_name, line FROM loglines",
+    "stream_tail_rotate": "SELECT node_name, log_name, line FROM loglines",
+    "stream_tail_backlog": "SELECT node_name, log_name, line FROM loglines",
     "compacted_table": "SELECT * FROM fs",
 }
 

@@ -24,7 +24,7 @@ from hostweave.sources.logs import log_file_info, read_log_files
 from hostweave.sources.processes import parse_ps_captures
 from hostweave.sources.transfers import list_transfers, parse_transfer_log
 from hostweave.streaming import feeds, keyed, sinks
-from hostweave.streaming.versions import read_version
+from hostweave.streaming.versions import file_system, read_version
 from hostweave.workspace import fresh_dir
 
 NOW = dt.datetime(2024, 1, 30, 10, 7, 30)
@@ -637,6 +637,44 @@ def stream_tail_replay(b: Bindings) -> DataFrame:
     return stored.select("node_name", "log_name", "line")
 
 
+def _land_logs(b: Bindings, folder: str, texts: DataFrame) -> None:
+    rows = texts.select("node_name", "log_name", F.col("text").alias("value"))
+    rows.write.mode("append").partitionBy("node_name", "log_name").text(folder)
+
+
+@_query
+def stream_tail_rotate(b: Bindings) -> DataFrame:
+    """Logs are rotated between two runs: the old files go on under other names, new ones take their place."""
+    work = fresh_dir(b.spark, "rotate")
+    logs_at, pattern = f"{work}/logs", f"{work}/logs/node_name=*/log_name=*/*.[0-9t]*"
+    for half in range(2):
+        _land_logs(b, logs_at, b.log_texts().filter(F.col("doc_id") % 2 == half))
+        stream = feeds.tail_logs(b.spark, pattern)
+        feeds.drain(stream, sinks.append_log(f"{work}/table"), f"{work}/checkpoint")
+        hadoop, fs = file_system(b.spark, logs_at)
+        for status in fs.globStatus(hadoop.Path(f"{logs_at}/node_name=*/log_name=*/part-*.txt")):
+            path = status.getPath()
+            fs.rename(path, hadoop.Path(path.getParent(), path.getName().replace(".txt", f".{half}")))
+    feeds.drain(feeds.tail_logs(b.spark, pattern), sinks.append_log(f"{work}/table"), f"{work}/checkpoint")
+    return sinks.read_log_table(b.spark, f"{work}/table").select("node_name", "log_name", "line")
+
+
+@_query
+def stream_tail_backlog(b: Bindings) -> DataFrame:
+    """A backlog is taken in many batches of bounded bytes."""
+    work = fresh_dir(b.spark, "backlog")
+    texts = b.log_texts()
+    _land_logs(b, f"{work}/logs", texts)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    options = {"maxBytesPerTrigger": -(-size // 4), "stateFile": f"{work}/offsets"}
+
+    def tail() -> DataFrame:
+        return feeds.tail_logs(b.spark, f"{work}/logs/node_name=*/log_name=*/part-*", **options)
+
+    feeds.drain_backlog(tail, sinks.append_log(f"{work}/table"), f"{work}/checkpoint")
+    return sinks.read_log_table(b.spark, f"{work}/table").select("node_name", "log_name", "line")
+
+
 @_query
 def stream_trim_state(b: Bindings) -> DataFrame:
     """Lines come in four steps; a second checkpoint goes on from the state of the first."""

@@ -10,12 +10,17 @@ ends before the last offset (truncation). A file that only changed its name goes
 was, known by its inode and a checksum of its first bytes. A file that is absent for a while keeps its offset: in memory, and
 across restarts in ``stateFile``, as a source is not told where the query stood before. A file
 truncated and grown past the old offset between two triggers is not noticed.
+
+With ``maxBytesPerTrigger`` a batch takes about that many bytes, cut at line starts, and the rest of
+a backlog comes in later batches: small backlogs first whole, what is left shared between the large ones.
 """
 
 import glob
 import json
 import os
+import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 from dataclasses import dataclass
 from typing import Iterator
@@ -34,6 +39,9 @@ DEFAULT_RANGE_BYTES = 128 << 20
 DEFAULT_MAX_LINE_BYTES = 1 << 20
 BATCH_ROWS = 8192
 HEAD_BYTES = 256
+#: Files whose size and last line are looked up at once: storage is waited for, not computed on.
+LOOKUPS = 32
+DEFAULT_FORGET_S = 30 * 24 * 3600
 
 _SCHEMA = (
     "node_name string, log_name string, log_path string, line_offset bigint, "
@@ -71,7 +79,10 @@ class LogTail(DataSource):
     Options: ``path``, a glob of files below directories ``node_name=<n>/log_name=<l>``
     (new files join at the next trigger); ``stateFile``, where offsets of absent files outlive
     a restart; ``maxPartitionBytes``; ``maxLineBytes``, beyond which a line comes in
-    ``oversize_line``, in pieces of that many bytes with a row and offset each; ``emitPartial`` (default false) to emit an
+    ``oversize_line``, in pieces of that many bytes with a row and offset each; ``maxBytesPerTrigger``, the
+    input of a batch, about (needs ``stateFile``, which then belongs to the checkpoint, as a source
+    is not told where its query stood); ``forgetAfterSeconds``, after which an absent file's offset goes
+    (default 30 days; should it come back, it is read from its start); ``emitPartial`` (default false) to emit an
     unterminated last line, whose rest then becomes another line; ``failOnDataLoss``
     (default true) for planned bytes that are gone before they were read.
     """
@@ -101,6 +112,10 @@ class LogFiles:
         self.range_bytes = int(given.get("maxpartitionbytes", DEFAULT_RANGE_BYTES))
         self.max_line_bytes = int(given.get("maxlinebytes", DEFAULT_MAX_LINE_BYTES))
         self.state_file = given.get("statefile", "").removeprefix("file:")
+        self.budget = int(given["maxbytespertrigger"]) if "maxbytespertrigger" in given else None
+        if self.budget is not None and (self.budget < 1 or not self.state_file):
+            raise ValueError("maxBytesPerTrigger must be positive and needs a stateFile")
+        self.forget_s = float(given.get("forgetafterseconds", DEFAULT_FORGET_S))
         self.emit_partial = given.get("emitpartial", "false").lower() == "true"
         self.fail_on_loss = given.get("failondataloss", "true").lower() == "true"
 
@@ -223,26 +238,47 @@ def _head(path: str, end: int) -> int:
         return zlib.crc32(handle.read(min(end, HEAD_BYTES)))
 
 
+def _line_start_by(path: str, start: int, wanted: int, end: int) -> int:
+    """The last line start in (start, wanted], or else the first one after: a long line is taken whole."""
+    found = _after_last_newline(path, wanted, start)
+    if found > start:
+        return found
+    with open(path, "rb") as handle:
+        handle.seek(wanted)
+        at = wanted
+        while at < end:
+            raw = handle.read(min(BLOCK_BYTES, end - at))
+            if not raw:
+                break
+            if (feed := raw.find(b"\n")) >= 0:
+                return at + feed + 1
+            at += len(raw)
+    return end
+
+
 class LogTailStreamReader(DataSourceStreamReader):
     def __init__(self, files: LogFiles):
         self.files = files
-        self._seen: dict[str, tuple[int, int, int]] = {}  # path -> inode, size, line end
+        self._seen: dict[str, tuple[int, int, list[int]]] = {}  # path -> inode, size, offset
         self._known: dict[str, list[int]] | None = None  # offsets given out, absent files included
+        self._absent: dict[str, float] = {}  # when a file was first found absent
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        found = {}
-        for path in self.files.paths():
-            try:
-                found[path] = self._line_end(path)
-            except FileNotFoundError:
-                continue
+        with ThreadPoolExecutor(LOOKUPS) as pool:
+            looked = pool.map(self._line_end, self.files.paths())
+        found = {path: offset for path, offset in looked if offset}
+        self._seen = {p: s for p, s in self._seen.items() if p in found}
         if self._known is None:
             self._known = self._stored()
-        here = {o[0] for o in found.values()}
+        if self.files.budget is not None:
+            found = self._admitted(found)
+        here, now = {o[0] for o in found.values()}, time.time()
         absent = {p: o for p, o in self._known.items() if p not in found and o[0] not in here}
+        self._absent = {p: self._absent.get(p, now) for p in absent}
+        absent = {p: o for p, o in absent.items() if now - self._absent[p] < self.files.forget_s}
         self._known = absent | found
         return dict(self._known)
 
@@ -253,17 +289,56 @@ class LogTailStreamReader(DataSourceStreamReader):
         except FileNotFoundError:
             return {}
 
-    def _line_end(self, path: str) -> list[int]:
-        stat = os.stat(path)
-        inode, size, end = self._seen.get(path, (None, 0, 0))
-        if (inode, size) != (stat.st_ino, stat.st_size):
-            grown = inode == stat.st_ino and stat.st_size > size
-            if self.files.emit_partial:
-                end = stat.st_size
-            else:
-                end = _after_last_newline(path, stat.st_size, end if grown else 0)
-            self._seen[path] = (stat.st_ino, stat.st_size, end)
-        return [stat.st_ino, end, _head(path, end)]
+    def _line_end(self, path: str) -> tuple[str, list[int] | None]:
+        """Inode, line end and checksum of a file; a file that did not change is not opened."""
+        try:
+            stat = os.stat(path)
+            inode, size, offset = self._seen.get(path, (None, 0, [0, 0, 0]))
+            if (inode, size) != (stat.st_ino, stat.st_size):
+                grown = inode == stat.st_ino and stat.st_size > size
+                if self.files.emit_partial:
+                    end = stat.st_size
+                else:
+                    end = _after_last_newline(path, stat.st_size, offset[1] if grown else 0)
+                offset = [stat.st_ino, end, _head(path, end)]
+                self._seen[path] = (stat.st_ino, stat.st_size, offset)
+        except FileNotFoundError:
+            return path, None
+        return path, offset
+
+    def _admitted(self, found: dict[str, list[int]]) -> dict[str, list[int]]:
+        """The offsets, moved back to line starts so that the batch takes about the budget.
+
+        Files with the fewest new bytes come first; each takes what it has, or an equal share of
+        what is left of the budget, and at least one line.
+        """
+        known = {inode: (done, head) for inode, done, head in self._known.values()}
+        pending = {}
+        for path, (inode, end, head) in found.items():
+            done, before = known.get(inode, (0, None))
+            if self._known.get(path) == [inode, end, head]:
+                continue
+            try:
+                pending[path] = done if done <= end and _head(path, done) == before else 0
+            except FileNotFoundError:
+                pending[path] = 0
+        left, out = self.files.budget, dict(found)
+        order = sorted(pending, key=lambda p: (found[p][1] - pending[p], p))
+        for i, path in enumerate(order):
+            inode, end, _ = found[path]
+            start, share = pending[path], max(0, left) // (len(order) - i)
+            if end - start > share:
+                try:
+                    stop = _line_start_by(path, start, start + share, end) if left > 0 else start
+                    if stop == start == 0 and path not in self._known:
+                        del out[path]  # not begun yet
+                        continue
+                    out[path] = [inode, stop, _head(path, stop)]
+                except FileNotFoundError:
+                    del out[path]
+                    continue
+            left -= out[path][1] - start
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         if self.files.state_file:

@@ -1,5 +1,7 @@
 """Streaming queries, one per feed, so that a slow feed does not hold up the others."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,6 +48,20 @@ def drain(
     run_feed(stream, sink, checkpoint, output_mode=output_mode).awaitTermination()
 
 
+def drain_backlog(stream: Callable[[], DataFrame], sink: BatchSink, checkpoint: str) -> int:
+    """Runs a feed with admission control until nothing is left; the number of runs that had input.
+
+    A run over what is available is one batch of a tail, so of one budget.
+    """
+    runs = 0
+    while True:
+        run = run_feed(stream(), sink, checkpoint)
+        run.awaitTermination()
+        if not any(p["numInputRows"] for p in run.recentProgress):
+            return runs
+        runs += 1
+
+
 def last_seen(samples: DataFrame) -> DataFrame:
     """Latest sample time per node; for a stream, in complete mode (one row per node)."""
     return samples.groupBy("node_name").agg(F.max("collected_at").alias("last_seen"))

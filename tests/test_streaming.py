@@ -86,6 +86,40 @@ def test_names_are_read_as_they_were_written(spark, tmp_path):
     assert values(read_log_files(spark, str(tmp_path)), "node_name", "log_name", "line") == [("01", "web:80", "x")]
 
 
+def test_tail_takes_a_backlog_in_bounded_batches(spark, tmp_path):
+    tail = Tail(spark, tmp_path)
+    want = [f"line {i} " + "x" * (i % 40) for i in range(400)]
+    tail.append("".join(f"{line}\n" for line in want).encode())
+    (tail.folder / "small.log").write_bytes(b"s\n")
+    (tail.folder / "long.log").write_bytes(b"y" * 5000 + b"\nend\n")  # a line beyond any budget is taken whole
+    options = {"maxBytesPerTrigger": 3000, "stateFile": str(tmp_path / "state.json")}
+    batches = []
+    while new := tail.run(**options):
+        batches.append(new)
+    assert batches[0].count("s") == 1 and len(batches) > 4
+    assert [x for b in batches for x in b if x.startswith("line")] == want
+    assert sorted(x for b in batches for x in b if not x.startswith("line")) == sorted(["s", "y" * 5000, "end"])
+    assert max(sum(len(x) + 1 for x in b if x[0] != "y") for b in batches) <= 3000
+    tail.append(b"more\n")
+    assert tail.run(**options) == ["more"]
+    with pytest.raises(ValueError, match="stateFile"):
+        LogFiles({"path": "x", "maxBytesPerTrigger": "10"})
+
+
+def test_tail_does_not_open_unchanged_files_and_forgets_absent_ones(tmp_path, monkeypatch):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"a\n")
+    reader = LogTailStreamReader(LogFiles({"path": f"{tmp_path}/*.log", "forgetAfterSeconds": "60"}))
+    first = reader.latestOffset()
+    opened = []
+    monkeypatch.setattr("hostweave.sources.taillog._head", lambda *a: opened.append(a) or 0)
+    assert reader.latestOffset() == first and not opened
+    os.rename(path, tmp_path / "gone")
+    assert reader.latestOffset() == first
+    reader._absent = {p: t - 61 for p, t in reader._absent.items()}
+    assert reader.latestOffset() == {}
+
+
 def test_tail_partial_and_oversize(spark, tmp_path):
     tail = Tail(spark, tmp_path)
     tail.append(b"x" * 50 + b"\nab")
