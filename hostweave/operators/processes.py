@@ -1,6 +1,6 @@
 """Process filters and rates."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.functions.clock import MICROS, micros
 from hostweave.functions.globs import any_process_glob, any_process_glob_of
@@ -81,3 +81,47 @@ def cpu_delta(samples: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
         used.cast("double") * F.lit(1000.0) / wall.cast("double") * F.lit(100.0),
     )
     return paired.withColumn("cpu_delta_percent", percent)
+
+
+def running_count(
+    rows: DataFrame, keys: list[str], order: str, flag: Column, name: str, bucket_seconds: int = 86_400
+) -> DataFrame:
+    """Adds ``name``, how often ``flag`` held up to and with a row in time order (``order`` unique per key).
+
+    Flags are counted per time bucket first, so a key with very many rows is summed by many tasks.
+    """
+    width = F.lit(bucket_seconds * MICROS).cast("bigint")
+    marked = rows.withColumns({"_flag": flag.cast("bigint"), "_bucket": F.call_function("div", micros(F.col(order)), width)})
+    counts = marked.groupBy(*keys, "_bucket").agg(F.sum("_flag").alias("_some"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_bucket", F.coalesce(F.sum("_some").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum("_flag").over(Window.partitionBy(*keys, "_bucket").orderBy(order))
+    return marked.withColumn("_inside", inside).join(before, [*keys, "_bucket"]).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def lifetimes(samples: DataFrame) -> DataFrame:
+    """The lives of each process id, from its presence in a node's snapshots.
+
+    ``samples`` has one row per node_name, snapshot_id and pid, with name, elapsed_sec and
+    collected_at, which grows with the snapshot. A life ends where the id is absent from a snapshot of its
+    node or its elapsed time fell: a restart under the same id. Gives node_name, pid, life (from 1), name (the last), first_seen,
+    last_seen, snapshots, elapsed_sec (the last) and status: RUNNING if it is in the node's newest snapshot, else STOPPED.
+    """
+    node_order = Window.partitionBy("node_name").orderBy("snapshot_id")
+    numbered = samples.select("node_name", "snapshot_id").distinct().withColumn("_nth", F.row_number().over(node_order))
+    newest = numbered.groupBy("node_name").agg(F.max("_nth").alias("_newest"))
+    placed = samples.join(numbered, ["node_name", "snapshot_id"])
+    key = ["node_name", "pid"]
+    paired = with_previous(placed, key, "collected_at", ["_nth", "elapsed_sec"], 86_400)
+    begins = F.col("prev__nth").isNull() | (F.col("_nth") > F.col("prev__nth") + 1)
+    begins = begins | F.coalesce(F.col("elapsed_sec") < F.col("prev_elapsed_sec"), F.lit(False))
+    lives = running_count(paired, key, "collected_at", begins, "life")
+    last = F.max_by(F.struct("name", "elapsed_sec"), "collected_at").alias("_last")
+    found = lives.groupBy(*key, "life").agg(
+        F.min("collected_at").alias("first_seen"), F.max("collected_at").alias("last_seen"), F.count(F.lit(1)).alias("snapshots"),
+        F.max("_nth").alias("_nth"), last,
+    )
+    status = F.when(F.col("_nth") == F.col("_newest"), "RUNNING").otherwise("STOPPED")
+    return found.join(newest, "node_name").select(
+        *key, "life", "_last.name", "first_seen", "last_seen", "snapshots", "_last.elapsed_sec", status.alias("status")
+    )

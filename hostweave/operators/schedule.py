@@ -1,9 +1,11 @@
-"""Next runs of scheduled jobs."""
+"""Runs of scheduled jobs: the next ones, those of a span of time, and those that did not happen."""
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hostweave.functions.clock import seconds_between
 from hostweave.functions.schedule import allowed_numbers, is_unrestricted, spelled_out
 
 # Days searched: two months serve nearly every schedule; eight years hold every
@@ -16,6 +18,27 @@ def _days(start: dt.date, count: int) -> Column:
     return F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY"))
 
 
+def _calendar(jobs: DataFrame) -> tuple[DataFrame, Callable[[Column], Column], Column]:
+    """The jobs with the sets of their schedule's fields, whether one runs on a day, and whether it is sound."""
+    fields = F.split(spelled_out(F.col("schedule")), r"\s+")
+    parts = jobs.withColumn("_f", F.when(F.size(fields) == 5, fields))
+    kinds = ("minute", "hour", "dom", "month", "dow")
+    sets = parts.withColumns(
+        {f"_{kind}": allowed_numbers(F.col("_f")[i], kind) for i, kind in enumerate(kinds)}
+    )
+    minute, hour, dom, month, dow = (F.col(f"_{kind}") for kind in kinds)
+    any_day = is_unrestricted(F.col("_f")[2]) | is_unrestricted(F.col("_f")[4])
+
+    def runs_on(day: Column) -> Column:
+        by_date = F.array_contains(dom, F.dayofmonth(day))
+        by_weekday = F.array_contains(dow, F.dayofweek(day) - 1)
+        fits = F.when(any_day, by_date & by_weekday).otherwise(by_date | by_weekday)
+        return F.array_contains(month, F.month(day)) & fits
+
+    valid = minute.isNotNull() & hour.isNotNull() & dom.isNotNull() & month.isNotNull() & dow.isNotNull()
+    return sets, runs_on, valid
+
+
 def expected_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
     """Adds ``next_run``, the first minute after ``now`` that the ``schedule`` allows.
 
@@ -32,20 +55,8 @@ def next_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
     """As :func:`expected_runs`, row by row. With both day fields restricted either may
     match, as in cron. Narrow: no calendar is joined.
     """
-    fields = F.split(spelled_out(F.col("schedule")), r"\s+")
-    parts = jobs.withColumn("_f", F.when(F.size(fields) == 5, fields))
-    kinds = ("minute", "hour", "dom", "month", "dow")
-    sets = parts.withColumns(
-        {f"_{kind}": allowed_numbers(F.col("_f")[i], kind) for i, kind in enumerate(kinds)}
-    )
-    minute, hour, dom, month, dow = (F.col(f"_{kind}") for kind in kinds)
-    any_day = is_unrestricted(F.col("_f")[2]) | is_unrestricted(F.col("_f")[4])
-
-    def runs_on(day: Column) -> Column:
-        by_date = F.array_contains(dom, F.dayofmonth(day))
-        by_weekday = F.array_contains(dow, F.dayofweek(day) - 1)
-        fits = F.when(any_day, by_date & by_weekday).otherwise(by_date | by_weekday)
-        return F.array_contains(month, F.month(day)) & fits
+    sets, runs_on, valid = _calendar(jobs)
+    minute, hour = F.col("_minute"), F.col("_hour")
 
     today, past = now.date(), now.hour * 60 + now.minute
     times = F.flatten(F.transform(hour, lambda h: F.transform(minute, lambda m: h * 60 + m)))
@@ -60,5 +71,37 @@ def next_runs(jobs: DataFrame, now: dt.datetime) -> DataFrame:
     day = F.when(runs_today, F.lit(today)).otherwise(next_day)
     at = F.when(runs_today, later_today).otherwise(first_of_day)
     next_run = day.cast("timestamp_ntz") + F.make_dt_interval(mins=at)
-    valid = minute.isNotNull() & hour.isNotNull() & dom.isNotNull() & month.isNotNull() & dow.isNotNull()
     return sets.withColumn("next_run", F.when(valid, next_run)).select(*jobs.columns, "next_run")
+
+
+def runs_between(jobs: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """A row per job and ``run_at``, each minute in [start, end) that the ``schedule`` allows.
+
+    Runs are made once per distinct schedule, day by day, and joined to the jobs that share it.
+    Malformed schedules and @reboot have none.
+    """
+    sets, runs_on, valid = _calendar(jobs.select("schedule").distinct())
+    days = _days(start.date(), (end.date() - start.date()).days + 1)
+    on_days = sets.filter(valid).withColumn("_day", F.explode(F.filter(days, runs_on)))
+    hours = on_days.withColumn("_h", F.explode("_hour")).withColumn("_m", F.explode("_minute"))
+    at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("_h"), mins=F.col("_m"))
+    low, high = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in (start, end))
+    inside = (F.col("run_at") >= low) & (F.col("run_at") < high)
+    return jobs.join(hours.select("schedule", at.alias("run_at")).filter(inside), "schedule").select(*jobs.columns, "run_at")
+
+
+def missed_runs(expected: DataFrame, observed: DataFrame, keys: list[str], late_s: int) -> DataFrame:
+    """Expected runs (keys, run_at) with ``started_at``, the first observed start (keys, started_at) of each,
+    and ``outcome``: ran, late (more than ``late_s`` seconds after) or missed.
+
+    A start belongs to the last run due by then. Both sides are put in one order of time per job,
+    in which each start takes the run before it: no join on a range, and no pair of a run and a start that are not each other's.
+    """
+    runs = expected.select(*keys, F.col("run_at").alias("_at"), F.col("run_at").alias("_run"), F.lit(0).alias("_kind")).distinct()
+    starts = observed.filter("started_at IS NOT NULL").select(*keys, F.col("started_at").alias("_at"), F.lit(None).cast("timestamp_ntz").alias("_run"), F.lit(1).alias("_kind"))
+    due = F.last("_run", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_kind"))
+    placed = runs.unionByName(starts).withColumn("run_at", due).filter("run_at IS NOT NULL")
+    found = placed.groupBy(*keys, "run_at").agg(F.min(F.when(F.col("_kind") == 1, F.col("_at"))).alias("started_at"))
+    delay = seconds_between(F.col("run_at"), F.col("started_at"))
+    outcome = F.when(delay.isNull(), "missed").when(delay > late_s, "late").otherwise("ran")
+    return found.withColumn("outcome", outcome)

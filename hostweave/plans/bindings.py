@@ -343,3 +343,48 @@ class Bindings:
             .otherwise(F.when(key % 16 == 7, "@daily").otherwise("61 x * * *"))
         )
         return self.table("customer").select(key.alias("job_id"), schedule.alias("schedule"))
+
+    def crontab_lines(self) -> DataFrame:
+        """Three lines of a file per customer: a variable, a job (now and then a broken or @ one), a comment or blank."""
+        key = F.col("c_custkey")
+        system = key % 2 == 0
+        line = (
+            F.when(F.col("i") == 0, F.when(key % 3 == 0, _text("MAILTO = \"ops", key % 5, "\"")).otherwise(_text("LEVEL=", key % 7)))
+            .when(F.col("i") == 2, F.when(key % 5 == 0, F.lit("  # nightly")).otherwise(F.lit("")))
+            .when(key % 11 == 0, F.lit("0 0 * *"))
+            .otherwise(
+                _text(
+                    F.when(key % 4 == 0, F.lit("@daily")).otherwise(_text(key % 60, "  ", key % 24, " *\t* *")),
+                    F.when(system, _text("  u", key % 9)).otherwise(F.lit("")),
+                    "  /opt/job", key % 13, " --at \\%H", F.when(key % 6 == 0, F.lit(" %first%second")).otherwise(F.lit("")),
+                )
+            )
+        )
+        rows = self.table("customer").select("c_custkey", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"))
+        return rows.select(
+            _text("node-", key % 4).alias("node_name"), _text("/cron/", _div(key, 40)).alias("path"),
+            F.when(system, F.lit("system")).otherwise(F.lit("user")).alias("source"), _text("owner", key % 3).alias("owner"),
+            (key * 3 + F.col("i")).alias("pos"), line.alias("line"),
+        )
+
+    def job_starts(self) -> DataFrame:
+        """Starts of the jobs of :meth:`cron_jobs`, taken from orders: some early, some late, most jobs not every time."""
+        order, customer = F.col("o_orderkey"), F.col("o_custkey")
+        started = F.lit("2024-01-29").cast("timestamp_ntz") + F.make_dt_interval(
+            hours=(order % 48).cast("int"), mins=(order % 4 * 15).cast("int"), secs=(order % 200).cast("double")
+        )
+        return self.table("orders").select(customer.alias("job_id"), started.alias("started_at"))
+
+    def feed_samples(self) -> DataFrame:
+        return self.table("events").select(
+            _text("node-", F.col("user_id") % 4).alias("node_name"), F.col("event_type").alias("feed"), F.col("ts").alias("collected_at")
+        )
+
+    def feed_specs(self) -> DataFrame:
+        """An interval per node and feed, one feed that never reports, and one without an interval."""
+        feeds = self.feed_samples().select("node_name", "feed").distinct()
+        number = F.substring("node_name", -1, 1).cast("bigint")
+        interval = F.when(F.col("feed") == "error", F.lit(0).cast("bigint")).otherwise((number + 1) * 600_000)
+        known = feeds.select("node_name", "feed", interval.alias("interval_ms"))
+        silent = feeds.select("node_name", F.lit("nothing").alias("feed"), F.lit(60_000).cast("bigint").alias("interval_ms")).distinct()
+        return known.unionByName(silent)

@@ -93,6 +93,16 @@ FROM orders""",
     "requested": """
 SELECT l_orderkey AS pos, '/data/' || lpad((min(l_partkey) * 11)::VARCHAR, 12, '0') AS path
 FROM lineitem GROUP BY l_orderkey""",
+    "feeds": "SELECT 'node-' || (user_id % 4) AS node_name, event_type AS feed, ts AS collected_at FROM events",
+    "feed_spec": """
+SELECT DISTINCT node_name, feed, CASE WHEN feed = 'error' THEN 0 ELSE (right(node_name, 1)::BIGINT + 1) * 600000 END AS interval_ms FROM feeds
+UNION ALL SELECT DISTINCT node_name, 'nothing', 60000 FROM feeds""",
+    "outages": """
+SELECT node_name, feed, outage_from, outage_to, silent // 1000000 AS silent_sec,
+  silent // (interval_ms * 1000) - CASE WHEN outage_to IS NOT NULL AND silent % (interval_ms * 1000) = 0 THEN 1 ELSE 0 END AS missed
+FROM (SELECT *, epoch_us(coalesce(outage_to, TIMESTAMP '2024-01-31')) - epoch_us(outage_from) AS silent
+      FROM (SELECT node_name, feed, collected_at AS outage_from, lead(collected_at) OVER (PARTITION BY node_name, feed ORDER BY collected_at) AS outage_to FROM feeds))
+JOIN feed_spec USING (node_name, feed) WHERE interval_ms > 0 AND silent > interval_ms * 3000""",
     "transfers": """
 SELECT 'node-' || (o_custkey % 4) AS node_name, o_orderkey AS id,
   o_orderdate + to_seconds(o_orderkey % 86400) AS log_time,
@@ -307,6 +317,62 @@ FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN lower(status) ELSE status END AS w
     "transfer_parse": "SELECT * FROM transfers WHERE log_time >= TIMESTAMP '1996-01-01'",
     "transfer_page": """SELECT id, username, filename, bytes FROM transfers
 WHERE username = 'user7' AND direction = 'upload' ORDER BY id LIMIT 20 OFFSET 3""",
+    "transfer_from": "SELECT * EXCLUDE (id) FROM transfers WHERE log_time >= TIMESTAMP '1996-01-01'",
+    "cron_parse": r"""
+WITH cronlines AS (SELECT c_custkey AS k, 'node-' || (c_custkey % 4) AS node_name, '/cron/' || (c_custkey // 40) AS path,
+  c_custkey % 3 AS v, CASE WHEN c_custkey % 3 = 0 THEN 'ops' || (c_custkey % 5) END AS m, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 7)::VARCHAR END AS l FROM customer)
+SELECT node_name, path, pos, source, "user", schedule, command, input, MAILTO, LEVEL FROM (
+  SELECT node_name, path, k * 3 + 1 AS pos, CASE WHEN k % 2 = 0 THEN 'system' ELSE 'user' END AS source,
+    CASE WHEN k % 2 = 0 THEN 'u' || (k % 9) ELSE 'owner' || (k % 3) END AS "user",
+    CASE WHEN k % 4 = 0 THEN '@daily' ELSE (k % 60) || ' ' || (k % 24) || ' * * *' END AS schedule,
+    '/opt/job' || (k % 13) || ' --at %H' AS command, CASE WHEN k % 6 = 0 THEN 'first' || chr(10) || 'second' END AS input,
+    last_value(m IGNORE NULLS) OVER w AS MAILTO, last_value(l IGNORE NULLS) OVER w AS LEVEL, k
+  FROM cronlines WINDOW w AS (PARTITION BY node_name, path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE k % 11 <> 0""",
+    "cron_missed_runs": """WITH jobs AS (SELECT c_custkey AS job_id, c_custkey % 8 AS k, c_custkey AS c FROM customer),
+spec AS (SELECT job_id,
+  CASE k WHEN 0 THEN '*/15 * * * *' WHEN 1 THEN (c % 60) || ' ' || (c % 24) || ' * * *' WHEN 2 THEN '0 0 ' || (c % 28 + 1) || ' * *'
+    WHEN 3 THEN (c % 60) || ' 6 * * ' || (c % 7) WHEN 4 THEN '5,35 8-18/2 * ' || (c % 12 + 1) || ' *' WHEN 5 THEN '0 12 13 * FRI'
+    WHEN 6 THEN '0 0 29 2 *' ELSE CASE WHEN c % 16 = 7 THEN '@daily' ELSE '61 x * * *' END END AS schedule,
+  CASE k WHEN 0 THEN [0, 15, 30, 45] WHEN 1 THEN [c % 60] WHEN 3 THEN [c % 60] WHEN 4 THEN [5, 35] ELSE [0] END AS minutes,
+  CASE k WHEN 0 THEN range(0, 24) WHEN 1 THEN [c % 24] WHEN 3 THEN [6] WHEN 4 THEN [8, 10, 12, 14, 16, 18] WHEN 5 THEN [12] ELSE [0] END AS hours,
+  k, c FROM jobs),
+kinds AS (SELECT DISTINCT schedule, minutes, hours, k,
+  CASE k WHEN 2 THEN c % 28 + 1 WHEN 3 THEN c % 7 WHEN 4 THEN c % 12 + 1 WHEN 7 THEN c % 16 ELSE 0 END AS v FROM spec),
+days AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-29', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS d),
+fits AS (SELECT schedule, minutes, hours, d FROM kinds JOIN days ON CASE k WHEN 2 THEN day(d) = v WHEN 3 THEN dayofweek(d) = v
+  WHEN 4 THEN month(d) = v WHEN 5 THEN day(d) = 13 OR dayofweek(d) = 5 WHEN 6 THEN day(d) = 29 AND month(d) = 2
+  WHEN 7 THEN v = 7 ELSE true END),
+runs AS (SELECT schedule, d + to_minutes(h * 60 + m) AS run_at FROM (
+  SELECT schedule, d, minutes, unnest(hours) AS h FROM fits), (SELECT unnest(range(0, 60)) AS m) WHERE list_contains(minutes, m)),
+due AS (SELECT DISTINCT job_id, run_at FROM spec JOIN runs USING (schedule)),
+starts AS (SELECT o_custkey AS job_id, TIMESTAMP '2024-01-29' + to_hours((o_orderkey % 48)::INTEGER) + to_minutes((o_orderkey % 4 * 15)::INTEGER)
+  + to_seconds(o_orderkey % 200) AS started_at FROM orders),
+taken AS (SELECT s.job_id, max(d.run_at) AS run_at, s.started_at FROM starts s ASOF JOIN due d ON s.job_id = d.job_id AND s.started_at >= d.run_at GROUP BY s.job_id, s.started_at),
+firsts AS (SELECT job_id, run_at, min(started_at) AS started_at FROM taken GROUP BY job_id, run_at)
+SELECT job_id, run_at, started_at, CASE WHEN started_at IS NULL THEN 'missed' WHEN epoch_us(started_at) - epoch_us(run_at) >= 61000000 THEN 'late' ELSE 'ran' END AS outcome
+FROM due LEFT JOIN firsts USING (job_id, run_at)""",
+    "proc_lifetimes": """
+WITH one AS (SELECT *, CASE WHEN event_id % 3 = 2 THEN event_id % 9 * 86400 ELSE 0 END
+    + CASE WHEN event_id % 3 >= 1 THEN event_id % 24 * 3600 ELSE 0 END + event_id % 60 * 60 + event_id % 59 AS elapsed_sec
+  FROM ps QUALIFY row_number() OVER (PARTITION BY node_name, snapshot_id, pid ORDER BY pos DESC) = 1),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY node_name ORDER BY snapshot_id) AS nth FROM one),
+paired AS (SELECT *, lag(nth) OVER w AS before, lag(elapsed_sec) OVER w AS elapsed_before, max(nth) OVER (PARTITION BY node_name) AS newest
+  FROM placed WINDOW w AS (PARTITION BY node_name, pid ORDER BY snapshot_id)),
+lives AS (SELECT *, sum(CASE WHEN before IS NULL OR nth > before + 1 OR elapsed_sec < elapsed_before THEN 1 ELSE 0 END)
+  OVER (PARTITION BY node_name, pid ORDER BY snapshot_id)::BIGINT AS life FROM paired)
+SELECT node_name, pid, life, max_by(name, snapshot_id) AS name, min(collected_at) AS first_seen, max(collected_at) AS last_seen,
+  count(*) AS snapshots, max_by(elapsed_sec, snapshot_id) AS elapsed_sec, CASE WHEN max(nth) = any_value(newest) THEN 'RUNNING' ELSE 'STOPPED' END AS status
+FROM lives GROUP BY node_name, pid, life""",
+    "feed_outages": "SELECT node_name, feed, outage_from, outage_to, silent_sec, missed FROM outages",
+    "collector_status": """
+SELECT f.node_name, f.feed, f.interval_ms, max(s.collected_at) AS last_seen, count(s.collected_at) AS samples, any_value(coalesce(o.n, 0)) AS outages,
+  any_value(coalesce(o.silent, 0))::BIGINT AS silent_sec,
+  CASE WHEN max(s.collected_at) IS NULL THEN 'unseen' WHEN f.interval_ms > 0 AND any_value(age) > f.interval_ms * 3000 THEN 'down'
+    WHEN f.interval_ms > 0 AND any_value(age) > f.interval_ms * 1000 THEN 'late' ELSE 'ok' END AS status
+FROM feed_spec f LEFT JOIN (SELECT *, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(collected_at) OVER (PARTITION BY node_name, feed)) AS age FROM feeds) s USING (node_name, feed)
+LEFT JOIN (SELECT node_name, feed, count(*) AS n, sum(silent_sec) AS silent FROM outages GROUP BY node_name, feed) o USING (node_name, feed)
+GROUP BY f.node_name, f.feed, f.interval_ms""",
     "cron_next_runs": """WITH jobs AS (SELECT c_custkey AS job_id, c_custkey % 8 AS k, c_custkey AS c FROM customer),
 spec AS (SELECT job_id,
   CASE k WHEN 0 THEN '*/15 * * * *' WHEN 1 THEN (c % 60) || ' ' || (c % 24) || ' * * *' WHEN 2 THEN '0 0 ' || (c % 28 + 1) || ' * *'

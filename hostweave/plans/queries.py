@@ -9,9 +9,10 @@ from hostweave.functions import formatting as fmt, severity as sev
 from hostweave.functions.process import process_state, runtime_seconds
 from hostweave.operators import jsonrows, logs, paging, paths, processes, ranking, summary
 from hostweave.operators.latest import current_snapshot, last_per_pid, latest_by_key
-from hostweave.operators.schedule import expected_runs
+from hostweave.operators.schedule import expected_runs, missed_runs, runs_between
 from hostweave.plans.bindings import Bindings
 from hostweave.sources import specs
+from hostweave.sources.crontabs import parse_crontabs
 from hostweave.sources.filesystems import (
     exclude_pseudo_fs,
     fs_samples_from_counters,
@@ -570,6 +571,48 @@ def transfer_page(b: Bindings) -> DataFrame:
     return paging.page(found, ["id"], limit=20, offset=3).select("id", "username", "filename", "bytes")
 
 
+@_query
+def transfer_from(b: Bindings) -> DataFrame:
+    """Transfer logs in order of time, of which only what comes from a moment on is read."""
+    work, since = fresh_dir(b.spark, "transfers"), dt.datetime(1996, 1, 1)
+    timed = b.transfer_lines().join(b.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderdate"), "id")
+    at = F.col("o_orderdate") + F.make_dt_interval(secs=F.col("id") % 86_400)
+    order = ["node_name", "log_name", "at"]
+    lines = timed.select("node_name", F.lit("xferlog").alias("log_name"), at.alias("at"), F.col("line").alias("value"))
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("node_name", "log_name", "value").write.partitionBy("node_name", "log_name").text(f"{work}/logs")
+    read = feeds.read_whole_logs(b.spark, f"{work}/logs/node_name=*/log_name=*/part-*", startTime=since.isoformat())
+    return parse_transfer_log(read.select("node_name", "line"))
+
+
+@_query
+def cron_parse(b: Bindings) -> DataFrame:
+    jobs = parse_crontabs(b.crontab_lines())
+    return jobs.withColumns({name: F.try_element_at("variables", F.lit(name)) for name in ("MAILTO", "LEVEL")}).drop("variables")
+
+
+@_query
+def cron_missed_runs(b: Bindings) -> DataFrame:
+    expected = runs_between(b.cron_jobs(), dt.datetime(2024, 1, 29), dt.datetime(2024, 1, 31))
+    return missed_runs(expected, b.job_starts(), ["job_id"], 60)
+
+
+@_query
+def proc_lifetimes(b: Bindings) -> DataFrame:
+    samples = last_per_pid(_processes(b)).withColumn("elapsed_sec", runtime_seconds(F.col("elapsed")))
+    return processes.lifetimes(samples)
+
+
+@_query
+def feed_outages(b: Bindings) -> DataFrame:
+    return summary.outages(b.feed_samples(), b.feed_specs(), _now(HEALTH_NOW))
+
+
+@_query
+def collector_status(b: Bindings) -> DataFrame:
+    return summary.collector_status(b.feed_samples(), b.feed_specs(), _now(HEALTH_NOW))
+
+
 @_query
 def cron_next_runs(b: Bindings) -> DataFrame:
     return expected_runs(b.cron_jobs(), NOW)

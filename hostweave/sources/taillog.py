@@ -23,6 +23,8 @@ import zlib
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 from dataclasses import dataclass
+from datetime import datetime
+from collections.abc import Callable
 from typing import Iterator
 
 import pyarrow as pa
@@ -41,6 +43,8 @@ BATCH_ROWS = 8192
 HEAD_BYTES = 256
 #: Files whose size and last line are looked up at once: storage is waited for, not computed on.
 LOOKUPS = 32
+# Fixed value: the time a transfer log line begins with, xferlog(5).
+XFERLOG_TIME = "%a %b %d %H:%M:%S %Y"
 DEFAULT_FORGET_S = 30 * 24 * 3600
 
 _SCHEMA = (
@@ -82,7 +86,9 @@ class LogTail(DataSource):
     ``oversize_line``, in pieces of that many bytes with a row and offset each; ``maxBytesPerTrigger``, the
     input of a batch, about (needs ``stateFile``, which then belongs to the checkpoint, as a source
     is not told where its query stood); ``forgetAfterSeconds``, after which an absent file's offset goes
-    (default 30 days; should it come back, it is read from its start); ``emitPartial`` (default false) to emit an
+    (default 30 days; should it come back, it is read from its start); ``startTime`` (ISO), before
+    which a file's lines are not read: files ordered in time are bisected on line starts, by the
+    time in a line's first ``timeBytes`` bytes as ``timeFormat`` (that of a transfer log if none is given) has it; ``emitPartial`` (default false) to emit an
     unterminated last line, whose rest then becomes another line; ``failOnDataLoss``
     (default true) for planned bytes that are gone before they were read.
     """
@@ -115,6 +121,10 @@ class LogFiles:
         self.budget = int(given["maxbytespertrigger"]) if "maxbytespertrigger" in given else None
         if self.budget is not None and (self.budget < 1 or not self.state_file):
             raise ValueError("maxBytesPerTrigger must be positive and needs a stateFile")
+        start = given.get("starttime")
+        self.start_time = datetime.fromisoformat(start) if start else None
+        self.time_format = given.get("timeformat", XFERLOG_TIME)
+        self.time_bytes = int(given.get("timebytes", 24))
         self.forget_s = float(given.get("forgetafterseconds", DEFAULT_FORGET_S))
         self.emit_partial = given.get("emitpartial", "false").lower() == "true"
         self.fail_on_loss = given.get("failondataloss", "true").lower() == "true"
@@ -122,6 +132,16 @@ class LogFiles:
     def paths(self) -> list[str]:
         return sorted(p for p in glob.glob(self.pattern) if os.path.isfile(p))
 
+    def begin(self, path: str, last: int) -> int:
+        """Where reading a file begins: its start, or its first line from ``startTime`` on."""
+        return 0 if self.start_time is None else first_line_from(path, last, self.start_time, self._stamp)
+
+    def _stamp(self, raw: bytes) -> datetime | None:
+        try:
+            return datetime.strptime(raw[: self.time_bytes].decode("ascii"), self.time_format)
+        except ValueError:
+            return None
+
     def ranges(self, path: str, inode: int, first: int, last: int) -> list[ByteRange]:
         labels = {k: unquote(v) for k, v in (p.split("=", 1) for p in path.split("/") if "=" in p)}
         return [
@@ -232,6 +252,36 @@ def _after_last_newline(path: str, size: int, floor: int) -> int:
     return floor
 
 
+def first_line_from(path: str, end: int, start: datetime, stamp: Callable[[bytes], datetime | None]) -> int:
+    """Offset of the first line at ``start`` or later in a file whose times do not fall; ``end`` when there is none.
+
+    Bisects on bytes and reads a line at each step. A line without a time goes with the one before.
+    """
+
+    def stamped(handle, at: int, stop: int) -> tuple[int, int, datetime] | None:
+        """Begin, end and time of the first line with a time that begins in [at, stop)."""
+        handle.seek(max(0, at - 1))
+        if at:
+            handle.readline()  # the rest of the line before, or only its line feed
+        while (begin := handle.tell()) < stop:
+            raw = handle.readline()
+            if (found := stamp(raw)) is not None:
+                return begin, begin + len(raw), found
+        return None
+
+    low, high, best = 0, end, end
+    with open(path, "rb") as handle:
+        while low < high:
+            middle = (low + high) // 2
+            line = stamped(handle, middle, high)
+            if line is None or line[2] >= start:
+                best = line[0] if line else best
+                high = middle
+            else:
+                low = line[1]
+    return best
+
+
 def _head(path: str, end: int) -> int:
     """Checksum of the first bytes up to ``end``, HEAD_BYTES at most."""
     with open(path, "rb") as handle:
@@ -351,7 +401,7 @@ class LogTailStreamReader(DataSourceStreamReader):
             inode, last, _ = offset
             done, head = known.get(inode, (0, None))
             same = done <= last and os.path.exists(path) and _head(path, done) == head
-            planned += self.files.ranges(path, inode, done if same else 0, last)
+            planned += self.files.ranges(path, inode, done if same else self.files.begin(path, last), last)
         return planned
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -381,7 +431,7 @@ class LogFileReader(DataSourceReader):
         planned = []
         for path in self.files.paths():
             stat = os.stat(path)
-            planned += self.files.ranges(path, stat.st_ino, 0, stat.st_size)
+            planned += self.files.ranges(path, stat.st_ino, self.files.begin(path, stat.st_size), stat.st_size)
         return planned
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
