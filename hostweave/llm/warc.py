@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
 The reader checks every record: compressed member, version line, header, length, digests. Where
-a check fails it searches on for the next member, or in plain files and inside members the next
-version line, that holds a whole record, goes on there, and logs the bytes between as a gap.
+a check fails it searches on for whichever comes first, the next member or the next version line,
+that holds a whole record, goes on there, and logs the bytes between as a gap.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
+#: What a member or a version line begins with, and its most bytes.
+START, START_BYTES = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n"), 10
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Own header field: length of the payload that a revisit leaves out.
@@ -34,6 +36,8 @@ PAYLOAD_BYTES = "X-Payload-Bytes"
 ARCHIVED = "1970-01-01T00:00:00Z"
 #: A file ends with the record that brings it to so many bytes; bytes read at a time.
 FILE_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Bytes that are decompressed, or looked through for a header, at first.
+FEED_BYTES, LITTLE = 1 << 14, 16
 #: A header longer than this is taken for damage.
 HEADER_BYTES = 1 << 20
 
@@ -193,104 +197,117 @@ def records_in(data: bytes) -> Iterator[Found]:
 
 
 class _Source:
-    """Bytes of a file by place, a window at a time."""
+    """Bytes of a file by place, through a window that is read once."""
 
     def __init__(self, uri: str):
         system, path = file_system(uri)
         self.file = system.open_input_file(path)
         self.size = self.file.size()
+        self.window, self.begin = b"", 0
 
-    def chunks(self, at: int) -> Iterator[bytes]:
+    def read(self, at: int, count: int) -> bytes:
+        """``count`` bytes from ``at`` on, fewer at the end of the file."""
+        end = min(at + count, self.size)
+        if at < self.begin or end > self.begin + len(self.window):
+            self.window, self.begin = self.file.read_at(min(max(end - at, READ_BYTES), self.size - at), at), at
+        return self.window[at - self.begin : end - self.begin]
+
+    def next_start(self, at: int) -> int:
+        """Place of the next member's or version line's first bytes, or the size."""
         while at < self.size:
-            data = self.file.read_at(min(READ_BYTES, self.size - at), at)
-            yield data
-            at += len(data)
-
-    def find(self, what: bytes, at: int) -> int:
-        """Place of the next occurrence, or the size."""
-        tail = b""
-        for data in self.chunks(at):
-            here = (tail + data).find(what)
-            if here >= 0:
-                return at - len(tail) + here
-            at += len(data)
-            tail = (tail + data)[-(len(what) - 1) :]
+            data = self.read(at, READ_BYTES)
+            if here := START.search(data):
+                return at + here.start()
+            at += max(1, len(data) - START_BYTES + 1) if at + len(data) < self.size else len(data)
         return self.size
 
 
-def _member(source: _Source, at: int) -> tuple[bytes, int, str]:
-    """Content of the gzip member at this place, where it ends, and what is wrong with it."""
-    engine, parts = zlib.decompressobj(31), []
-    place = at
+def _member(source: _Source, at: int, most: int | None = None, feed: int | None = None) -> tuple[bytes, int, str]:
+    """Content of the gzip member at this place (``most`` bytes of it), where it ends, and what is wrong with it."""
+    feed = feed or FEED_BYTES
+    engine, parts, held, place = zlib.decompressobj(31), [], 0, at
     try:
-        for data in source.chunks(at):
-            parts.append(engine.decompress(data))
+        while place < source.size:
+            data = source.read(place, feed)
+            parts.append(engine.decompress(data, 0 if most is None else most - held))
+            held += len(parts[-1])
             place += len(data)
-            if engine.eof:
-                return b"".join(parts), place - len(engine.unused_data), ""
+            if engine.eof or held == most:
+                return b"".join(parts), place - len(engine.unused_data or engine.unconsumed_tail), ""
     except zlib.error:
-        return b"".join(parts), place, "member"
+        # What came before the damage in the bytes last fed is lost with the error: they are fed in little.
+        return _member(source, at, most, LITTLE) if feed > LITTLE else (b"".join(parts), place, "member")
     return b"".join(parts), place, "end of file"
 
 
+def _plain(source: _Source, at: int) -> tuple[Found | None, str, int | None]:
+    """The uncompressed record at this place; else why not, and where it ends if its length holds."""
+    head = -1
+    for size in (FEED_BYTES, HEADER_BYTES):
+        start = source.read(at, size)
+        if (head := start.find(END)) >= 0:
+            break
+    length = re.search(rb"\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", start[: head + 2], re.I) if head >= 0 else None
+    end = at + head + 2 * len(END) + int(length[1]) if length else 0
+    if not length or end > source.size:
+        return None, parse_record(start, 0)[1] or "length", None
+    found, why = parse_record(source.read(at, end - at), 0)
+    if found:
+        return Found(at, end, found.fields, found.block), "", end
+    follows = why.endswith("digest") and (end == source.size or START.match(source.read(end, START_BYTES)))
+    return None, why, end if follows else None
+
+
 def salvage(uri: str) -> Iterator[Found]:
     """All records of an archive that are whole, in order, and the gaps between them.
 
-    A damaged member gives the whole records before its damage; its place is then a gap up to
-    the next member that decompresses and holds a record. One member is held in memory.
+    Compressed members and plain records may follow one another. Where a check fails the nearer
+    of the next member and the next version line that holds a whole record is gone on with, and
+    the bytes up to it are a gap; a plain record whose digest alone is wrong is a gap up to its own end. A damaged
+    member gives the whole records before its damage. One member or plain record is held in memory.
     """
     source = _Source(uri)
     try:
-        if source.size and source.file.read_at(2, 0) != MEMBER[:2] and source.find(MEMBER, 0) == source.size:
-            yield from _plain(source)
-            return
         at, gap, reason = 0, 0, ""
         while at < source.size:
-            data, end, why = _member(source, at)
-            inside = list(records_in(data)) if data else []
-            good = [f for f in inside if not f.reason]
-            if not why and (good or not data):
+            good, why, end = _records_at(source, at)
+            if good:
                 if gap < at:
                     yield Found(gap, at, reason=reason)
-                for f in inside:
-                    yield Found(at, end, f.fields, f.block, f.reason)
+                yield from good
+            if not why:
+                if not good and gap < at:
+                    yield Found(gap, at, reason=reason)
                 at = gap = end
                 continue
-            if good:  # the sound start of a damaged member
-                if gap < at:
-                    yield Found(gap, at, reason=reason)
-                    gap = at
-                for f in good:
-                    yield Found(at, end, f.fields, f.block)
-            if gap == at:
-                reason = why or next((f.reason for f in inside if f.reason), "member")
-            at = source.find(MEMBER, at + 1)
+            if good:
+                gap = at = end
+                reason = why
+            elif gap == at:
+                reason = why
+            at = source.next_start(at + 1) if good or end is None else end
         if gap < source.size:
             yield Found(gap, source.size, reason=reason)
     finally:
         source.file.close()
 
 
-def _plain(source: _Source) -> Iterator[Found]:
-    """Records of an uncompressed archive, holding a record and a window more in memory."""
-    data, base, more = b"", 0, source.chunks(0)
-    ended = False
-    while not ended or data:
-        if not ended:
-            step = next(more, None)
-            ended = step is None
-            data += step or b""
-        keep = 0
-        for found in records_in(data):
-            if not ended and found.reason and found.end == len(data):
-                keep = found.begin  # may be whole once more is read
-                break
-            yield Found(base + found.begin, base + found.end, found.fields, found.block, found.reason)
-            keep = found.end
-        base += keep
-        data = data[keep:] if keep else data
-        if ended:
-            return
+def _records_at(source: _Source, at: int) -> tuple[list[Found], str, int | None]:
+    """What begins at this place: records and gaps of a sound member or plain record, or the sound
+    records before the damage; what is wrong; and where the search goes on, if that is known."""
+    if source.read(at, len(MEMBER)) != MEMBER:
+        found, why, end = _plain(source, at)
+        return [found] if found else [], why, end
+    data, end, why = _member(source, at)
+    inside = list(records_in(data)) if data else []
+    good = [f for f in inside if not f.reason]
+    if not why and (good or not data):
+        return [Found(at, end, f.fields, f.block, f.reason) for f in inside], "", end
+    if not good:
+        return [], why or next((f.reason for f in inside), "member"), None
+    # What was read of the member for its good records is theirs; the search goes on behind it.
+    read = _member(source, at, good[-1].end)[1]
+    return [Found(at, read, f.fields, f.block) for f in good], why, read
 
 
 RECORDS = (
@@ -303,7 +320,9 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records of the archives in column path: place in the file, record_type, page_id, url,
     payload_bytes and payload_digest of the full payload, refers_to, and the payload if wanted.
 
-    A row whose ``gap`` is not null is no record: it logs quarantined bytes and why.
+    A row whose ``gap`` is not null is no record: it logs quarantined bytes and why. An empty list
+    gives no row, an empty archive none either; records may be of any length, and one that repeats comes as often.
+    Columns of ``files`` other than path are not read.
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

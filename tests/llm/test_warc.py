@@ -109,6 +109,54 @@ def test_sound_records_of_a_damaged_member_are_kept(tmp_path):
     assert [warc.page_of(f.fields["warc-record-id"]) for f in good] == [0, 0] and len(gaps) == 1
 
 
+def ids(found):
+    return [warc.page_of(f.fields["warc-record-id"]) for f in found]
+
+
+def test_plain_archive_with_a_compressed_payload(tmp_path):
+    records = [warc.page_record(i, "u", gzip.compress(b"inner") if i == 2 else b"plain", i) for i in range(5)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    good, gaps = read(f"{tmp_path}/a.warc")
+    assert ids(good) == [0, 1, 2, 3, 4] and not gaps
+
+
+def test_plain_record_between_members(tmp_path):
+    parts = members(3)
+    plain = warc.page_record(7, "u", b"plain", 7)
+    (tmp_path / "a.warc.gz").write_bytes(parts[0] + plain + parts[1] + b"junk" + plain + parts[2])
+    good, gaps = read(f"{tmp_path}/a.warc.gz")
+    assert ids(good) == [0, 7, 1, 7, 2]
+    at = len(parts[0]) + len(plain) + len(parts[1])
+    assert [g[:2] for g in gaps] == [(at, at + 4)]
+
+
+@pytest.mark.parametrize("damaged", [False, True])
+def test_records_within_a_long_plain_record_are_payload(tmp_path, damaged):
+    inner = warc.page_record(9, "u", b"inner", 9)
+    outer = warc.page_record(1, "u", b"x" * 1_500_000 + inner + b"y" * 10, 1)
+    if damaged:  # its digest is wrong, its length holds
+        outer = outer.replace(b"yyyy", b"yyyz")
+    first, last = warc.page_record(0, "u", b"a", 0), warc.page_record(2, "u", b"b", 2)
+    (tmp_path / "a.warc").write_bytes(first + outer + last)
+    good, gaps = read(f"{tmp_path}/a.warc")
+    assert ids(good) == ([0, 2] if damaged else [0, 1, 2])
+    assert [g[:2] for g in gaps] == ([(len(first), len(first) + len(outer))] if damaged else [])
+
+
+def test_small_windows_find_the_same(tmp_path, monkeypatch):
+    parts = members()
+    bad = b"\x1f\x8b" + b"\x1f\x8b\x08" * 3 + b"WARC/1.1\r\nX: 1\r\n\r\nWARC/1.1" + parts[2][: len(parts[2]) // 2]
+    stored = gzip.compress(b"".join(warc.page_record(i, "u", b"s" * 300, i) for i in (20, 21)), 0, mtime=0)
+    (tmp_path / "a.warc.gz").write_bytes(parts[0] + bad + parts[1] + stored[:-200] + warc.page_record(8, "u", b"p" * 900, 8) + bad + parts[3])
+    want = read(f"{tmp_path}/a.warc.gz")
+    assert ids(want[0]) == [0, 1, 20, 8, 3]
+    for size in (11, 64, 1000):
+        monkeypatch.setattr(warc, "READ_BYTES", size)
+        monkeypatch.setattr(warc, "FEED_BYTES", size)
+        found = read(f"{tmp_path}/a.warc.gz")
+        assert ids(found[0]) == ids(want[0]) and [g[0] for g in found[1]] == [g[0] for g in want[1]]
+
+
 def test_empty_file(tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"")
     assert read(f"{tmp_path}/a.warc.gz") == ([], [])
