@@ -120,8 +120,8 @@ def mix_documents(documents: DataFrame, seed: str = "mix") -> DataFrame:
 
     Null text has size 0; null sources are one source; a document without words is never taken.
     Documents are shuffled by md5 of the seed and doc_id, then by doc_id and size, so reruns agree;
-    rows equal in all of these may swap what is taken of them. Other columns are not read. An
-    empty table gives no row.
+    rows equal in all of these may swap what is taken of them. Texts of any length are counted whole. Other columns are not
+    read. An empty table gives no row.
     """
     return _mixed(only(documents, "doc_id", "source", "text").withColumn("size", word_count(F.col("text"))).drop("text"), seed)
 
@@ -133,7 +133,10 @@ def _mixed(sized: DataFrame, seed: str) -> DataFrame:
 
 def mixed_copies(documents: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix as whole documents: each as often as the mix takes its words, rounded (only the
-    document where a source's target is reached is taken in part). Their own columns only."""
+    document where a source's target is reached is taken in part). Their own columns only.
+
+    Documents without words (null and empty texts) are in no mix, rows that repeat stand in each
+    other's copies, and an empty table gives no row. Rows are in no order: ``mixed_stream`` has the mix's."""
     documents, names = set_aside(documents, "doc_id", "source", "text")
     key = F.xxhash64("source", "text").alias("_key")
     sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), key)
@@ -146,8 +149,9 @@ def mixed_copies(documents: DataFrame, seed: str = "mix") -> DataFrame:
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns).toDF(*names)
 
 
-def taken_words(stored: DataFrame, seed: str = "mix") -> DataFrame:
-    """_row, source_size, target and taken for stored documents with _row, doc_id, source and size."""
+def _stretches(stored: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Stored documents (_row, doc_id, source, size) with _begin, their place on their source's line of
+    words; and what the schedule takes of them: position, _row, _source, block, first_word, words."""
     laid = (
         stored.select("_row", "doc_id", "source", "size")
         .withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
@@ -167,15 +171,35 @@ def taken_words(stored: DataFrame, seed: str = "mix") -> DataFrame:
         .withColumn("block", F.explode(F.expr("sequence(_begin div _block, (_begin + size - 1) div _block)")))
         .withColumn("_low", F.greatest(F.col("_begin") - F.col("block") * F.col("_block"), F.lit(0)))
         .withColumn("_high", F.least(F.col("_begin") + F.col("size") - F.col("block") * F.col("_block"), F.col("_block")))
-        .select("_row", "_source", "block", "_low", "_high", "source_size", "target")
+        .withColumn("first_word", F.greatest(F.col("block") * F.col("_block") - F.col("_begin"), F.lit(0)))
+        .select("_row", "_source", "block", "_low", "_high", "first_word")
     )
-    got = F.greatest(F.least(F.col("_high"), F.coalesce("words", F.lit(0))) - F.col("_low"), F.lit(0))  # no slot: nothing
-    taken = (
-        pieces.join(mix_schedule(targets).select("_source", "block", "words"), ["_source", "block"], "left")
-        .groupBy("_row", "source_size", "target")
-        .agg(F.coalesce(F.sum(got), F.lit(0)).alias("taken"))
+    slots = mix_schedule(targets).withColumnRenamed("words", "_words")
+    taken = F.least(F.col("_high"), F.col("_words")) - F.col("_low")
+    stream = pieces.join(slots, ["_source", "block"]).withColumn("words", taken).where("words > 0")
+    return placed, stream.select("position", "_low", "_row", "_source", "block", "first_word", "words")
+
+
+def taken_words(stored: DataFrame, seed: str = "mix") -> DataFrame:
+    """_row, source_size, target and taken for stored documents with _row, doc_id, source and size: sums over the mixed stream."""
+    placed, stream = _stretches(stored, seed)
+    taken = stream.groupBy("_row").agg(F.sum("words").alias("_taken"))
+    return placed.select("_row", "source_size", "target").join(taken, "_row", "left").select(
+        "_row", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken")
     )
-    return taken.unionByName(placed.where("size = 0").select("_row", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+
+
+def mixed_stream(documents: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself, in the schedule's order: position (of the slot), place (in the slot), source,
+    block, doc_id, first_word and words, the stretch of the document that is read there.
+
+    Sorted by position and place; positions of slots that take nothing are left out, and a document that is
+    taken twice comes in two slots of its block. Cases as in ``mix_documents``.
+    """
+    sized = only(documents, "doc_id", "source", "text").withColumn("size", word_count(F.col("text"))).drop("text")
+    stored = written(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    stream = _stretches(stored, seed)[1].join(stored.select("_row", "doc_id", "source"), "_row")
+    return stream.select("position", F.col("_low").alias("place"), "source", "block", "doc_id", "first_word", "words").orderBy("position", "place")
 
 
 #: The documents' taken words from the quotas alone: the schedule takes a source's blocks in turn.

@@ -30,14 +30,15 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Words of an average text that each statistic is pulled towards, so that short texts vary less.
 PRIOR_WORDS = 20
 #: Spread of the transformed statistics that no group goes below: word length, symbols, lines, repeats.
-FLOORS = (0.08, 0.5, 1.0, 0.1)
+#: Of each the extreme that the base rules let pass lies beyond the cut by itself where a group has none of it.
+FLOORS = (0.08, 0.5, 0.75, 0.05)
 DIMS = range(len(FLOORS))
 #: Rows that a group needs for an estimate of its own.
 LEAST_ROWS = 40
 #: Quantiles of the chi-square law: rows that count in the final estimate; rows beyond are rejected.
 COUNTED, KEPT = 0.975, 0.99999
-#: Bins for each doubling of the squared distance; concentration steps at most.
-BINS, STEPS = 32, 12
+#: Bins for each doubling of the squared distance.
+BINS = 32
 #: Groups up to which their estimates are broadcast.
 BROADCAST_GROUPS = 10_000
 
@@ -218,7 +219,7 @@ def fit(measured: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     to, the _centre and _inverse of each _group, and the number of names.
 
     Starts are medians with spreads from the median deviation, and means with covariances; each
-    takes concentration steps until no group changes, and the lower determinant wins. The half's
+    takes concentration steps until no determinant falls, and the lower determinant wins. The half's
     covariance is scaled to agree with normal data. Rows within the ``COUNTED`` quantile then give
     the final estimate. ``FLOORS`` are added to every covariance, so a group whose half is all
     alike has one, too. Nearness is told in bins of 2% of the squared distance, ties included.
@@ -250,13 +251,14 @@ def fit(measured: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     half = chi_square(len(DIMS), 0.5)
     to_normal = 0.5 / chi_square_share(len(DIMS) + 2, half)
-    for _ in range(STEPS):
-        following = written(_estimates(_nearest_half(rows, current, count), to_normal), "quality-step")
-        was = current.select("_group", "_start", F.col("_centre").alias("_was"), F.col("_logdet").alias("_was_logdet"))
-        moved = F.exists(F.arrays_zip("_centre", "_was"), lambda x: F.abs(x["_centre"] - x["_was"]) > 1e-9)
-        changed = following.join(was, ["_group", "_start"]).where(moved | (F.abs(F.col("_logdet") - F.col("_was_logdet")) > 1e-9))
-        current = following
-        if changed.isEmpty():
+    while True:
+        # A step does not raise the determinant but by the bins; where it falls no more, it has converged.
+        following = _estimates(_nearest_half(rows, current, count), to_normal)
+        was = current.select("_group", "_start", F.struct(*[c for c in current.columns if c[1:] not in ("group", "start")]).alias("_was"))
+        paired = written(following.join(was, ["_group", "_start"]).withColumn("_falls", F.col("_logdet") < F.col("_was._logdet") - 1e-9), "quality-step")
+        kept = [F.when(F.col("_falls"), F.col(c)).otherwise(F.col(f"_was.{c}")).alias(c) for c in ("_rows", "_centre", "_inverse", "_logdet")]
+        current = paired.select("_group", "_start", *kept)
+        if paired.where("_falls").isEmpty():
             break
     best = F.min_by(F.struct("_rows", "_centre", "_inverse"), F.struct("_logdet", "_start")).alias("_best")
     best = current.groupBy("_group").agg(best).select("_group", F.lit(0).alias("_start"), "_best.*")
@@ -284,8 +286,8 @@ def quality_verdicts(documents: DataFrame) -> DataFrame:
     """Every document's doc_id, lang, source, its statistics, base_failed, distance and kept.
 
     Null text has no words and fails the base rules. Null languages and sources are groups of
-    their own. Repeated rows are judged alike. Other columns are not read. An empty table gives
-    no row.
+    their own. Repeated rows are judged alike. Texts of any length are measured whole. Other columns
+    are not read. An empty table gives no row.
     """
     measured = written(with_statistics(only(documents, "doc_id", "lang", "source", "text")).drop("text"), "quality-statistics")
     return judge(measured, fit(measured))

@@ -54,6 +54,28 @@ def test_schedule_is_spread_evenly(spark):
         assert [s.rank for s in slots if s._source == source] == list(range(sum(s._source == source for s in slots)))
 
 
+def test_stream_takes_blocks_in_the_schedules_order(spark):
+    rows = [(i, "w " * (50 + 13 * i), "en", s) for i, s in enumerate("aabbbbccccc" * 6)]
+    stream = mixing.mixed_stream(odd_documents(spark, rows)).collect()
+    assert [(r.position, r.place) for r in stream] == sorted((r.position, r.place) for r in stream)
+    sizes = {d: len(t.split()) for d, t, _, _ in rows}
+    assert all(r.words > 0 and r.first_word + r.words <= sizes[r.doc_id] for r in stream)
+    taken = {}
+    for r in stream:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+    mixed = mixing.mix_documents(odd_documents(spark, rows)).collect()
+    assert {r.doc_id: r.taken for r in mixed if r.taken} == taken
+    total, seen, share = sum(taken.values()), {}, {r.source: r.target for r in mixed}
+    for n, r in enumerate(stream):  # at any point each source has about its share of what came so far
+        seen[r.source] = seen.get(r.source, 0) + r.words
+        if n > len(stream) // 10:
+            so_far = sum(seen.values())
+            assert all(abs(seen.get(x, 0) - so_far * share[x] / total) < 0.05 * total for x in share)
+    for r in stream[:5]:  # the words of a block follow one another
+        same = [x for x in stream if (x.position, x.source) == (r.position, r.source)]
+        assert all(a.place + a.words == b.place for a, b in zip(same, same[1:]))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "en", "a")], [(1, "one", None, None)]])
 def test_small_tables(spark, rows):
     found = result(mixing.mix_documents(odd_documents(spark, rows)), "doc_id", "size", "target", "taken")

@@ -42,6 +42,24 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert not any(verdicts[1000 + i].kept or verdicts[1000 + i].base_failed for i in range(60))
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(2, 9, 4000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, text(rng.integers(100, 400)), "en", "a") for i in range(400)]
+    own = [text(8) for _ in range(7)]
+    rows += [
+        (1000, "\n".join([*rng.choice(words, 40), *["a b"] * 180, *["c d"] * 180]), "en", "a"),  # repeated lines
+        (1001, " ".join([*rng.choice(words, 280), *own, *own]), "en", "a"),  # repeated words, below the base rule
+        (1002, " ".join(w + "$#*" for w in rng.choice(words, 200)), "en", "a"),  # symbols
+        (1003, " ".join("x" * 60 for _ in range(3)) + " " + " ".join(f"{'y' * 50}{i}" for i in range(150)), "en", "a"),  # word length
+    ]
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(odd_documents(spark, rows)).collect()}
+    for i in range(1000, 1004):
+        assert not verdicts[i].kept, (i, verdicts[i])
+    assert not verdicts[1001].base_failed and sum(verdicts[i].kept for i in range(400)) >= 396
+
+
 def test_fit_is_the_minimum_determinant_of_a_plain_search(spark):
     """Concentration steps on all rows by numpy reach the same centre."""
     rows = documents(spark)
@@ -60,7 +78,7 @@ def test_fit_is_the_minimum_determinant_of_a_plain_search(spark):
     def distance(centre, cov):
         return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
 
-    for _ in range(20):
+    for _ in range(60):
         near = np.argsort(distance(centre, cov), kind="stable")[: (len(x) + 5) // 2]
         centre, cov = x[near].mean(axis=0), scale * np.cov(x[near].T, bias=True) + floors
     inside = x[distance(centre, cov) <= quality.chi_square(4, quality.COUNTED)]
