@@ -181,7 +181,7 @@ class _Run:
             yield self.pairs(begin + a, begin + b)
             return
         rows = np.arange(begin, end)
-        for step in range(1, NEIGHBOURS + 1):
+        for step in range(1, NEIGHBOURS + 1) if depth == PREFIX else ():  # those of a deeper part are among them
             yield self.pairs(rows[:-step], rows[step:])
         for centre in self.centres(begin, end):
             yield self.pairs(np.full(len(rows), centre), rows)
@@ -214,6 +214,12 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
 
     def joined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         pairs = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
+        if pairs:  # a pair that neighbours, centres and parts found is one
+            order = np.lexsort((pairs[1], pairs[0]))
+            a, b = pairs[0][order], pairs[1][order]
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            pairs = [x[order][first] for x in pairs]
         for at in range(0, len(pairs[0]) if parts else 0, 1 << 16):
             yield found(tuple(x[at : at + (1 << 16)] for x in pairs))
 
