@@ -70,20 +70,34 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission": "BSDendorse",
     "you may not use this file except in compliance with the license": "APACHEcomply",
+    "you may obtain a copy of the license at": "APACHEcopy",
     "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "APACHEcopy",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "APACHEcopy",
+    "http www.apache.org licenses license 2.0": "APACHEurl",
+    "https www.apache.org licenses license 2.0": "APACHEurl",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
     "warranties or conditions of any kind either express or implied": "APACHEasis",
     "licensed under the apache license version 2.0 the license": "APACHEgrant",
+    "this program is free software": "GPLfree",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLterms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+    "the free software foundation either version 3 of the license or at your option any later version": "GPL3terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+    "the free software foundation either version 2 of the license or at your option any later version": "GPL2terms",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
-    "the free software foundation either version 3 of the license or at your option any later version": "GPL3later",
+    "the free software foundation either version 3 of the license or at your option any later version": "GPL3terms",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
-    "the free software foundation either version 2 of the license or at your option any later version": "GPL2later",
+    "the free software foundation either version 2 of the license or at your option any later version": "GPL2terms",
+    "either version 3 of the license or at your option any later version": "GPL3later",
+    "either version 2 of the license or at your option any later version": "GPL2later",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPLimplied",
+    "see the gnu general public license for more details": "GPLsee",
     "this program is distributed in the hope that it will be useful but without any warranty": "GPLwarranty",
     "all rights reserved": "RESERVED",
     "this is free and unencumbered software released into the public domain": "UNLICENSE",
 }
 #: Words of which every known sentence holds one; a text without them is not cut up.
-HINT = r"(?i)licen[cs]e|permission|redistribution|warranty|liable|reserved|public[^a-z0-9.+]+domain|creative|under[^a-z0-9.+]+(the[^a-z0-9.+]+)?cc"
+HINT = r"(?i)licen[cs]e|free[^a-z0-9.+]+software|permission|redistribution|warranty|liable|reserved|public[^a-z0-9.+]+domain|creative|under[^a-z0-9.+]+(the[^a-z0-9.+]+)?cc"
 #: Rules in order: licence and the identifiers it asks for; those with ? may be missing. What no
 #: rule uses up and names a licence by itself is that licence.
 RULES = (
@@ -91,13 +105,17 @@ RULES = (
     ("ISC", "ISCgrant"),
     ("BSD-3-Clause", "BSDgrant BSDsource BSDbinary BSDendorse"),
     ("BSD-2-Clause", "BSDgrant BSDsource BSDbinary"),
-    ("Apache-2.0", "APACHEgrant APACHEcomply? APACHEcopy? APACHEasis?"),
-    ("Apache-2.0", "ref:Apache-2.0 APACHEcomply APACHEcopy? APACHEasis?"),
-    ("GPL-3.0-or-later", "GPL3later GPLwarranty?"),
-    ("GPL-2.0-or-later", "GPL2later GPLwarranty?"),
+    ("Apache-2.0", "APACHEgrant APACHEcomply? APACHEcopy? APACHEurl? APACHEasis?"),
+    ("Apache-2.0", "ref:Apache-2.0 APACHEcomply APACHEcopy? APACHEurl? APACHEasis?"),
+    ("GPL-3.0-or-later", "GPLfree? GPL3terms GPLwarranty? GPLimplied? GPLsee?"),
+    ("GPL-3.0-or-later", "GPLfree? GPLterms GPL3later GPLwarranty? GPLimplied? GPLsee?"),
+    ("GPL-2.0-or-later", "GPLfree? GPL2terms GPLwarranty? GPLimplied? GPLsee?"),
+    ("GPL-2.0-or-later", "GPLfree? GPLterms GPL2later GPLwarranty? GPLimplied? GPLsee?"),
     ("Unlicense", "UNLICENSE"),
     ("proprietary", "RESERVED"),
 )
+#: Abbreviations in holders' names.
+ABBREVIATED = "Corp|Inc|Ltd|Co|LLC|Bros|Jr|Sr|Dr|St"
 #: Cuts sentences apart; no text of ours holds it.
 CUT = "\x1e"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -119,14 +137,46 @@ def rule_pattern(rule: str) -> str:
     return "".join(f"(<{name}>)?" if optional else f"<{name}>" for name, optional in parts)
 
 
+def openings() -> str:
+    """What known sentences begin with, in any case and over line ends: their first five words, or a reference's words before the name."""
+    first = {form.split(" {}")[0] for form in REFERENCES} | {" ".join(x.split()[:5]) for x in SENTENCES}
+    return "|".join(x.replace(".", r"\.").replace(" ", rf"[^A-Za-z0-9.+]+") for x in sorted(first, key=lambda x: (-len(x), x)))
+
+
+def cuts() -> list[tuple[str, str]]:
+    """Patterns and what replaces them, in order, in a dialect that Java and RE2 share.
+
+    A sentence ends with .;:!? before white space, unless the full stop is an abbreviation's, and with an empty line. Lines of a
+    paragraph are one text, but a sentence begins with a line that opens like a known one; and a reference that ends its
+    line before a line with a capital and a small letter ends there, if no version follows.
+    """
+    return [
+        (rf"\n{WHITE}*\n", CUT),
+        (rf"([;:]){WHITE}+", f"$1{CUT}"),
+        (rf"\b({ABBREVIATED})\.{WHITE}+", "$1., "),
+        (rf"([.!?]){WHITE}+", f"$1{CUT}"),
+        (rf"(?i)\n({WHITE}*({openings()})[^A-Za-z0-9])", f"{CUT}$1"),
+        (rf"\n({WHITE}*[Vv]ersion)", " $1"),
+        (rf"((?:[Ll]icensed|[Rr]eleased|[Dd]istributed) under [^\n,]+)\n({WHITE}*\p{{Lu}}\p{{Ll}})", f"$1{CUT}$2"),
+    ]
+
+
+#: Any holder's name stands for the copyright holder in a sentence that names one; normalised.
+HOLDER = (r"^neither the name of .{1,200} nor the names of its contributors may", "neither the name of the copyright holder nor the names of its contributors may")
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: they end with .;:!? before white space, with an empty line, and before
-    a line that begins with a capital and a small letter. a-z, 0-9, + and . stay; all else is one space."""
-    cut = F.regexp_replace(text, rf"([.;:!?]){WHITE}+", f"$1{CUT}")
-    cut = F.regexp_replace(cut, rf"\n{WHITE}*\n", CUT)
-    cut = F.regexp_replace(cut, rf"\n({WHITE}*\p{{Lu}}\p{{Ll}})", f"{CUT}$1")
+    """Normalised sentences, cut by ``cuts``: a-z, 0-9, + and . stay, all else is one space."""
+    cut = text
+    for pattern, put in cuts():
+        cut = F.regexp_replace(cut, pattern, put)
     small = F.translate(cut, CAPITALS, CAPITALS.lower())
-    return F.transform(F.split(small, CUT), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+]+", " "), r"[. ]+$", "")))
+
+    def plain(s: Column) -> Column:
+        s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+]+", " "), r"[. ]+$", "")
+        return F.regexp_replace(F.trim(s), *HOLDER)
+
+    return F.transform(F.split(small, CUT), plain)
 
 
 def license_scan(documents: DataFrame) -> DataFrame:
@@ -134,8 +184,8 @@ def license_scan(documents: DataFrame) -> DataFrame:
     their order, then those named alone in order of the text) and n_unmatched (sentences of no match).
 
     Null and empty texts, and texts without a known sentence, have 0 and empty strings. Every row
-    is scanned on its own, repeated and null doc_ids too. Other columns are not read. An empty
-    table gives no row.
+    is scanned on its own, repeated and null doc_ids too; texts of any length are scanned whole.
+    Other columns are not read. An empty table gives no row.
     """
     known = known_sentences()
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
@@ -170,13 +220,15 @@ def sql() -> str:
         names.append(f"repeat('{name} ', n{k}::INT)")
         last = f"r{k}"
     end = f"l{len(RULES)}"
+    cut = "text"
+    for pattern, put in cuts():
+        put = "' || chr(30) || '".join(put.replace("$", "\\").split(CUT))
+        cut = f"regexp_replace({cut}, '{pattern}', '{put}', 'g')"
     return rf"""
 WITH k AS (SELECT MAP {{{known}}} AS ids),
-c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{HINT}') THEN
-        regexp_replace(regexp_replace(regexp_replace(text, '([.;:!?]){WHITE}+', '\1' || chr(30), 'g'),
-          '\n{WHITE}*\n', chr(30), 'g'), '\n({WHITE}*\p{{Lu}}\p{{Ll}})', chr(30) || '\1', 'g') END AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{HINT}') THEN {cut} END AS t FROM documents),
 s AS (SELECT doc_id, list_transform(string_split(translate(coalesce(t, ''), '{CAPITALS}', '{CAPITALS.lower()}'), chr(30)),
-        lambda x: trim(regexp_replace(regexp_replace(x, '[^a-z0-9.+]+', ' ', 'g'), '[. ]+$', ''))) AS s FROM c),
+        lambda x: regexp_replace(trim(regexp_replace(regexp_replace(x, '[^a-z0-9.+]+', ' ', 'g'), '[. ]+$', '')), '{HOLDER[0]}', '{HOLDER[1]}')) AS s FROM c),
 i AS (SELECT doc_id, list_filter(list_transform(s, lambda x: ids[x]), lambda x: x IS NOT NULL) AS i FROM s, k),
 m AS (SELECT doc_id, i, coalesce(array_to_string(list_transform(i, lambda x: '<' || x || '>'), ''), '') AS l0 FROM i),
 {", ".join(steps)},

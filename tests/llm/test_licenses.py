@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pandas as pd
 from conftest import SF_DIR
@@ -25,7 +27,33 @@ ENDORSE = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission."
 )
-TEXTS = ODD + [
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies."""
+HOLDER = ENDORSE.replace("the copyright holder", "Example Corp.")
+CANONICAL = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + "3. " + HOLDER, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "Apache-2.0": APACHE, "ISC": ISC}
+
+
+def wrapped(text, width, prefix=""):
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, initial_indent=prefix, subsequent_indent=prefix)) for p in text.split("\n\n"))
+
+
+WRAPPED = [(200 + 10 * i + k, "Some code\n\n" + wrapped(text, width, prefix), "en", "a") for i, text in enumerate(CANONICAL.values()) for k, (width, prefix) in enumerate([(40, ""), (61, ""), (72, " * "), (79, "# "), (400, "")])]
+TEXTS = ODD + WRAPPED + [
+    (108, "This project is licensed under the Apache License\nVersion 2.0. Released under the MIT License\nNext line of text.", "en", "a"),
+    (109, "Words end. released under the mit license. and go on", "en", "a"),
     (100, "Some words.\n" + MIT, "en", "a"),
     (101, BSD, "en", "a"),
     (102, BSD + ENDORSE, "en", "a"),
@@ -50,6 +78,18 @@ def test_rules_match_sequences_in_order(spark):
     assert all(found[i].n_sentences == 0 for i in (1, 2, 3, 4, 5, 6, 7, 9))
 
 
+def test_canonical_texts_at_any_wrap(spark):
+    found = {r.doc_id: r for r in licenses.license_scan(odd_documents(spark, WRAPPED)).collect()}
+    for i, name in enumerate(CANONICAL):
+        for k in range(5):
+            assert (found[200 + 10 * i + k].licences, found[200 + 10 * i + k].n_unmatched) == (name, 0), (name, k, found[200 + 10 * i + k])
+
+
+def test_references_over_lines(spark):
+    found = {r.doc_id: r.licences for r in licenses.license_scan(odd_documents(spark, TEXTS)).collect()}
+    assert found[108] == "Apache-2.0 MIT" and found[109] == "MIT"
+
+
 def test_every_known_sentence_has_a_hint():
     import re
 
