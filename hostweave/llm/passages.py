@@ -122,9 +122,11 @@ def _concatenated(blobs: list[bytes], kinds: list[tuple[type, int]]) -> list[np.
 
 
 def _beside(folder: str, part: int) -> list[bytes]:
-    """What was written about a stored part."""
+    """What was written about a stored part; a part about which nothing was has no folder."""
     system, path = file_system(f"{folder}/part={part}")
     if system.get_file_info(path).type != fs.FileType.Directory:
+        if system.get_file_info(path.rpartition("/")[0]).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"{folder} is not to be found from here: name the shared folder with its scheme")
         return []
     files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
     return [b for f in files for b in pq.ParquetFile(system.open_input_file(f)).read(["blob"])["blob"].to_pylist()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -53,7 +55,8 @@ def output_folder(spark: SparkSession, label: str, path: str | None) -> str:
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or an absolute local path."""
+    """File system and path of a URI or an absolute local path; Spark's names of S3 are taken, too."""
+    uri = re.sub(r"\As3[an]://", "s3://", uri)
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
