@@ -60,10 +60,9 @@ def keep_last_per_spec(
     first = F.min_by("max_lines", place).alias("_max_lines")
     limits = specs.groupBy("node_name", F.col("name").alias("log_name")).agg(first)
     limited = lines.join(limits, LOG_KEY, "left")
-    newest_first = [F.col(c).desc() for c in order]
-    # A null limit is that of a log without specification.
-    kept = top_n_per_group(limited.filter("_max_lines IS NOT NULL"), LOG_KEY, newest_first, F.col("_max_lines"))
-    return kept.unionByName(limited.filter("_max_lines IS NULL")).select(*lines.columns)
+    # One pass: a log without specification has a limit that no row reaches.
+    most = F.coalesce(F.col("_max_lines").cast("bigint"), F.lit((1 << 63) - 1))
+    return top_n_per_group(limited, LOG_KEY, [F.col(c).desc() for c in order], most).select(*lines.columns)
 
 
 def log_line_counts(lines: DataFrame, keys: list[str] = LOG_KEY) -> DataFrame:

@@ -221,6 +221,15 @@ FROM (SELECT f.node_name, 'log' || page_id AS name, w AS path,
   LEFT JOIN inventory i ON NOT i.is_dir AND i.node_name = f.node_name AND i.path = f.w)""",
     "retention": """SELECT id, created_at FROM loglines WHERE created_at >= TIMESTAMP '2024-01-23 10:07:30'
 ORDER BY id DESC LIMIT 1500""",
+    "stored_retention": """SELECT log_name, id, created_at FROM loglines WHERE created_at::DATE >= DATE '2024-01-10'
+QUALIFY row_number() OVER (ORDER BY created_at::DATE DESC, log_path DESC, id DESC) <= 1500""",
+    "inventory_read": "SELECT node_name, path, is_dir, size, 1::BIGINT AS snapshot_id FROM inventory",
+    "inventory_files": """
+SELECT '/' || source || '/' || lang || '/' || ['.', '_', ''][doc_id % 3 + 1] || doc_id || '.txt' AS path, false AS is_dir, strlen(text)::BIGINT AS size FROM documents
+UNION ALL SELECT DISTINCT '/' || source || '/' || lang, true, NULL FROM documents
+UNION ALL SELECT DISTINCT '/' || source, true, NULL FROM documents""",
+    "json_full_list": """SELECT '{"path":"' || path || '","file_count":' || file_count || ',"dir_count":' || dir_count
+  || ',"status":"' || status || '"}' AS json FROM stats""",
     "retention_per_log": """SELECT log_name, id FROM loglines WHERE created_at >= TIMESTAMP '2024-01-10 10:07:30'
 QUALIFY row_number() OVER (PARTITION BY log_name ORDER BY id DESC) <= 100""",
     "path_counts": _COUNTS.format(kept="true"),

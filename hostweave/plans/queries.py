@@ -1,8 +1,11 @@
 """The registered queries: each operator over whole tables."""
 
 import datetime as dt
+import os
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.functions import formatting as fmt, severity as sev
@@ -20,7 +23,7 @@ from hostweave.sources.filesystems import (
     parse_mount_captures,
     read_fs_samples,
 )
-from hostweave.sources.inventory import scan_file_tree
+from hostweave.sources.inventory import read_path_inventory, scan_file_tree
 from hostweave.sources.logs import log_file_info, read_log_files
 from hostweave.sources.processes import parse_ps_captures
 from hostweave.sources.transfers import list_transfers, parse_transfer_log
@@ -303,6 +306,18 @@ def retention(b: Bindings) -> DataFrame:
     return kept.select("id", "created_at")
 
 
+@_query
+def stored_retention(b: Bindings) -> DataFrame:
+    """The stored form: whole day folders go, and only the day in which the cap ends is written again."""
+    work = fresh_dir(b.spark, "stored")
+    lines = b.log_lines(b.stream("documents")).select(
+        "node_name", "log_path", F.col("id").alias("line_offset"), "line", F.lit(None).cast("string").alias("oversize_line"), "created_at", "log_name"
+    )
+    feeds.drain(lines, sinks.append_log(f"{work}/table"), f"{work}/checkpoint")
+    sinks.retain_stored(b.spark, f"{work}/table", F.to_date(_now(NOW)), days=20, max_rows=1500)
+    return sinks.read_log_table(b.spark, f"{work}/table").select("log_name", F.col("line_offset").alias("id"), "created_at")
+
+
 @_query
 def retention_per_log(b: Bindings) -> DataFrame:
     kept = logs.retention(
@@ -428,6 +443,36 @@ def directory_sizes(b: Bindings) -> DataFrame:
     return paths.directory_sizes(b.path_inventory())
 
 
+@_query
+def inventory_read(b: Bindings) -> DataFrame:
+    folder = fresh_dir(b.spark, "inventory")
+    b.path_inventory().write.parquet(folder)
+    return read_path_inventory(b.spark, folder).select("node_name", "path", "is_dir", "size", "snapshot_id")
+
+
+def _write_files(batches):
+    """Writes each row's bytes under its path, and gives the paths."""
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist()):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as handle:
+                handle.write(data)
+        yield batch.select(["path"])
+
+
+@_query
+def inventory_files(b: Bindings) -> DataFrame:
+    """Writes a file per document, some hidden, and walks them: names, kinds and sizes."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    root = fresh_dir(b.spark, "files").removeprefix("file://")
+    hidden = F.when(F.col("doc_id") % 3 == 0, ".").when(F.col("doc_id") % 3 == 1, "_").otherwise("")
+    path = F.concat(F.lit(f"{root}/"), "source", F.lit("/"), "lang", F.lit("/"), hidden, F.col("doc_id"), F.lit(".txt"))
+    files = b.table("documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("data"))
+    files.mapInArrow(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    found = scan_file_tree(b.spark, root, "node-0", task_entries=200)
+    return found.select(F.substr("path", F.lit(len(root) + 1)).alias("path"), "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"))
+
+
 @_query
 def inventory_scan(b: Bindings) -> DataFrame:
     """Writes the documents as a directory tree and walks it."""
@@ -560,6 +605,13 @@ def json_page(b: Bindings) -> DataFrame:
 # -- transfers, schedules, fleet ---------------------------------------------------
 
 
+@_query
+def json_full_list(b: Bindings) -> DataFrame:
+    """A list without a limit: objects in order of path, and no meta."""
+    rows = paging.list_paths(b.path_stats().select("path", "file_count", "dir_count", "status"))
+    return jsonrows.to_json_rows(rows)
+
+
 @_query
 def transfer_parse(b: Bindings) -> DataFrame:
     return parse_transfer_log(b.transfer_lines(), _now(dt.datetime(1996, 1, 1)))

@@ -52,14 +52,16 @@ def append_log(base: str) -> BatchSink:
     """Appends log lines, a folder per stream, batch, day and log.
 
     Lines of a log arrived in ``STORED_ORDER``: no number has to hold it, so neither batches nor
-    positions have a limit. Rows of a day and log are gathered in one file per shuffle partition.
+    positions have a limit. Rows of a day and log are gathered by a rebalancing shuffle, which splits
+    a log with many lines over several files and leaves one of few lines one file, whatever the number of tasks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = _run_folder(batch.sparkSession, base)
         dated = batch.withColumn("created_date", F.to_date("created_at"))
         target = f"{folder}/batch_id={batch_id}"
-        dated.write.mode("overwrite").partitionBy("created_date", "log_name").parquet(target)
+        even = dated.hint("rebalance", "created_date", "log_name")
+        even.write.mode("overwrite").partitionBy("created_date", "log_name").parquet(target)
 
     return write
 
