@@ -1,9 +1,11 @@
 """File trees: counts below monitored roots, sizes, scan states."""
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from hostweave.functions.globs import any_path_element_regex
 from hostweave.operators.ranking import top_n_per_group
+from hostweave.workspace import fresh_dir
 
 SCAN_TIMEOUT_TEXT = "scan timeout exceeded"
 
@@ -132,6 +134,32 @@ def directory_sizes(inventory: DataFrame) -> DataFrame:
     )
 
 
+def rolled_up_sizes(inventory: DataFrame) -> DataFrame:
+    """Bytes and number of all files below each directory, as :func:`directory_sizes`, summed level by level.
+
+    Files are summed into their directory once; then each level, the deepest first, is added to
+    its parents. So a row is handled once for its file and once a level for its directory, instead of
+    once for every directory above each file. Levels are written to the shared folder: a plan has one level.
+    """
+    spark = inventory.sparkSession
+    work = fresh_dir(spark, "rolled-up")
+    parent = F.regexp_replace("path", r"/[^/]*\z", "")
+    files = inventory.filter(~F.col("is_dir") & F.col("path").contains("/"))
+    own = files.groupBy("node_name", parent.alias("path")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("files"))
+    own.withColumn("depth", _slashes(F.col("path"))).write.partitionBy("depth").parquet(f"{work}/own")
+    schema = own.schema
+    held = spark.read.schema(StructType([*schema.fields]).add("depth", IntegerType())).parquet(f"{work}/own")
+    deepest = held.agg(F.max("depth")).first()[0]
+    levels = []
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        rows = held.filter(F.col("depth") == depth).drop("depth")
+        if levels:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(levels[-1]).withColumn("path", parent))
+        levels.append(f"{work}/level={depth}")
+        rows.groupBy("node_name", "path").agg(F.sum("size").alias("size"), F.sum("files").alias("files")).write.parquet(levels[-1])
+    return spark.read.schema(schema).parquet(*levels) if levels else held.drop("depth")
+
+
 def largest_files(inventory: DataFrame, roots: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest files and directories below each root (``node_name, root``)."""
     files = inventory.filter(~F.col("is_dir")).select("node_name", "path", "is_dir", "size")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.functions.clock import MICROS, micros
-from hostweave.functions.globs import any_process_glob, any_process_glob_of
+from hostweave.functions.globs import any_process_glob, any_process_glob_of, process_glob_regex
 
 
 def match_any_glob(processes: DataFrame, patterns: list[str], column: str = "name") -> DataFrame:
@@ -24,6 +24,47 @@ def match_spec_globs(processes: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.filter(keep).drop("_regex")
 
 
+#: Letters of the pieces by which names and patterns meet.
+GRAM = 3
+
+
+def _folded(text: Column) -> Column:
+    """In one case as case-insensitive matching sees it; dots above go, of which a lower-case i would keep one.
+    Something stands between upper and lower, or Spark takes the one for the other."""
+    return F.translate(F.lower(F.translate(F.upper(text), "\u0307", "")), "\u0307", "")
+
+
+def match_patterns(processes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs of a distinct ``name`` and the ``pattern_id`` (pattern_id, pattern) of each pattern that matches it.
+
+    For very many patterns: a pattern is looked up by one piece, of up to ``GRAM`` letters, of its longest run of
+    plain ASCII letters and digits, which every name that it matches must hold; names are indexed by all
+    their pieces. Only pairs that share the piece are matched, each once, however many rows have
+    the name. The piece that fewest names hold is taken. Patterns without such a run are matched with every name.
+    """
+    names = processes.select("name").filter("name IS NOT NULL").distinct()
+    letters = _folded(F.col("name"))
+    at = F.sequence(F.lit(1), F.greatest(F.length(letters), F.lit(1)))
+
+    def pieces_of(length: int) -> Column:
+        return F.transform(at, lambda i: F.substr(letters, i, F.lit(length)))
+
+    pieces = [pieces_of(n) for n in range(1, GRAM + 1)]
+    index = names.select("name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces))).alias("_piece"))
+    runs = F.regexp_extract_all(F.lower("pattern"), F.lit("([a-z0-9]+)"), F.lit(1))
+    longest = F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
+    spec = patterns.filter("pattern IS NOT NULL").select("pattern_id", process_glob_regex(F.col("pattern")).alias("_regex"), longest.alias("_run"))
+    size = F.least(F.length("_run"), F.lit(GRAM))
+    own = F.when(F.length("_run") == 0, F.array(F.lit(""))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length("_run") - size + 1), lambda i: F.substr(F.col("_run"), i, size))
+    )
+    held = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
+    rarest = F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("_names"), "_piece")).alias("_best")
+    chosen = spec.withColumn("_piece", F.explode(own)).join(held, "_piece", "left").groupBy("pattern_id", "_regex").agg(rarest)
+    chosen = chosen.select("pattern_id", "_regex", F.col("_best._piece").alias("_piece"))
+    return index.join(chosen, "_piece").filter(F.rlike("name", F.col("_regex"))).select("name", "pattern_id")
+
+
 def with_previous(
     samples: DataFrame,
     keys: list[str],

@@ -140,6 +140,19 @@ class Bindings:
             "node_name", patterns.alias("patterns"), (F.col("n") * 3).cast("int").alias("top_n")
         )
 
+    def watch_patterns(self) -> DataFrame:
+        """A pattern per customer, of six shapes."""
+        key = F.col("c_custkey")
+        pattern = (
+            F.when(key % 6 == 0, _text("cLick", key % 5))
+            .when(key % 6 == 1, _text("*", key % 8, ":1]"))
+            .when(key % 6 == 2, F.lit("vi?w"))
+            .when(key % 6 == 3, F.lit("IGN"))
+            .when(key % 6 == 4, F.lit("?rr*"))
+            .otherwise(F.lit("*"))
+        )
+        return self.table("customer").select(key.alias("pattern_id"), pattern.alias("pattern"))
+
     def cpu_times(self) -> DataFrame:
         event, user = F.col("event_id"), F.col("user_id")
         return self.table("events").select(

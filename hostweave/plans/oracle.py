@@ -259,6 +259,11 @@ QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) = 1"
     ON f.node_name = b.node_name AND f.path = b.entry)
 QUALIFY row_number() OVER (PARTITION BY node_name, root ORDER BY size DESC, path) <= 3""",
     "directory_sizes": "SELECT * FROM folders",
+    "tree_sizes": "SELECT * FROM folders",
+    "proc_pattern_pairs": """
+SELECT name, c_custkey AS pattern_id FROM (SELECT DISTINCT name FROM ps), customer WHERE CASE c_custkey % 6
+  WHEN 0 THEN contains(lower(name), 'click' || (c_custkey % 5)) WHEN 1 THEN name LIKE '%' || (c_custkey % 8) || ':1]' WHEN 2 THEN name LIKE 'vi_w'
+  WHEN 3 THEN contains(lower(name), 'ign') WHEN 4 THEN name LIKE '_rr%' ELSE true END""",
     "inventory_scan": """SELECT source AS log_name, 1 + count(DISTINCT lang) AS dirs, true AS has_files
 FROM documents GROUP BY source""",
     "spec_defaults": """SELECT 'node-' || o_custkey AS node_name, o_orderkey AS idx,

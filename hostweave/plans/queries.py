@@ -211,6 +211,11 @@ def proc_state_map(b: Bindings) -> DataFrame:
     return b.table("orders").select("o_orderkey", process_state(codes).alias("state"))
 
 
+@_query
+def proc_pattern_pairs(b: Bindings) -> DataFrame:
+    return processes.match_patterns(_processes(b), b.watch_patterns())
+
+
 @_query
 def cpu_delta(b: Bindings) -> DataFrame:
     rates = processes.cpu_delta(b.cpu_times())
@@ -443,6 +448,11 @@ def directory_sizes(b: Bindings) -> DataFrame:
     return paths.directory_sizes(b.path_inventory())
 
 
+@_query
+def tree_sizes(b: Bindings) -> DataFrame:
+    return paths.rolled_up_sizes(b.path_inventory()).drop("files")
+
+
 @_query
 def inventory_read(b: Bindings) -> DataFrame:
     folder = fresh_dir(b.spark, "inventory")

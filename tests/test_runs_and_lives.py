@@ -4,7 +4,8 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import values
-from hostweave.operators.processes import lifetimes, running_count
+from hostweave.operators.paths import directory_sizes, rolled_up_sizes
+from hostweave.operators.processes import lifetimes, match_any_glob, match_patterns, running_count
 from hostweave.operators.schedule import missed_runs, runs_between
 from hostweave.operators.summary import collector_status, outages
 from hostweave.sources.crontabs import parse_crontabs
@@ -113,3 +114,25 @@ def test_first_line_by_bisection(spark, tmp_path):
     path.write_text("Mon Jan 01 00:00:00 2024 a\nMon Jan 01 00:00:05 2024 b\n")
     read = feeds.read_whole_logs(spark, f"{tmp_path}/node_name=*/log_name=*/*", startTime="2024-01-01T00:00:05")
     assert [r.line[-1] for r in read.collect()] == ["b"]
+
+
+def test_patterns_by_pieces_match_as_each_by_itself(rows):
+    names = ["java17", "Java", "nifi-1", "a", "ab", "", "KELVIN \u212a", "\u0130stanbul", "stra\u00dfe", "x.y", "long\u017f", None, "java17"]
+    patterns = ["java", "java*", "*1?", "?", "*", "k", "ist", "stra\u00dfe", "x.*", "S", "", "[a", "NIFI", "a?", None]
+    processes = rows([(n,) for n in names], "name string")
+    listed = rows(list(enumerate(patterns)), "pattern_id long, pattern string")
+    found = {(r.name, r.pattern_id) for r in match_patterns(processes, listed).collect()}
+    want = set()
+    for i, p in enumerate(patterns):
+        if p is not None:
+            want |= {(r.name, i) for r in match_any_glob(processes.filter("name IS NOT NULL"), [p]).collect()}
+    assert found == want and len(match_patterns(processes, listed).collect()) == len(found)
+
+
+def test_sizes_rolled_up_are_the_exploded_ones(rows):
+    files = [("n", "/a/b/c/d", False, 5), ("n", "/a/b/e", False, 7), ("n", "/f", False, 1), ("m", "/a/b/g", False, 2), ("n", "/a/b", True, 0), ("n", "/empty", True, 0)]
+    inventory = rows(files, "node_name string, path string, is_dir boolean, size long")
+    found = rolled_up_sizes(inventory)
+    assert values(found, "node_name", "path", "size") == values(directory_sizes(inventory), "node_name", "path", "size")
+    assert ("n", "/a", 2) in values(found, "node_name", "path", "files")
+    assert rolled_up_sizes(inventory.limit(0)).collect() == []
