@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import CLASHES, NAMES, ODD, odd_documents, result, without_repeats
 
-from hostweave.llm import passages
+from hostweave.llm import passages, tables
 from hostweave.llm.suffixes import deep_shallow
 
 
@@ -84,3 +84,20 @@ def test_pipeline_form_keeps_columns_and_whole_characters(spark):
 def test_no_documents(spark):
     assert result(passages.remove_repeats(odd_documents(spark, []))) == []
     assert result(passages.without_repeats(odd_documents(spark, [])), *NAMES[:1]) == []
+
+
+def test_a_folder_out_of_reach_is_an_error(tmp_path):
+    (tmp_path / "shared").mkdir()
+    assert passages._beside(f"file://{tmp_path}/shared", 3) == []  # nothing was written about this part
+    with pytest.raises(FileNotFoundError, match="scheme"):
+        passages._beside(f"file://{tmp_path}/elsewhere", 3)
+
+
+def test_file_system_takes_sparks_names_of_s3(monkeypatch):
+    class Named:
+        @staticmethod
+        def from_uri(uri):
+            return uri
+
+    monkeypatch.setattr(tables.fs, "FileSystem", Named)
+    assert {tables.file_system(f"{scheme}://bucket/key") for scheme in ("s3", "s3a", "s3n")} == {"s3://bucket/key"}
