@@ -15,7 +15,7 @@ from hostweave.llm import texts as tx
 
 #: Bytes of distinct pieces, about, that a Python worker remembers before it starts anew, and that it
 #: keeps for its next task: memory, not results. A piece takes its name, its ids and a slot.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 48 << 20
 SLOT_BYTES = 180
 #: Texts with white space beyond ASCII or what may be a special token are encoded whole.
 WHOLE = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
