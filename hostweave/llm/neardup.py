@@ -277,6 +277,8 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
                 held.append(batch)
         if held:
             yield from work(pa.Table.from_batches(held), first, True)
+        held.clear()
+        tx.give_back()
 
     return sorted_rows.mapInArrow(compare, FOUND)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,13 @@ PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(
 SLICE_BYTES = 2 << 20
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library hold of freed memory: a worker's next task may need none of it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def strings(column: pa.Array) -> pa.StringArray:
     """The column as strings with 32-bit offsets; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -41,7 +49,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def buffer_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
