@@ -82,8 +82,10 @@ def runs_between(jobs: DataFrame, start: dt.datetime, end: dt.datetime) -> DataF
     """
     sets, runs_on, valid = _calendar(jobs.select("schedule").distinct())
     days = _days(start.date(), (end.date() - start.date()).days + 1)
-    on_days = sets.filter(valid).withColumn("_day", F.explode(F.filter(days, runs_on)))
-    hours = on_days.withColumn("_h", F.explode("_hour")).withColumn("_m", F.explode("_minute"))
+    # Outer, as Spark would move the filter that a plain explode brings, and with it the reading of
+    # the schedule, below distinct() to every job. What has no day, hour or minute is not inside.
+    on_days = sets.withColumn("_day", F.explode_outer(F.when(valid, F.filter(days, runs_on))))
+    hours = on_days.withColumn("_h", F.explode_outer("_hour")).withColumn("_m", F.explode_outer("_minute"))
     at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("_h"), mins=F.col("_m"))
     low, high = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in (start, end))
     inside = (F.col("run_at") >= low) & (F.col("run_at") < high)
@@ -94,14 +96,18 @@ def missed_runs(expected: DataFrame, observed: DataFrame, keys: list[str], late_
     """Expected runs (keys, run_at) with ``started_at``, the first observed start (keys, started_at) of each,
     and ``outcome``: ran, late (more than ``late_s`` seconds after) or missed.
 
-    A start belongs to the last run due by then. Both sides are put in one order of time per job,
-    in which each start takes the run before it: no join on a range, and no pair of a run and a start that are not each other's.
+    A start belongs to the last run due by then. Both sides are put in one order of time per job, in which
+    a run's first start is the row after it: no join on a range, and no aggregate that holds a task's runs.
     """
-    runs = expected.select(*keys, F.col("run_at").alias("_at"), F.col("run_at").alias("_run"), F.lit(0).alias("_kind")).distinct()
-    starts = observed.filter("started_at IS NOT NULL").select(*keys, F.col("started_at").alias("_at"), F.lit(None).cast("timestamp_ntz").alias("_run"), F.lit(1).alias("_kind"))
-    due = F.last("_run", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_kind"))
-    placed = runs.unionByName(starts).withColumn("run_at", due).filter("run_at IS NOT NULL")
-    found = placed.groupBy(*keys, "run_at").agg(F.min(F.when(F.col("_kind") == 1, F.col("_at"))).alias("started_at"))
-    delay = seconds_between(F.col("run_at"), F.col("started_at"))
-    outcome = F.when(delay.isNull(), "missed").when(delay > late_s, "late").otherwise("ran")
-    return found.withColumn("outcome", outcome)
+    runs = expected.filter("run_at IS NOT NULL").select(*keys, F.col("run_at").alias("_at"), F.lit(False).alias("_start"))
+    starts = observed.filter("started_at IS NOT NULL").select(*keys, F.col("started_at").alias("_at"), F.lit(True).alias("_start"))
+    in_time = Window.partitionBy(*keys).orderBy("_at", "_start")
+    after = {"_after": F.lead("_at").over(in_time), "_started": F.lead("_start").over(in_time)}
+    at, later, started = F.col("_at"), F.col("_after"), F.col("_started")
+    last_of_equal = started.isNull() | started | (later != at)  # a run may be expected several times
+    found = runs.unionByName(starts).withColumns(after).filter(~F.col("_start") & last_of_equal)
+    delay = seconds_between(at, later)
+    outcome = F.when(delay > late_s, "late").otherwise("ran")
+    return found.select(
+        *keys, at.alias("run_at"), F.when(started, later).alias("started_at"), F.when(started, outcome).otherwise("missed").alias("outcome")
+    )

@@ -78,3 +78,10 @@ def test_filters_reach_the_scan(plan, spark, tmp_path):
 def test_parsers_are_narrow_and_split_once(plan):
     text = plan("transfer_parse")
     assert "Exchange" not in text and text.count("split(") == 1
+
+
+def test_runs_are_matched_without_an_aggregate(plan):
+    """A task would hold all its runs in one; and schedules are read once each, not once per job."""
+    text = plan("cron_missed_runs")
+    assert not re.search(r"Aggregate\([^\n]*job_id", text)
+    assert "regexp_extract" not in text[text.rindex("Aggregate(") :]

@@ -49,6 +49,20 @@ def test_missed_and_late_runs(rows):
     ]
 
 
+def test_runs_expected_twice_and_starts_at_once(rows):
+    due = rows([(1, minutes(0)), (1, minutes(0)), (1, minutes(5)), (None, minutes(1)), (None, minutes(1)), (2, None), (2, minutes(2))], "job_id int, run_at timestamp_ntz")
+    starts = rows([(1, minutes(5)), (1, minutes(5)), (1, minutes(6)), (None, minutes(1)), (2, minutes(1)), (3, minutes(1))], "job_id int, started_at timestamp_ntz")
+    assert values(missed_runs(due, starts, ["job_id"], 60)) == [
+        (1, minutes(0), None, "missed"), (1, minutes(5), minutes(5), "ran"), (2, minutes(2), None, "missed"), (None, minutes(1), minutes(1), "ran"),
+    ]
+
+
+def test_runs_between_skips_what_never_runs(rows):
+    schedules = ["0 0 1 1 *", "0 0 1 1 *", "0 0 2 1 *", "61 * * * *", "* *", "", None, "@reboot", "59 23 * * 1"]
+    jobs = rows(list(enumerate(schedules)), "job_id int, schedule string")
+    assert values(runs_between(jobs, DAY, minutes(1440)), "job_id", "run_at") == [(0, minutes(0)), (1, minutes(0)), (8, minutes(1439))]
+
+
 def test_running_count_is_that_of_one_window(rows):
     rng = random.Random(1)
     data = [(rng.choice("ab"), minutes(60 * i), rng.random() < 0.3) for i in range(200)]
