@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 
 from hostweave.llm import texts as tx
 
-#: Bytes of distinct pieces, about, that a Python worker remembers before it starts anew, and that it
-#: keeps for its next task: memory, not results. A piece takes its name, its ids and a slot.
+#: Bytes of distinct pieces, about, that a Python worker remembers before it drops those not met again, and
+#: that it keeps for its next task: memory, not results. A piece takes its name, its ids and a slot.
 REMEMBERED_BYTES = 48 << 20
 SLOT_BYTES = 180
 #: Texts with white space beyond ASCII or what may be a special token are encoded whole.
@@ -24,6 +24,11 @@ PLAIN = r"^ \p{L}+$"
 JOINED = 1000
 
 
+def _listed(texts: pa.StringArray) -> list[str]:
+    """As to_pylist(), without an Arrow scalar for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class TextEncoder:
     """Ids of texts by the tokenizers library, add_special_tokens=False.
 
@@ -60,22 +65,41 @@ class TextEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def make_room(self) -> None:
+        """Keeps the pieces met again since they were learned, or since room was last made: most new ones never are.
+        Where these alone fill half of the room, the earliest learned stay."""
+        kept = np.flatnonzero(self.again)
+        names = list(itertools.compress(self.slots, self.again.tolist()))
+        begin, length, ids = self.begin[kept], self.length[kept], self.ids
+        size = SLOT_BYTES + np.fromiter(map(len, names), np.int64, len(names)) + 4 * length
+        fit = int(np.searchsorted(np.cumsum(size), REMEMBERED_BYTES // 2, side="right"))
+        del names[fit:]
+        self.forget()
+        self.length = length[:fit]
+        self.begin = np.cumsum(self.length) - self.length
+        self.ids = ids[tx.spread(begin[:fit], self.length)]
+        self.again = np.zeros(fit, bool)
+        self.held = int(size[:fit].sum())
+        self.slots = dict(zip(names, range(fit), strict=True))
 
     def _each(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all names one after the other, and how many each has."""
         coded = [x.ids for x in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         length = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter((i for x in coded for i in x), np.uint32, int(length.sum())), length
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(length.sum())), length
 
-    def _together(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for names that match ``PLAIN``: a name ends with the id that ends its bytes or word."""
-        parts = [names[i : i + JOINED] for i in range(0, len(names), JOINED)]
+    def _together(self, names: list[str], size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for names that match ``PLAIN``, of so many bytes: a name ends with the id that ends its bytes or word."""
+        starts = range(0, len(names), JOINED)
+        parts = [names[i : i + JOINED] for i in starts]
         coded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
         ids, length = [], []
-        for part, x in zip(parts, coded, strict=True):
+        for begin, part, x in zip(starts, parts, coded, strict=True):
             flat = np.array(x.ids, np.uint32)
             size = self.size[flat]
-            wanted = np.ones(len(part), np.int64) if self.suffix else np.fromiter((len(n.encode()) for n in part), np.int64, len(part))
+            wanted = np.ones(len(part), np.int64) if self.suffix else size_of[begin : begin + JOINED]
             at, done = np.cumsum(wanted), np.cumsum(size)
             ends = np.searchsorted(done, at)
             if not len(done) or done[-1] != at[-1] or (done[ends] != at).any():
@@ -88,12 +112,14 @@ class TextEncoder:
 
     def _learn(self, new: pa.StringArray) -> None:
         plain = pc.match_substring_regex(new, PLAIN)
-        for own, encode in ((plain, self._together), (pc.invert(plain), self._each)):
-            if names := new.filter(own).to_pylist():
-                ids, length = encode(names)
+        for joined, own in ((True, plain), (False, pc.invert(plain))):
+            found = new.filter(own)
+            if names := _listed(found):
+                ids, length = self._together(names, pc.binary_length(found).to_numpy().astype(np.int64)) if joined else self._each(names)
                 self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
                 self.length = np.concatenate((self.length, length))
                 self.ids = np.concatenate((self.ids, ids))
+                self.again = np.concatenate((self.again, np.zeros(len(names), bool)))
                 self.held += SLOT_BYTES * len(names) + sum(map(len, names)) + 4 * len(ids)
                 self.slots.update(zip(names, range(len(self.slots), len(self.slots) + len(names)), strict=True))
 
@@ -120,10 +146,11 @@ class TextEncoder:
     def _by_pieces(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         pieces, bounds = tx.chunks(texts)
         code, distinct = tx.codes(pieces)
-        names = distinct.to_pylist()
+        names = _listed(distinct)
         if self.held + SLOT_BYTES * len(names) > REMEMBERED_BYTES:
-            self.forget()
+            self.make_room()
         slot = self._find(names)
+        self.again[slot[slot >= 0]] = True
         if (new := np.flatnonzero(slot < 0)).size:
             self._learn(distinct.take(pa.array(new)))
             slot[new] = self._find([names[i] for i in new.tolist()])

@@ -67,3 +67,33 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
 def test_no_documents_no_file(spark):
     files = pfor.write_token_files(odd_documents(spark, []), PATH, 0)
     assert files.count() == 0 and result(pfor.read_token_files(files)) == []
+
+
+def test_pieces_met_again_are_not_encoded_anew(monkeypatch):
+    from hostweave.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "REMEMBERED_BYTES", 400 * tokenizing.SLOT_BYTES)
+    encoder, own, learned = TextEncoder(PATH), Tokenizer.from_file(PATH), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new.to_pylist()), learn(new)))
+    often = "".join(f" of{chr(97 + i)}ten" for i in range(20)) + "\né, ü."
+    for i in range(12):
+        texts = ["", often, "".join(f" {chr(97 + i)}rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)), "x" * 50 * i]
+        ids, bounds = encoder.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == own.encode(text, add_special_tokens=False).ids
+    assert encoder.held <= 400 * tokenizing.SLOT_BYTES + 200 * 12
+    assert learned.count(" ofaten") == 1 and learned.count(" arareaa") == 1
+
+
+def test_room_is_made_when_all_pieces_are_met_again(monkeypatch):
+    from hostweave.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "REMEMBERED_BYTES", 100 * tokenizing.SLOT_BYTES)
+    encoder, own = TextEncoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(8):
+        text = "".join(f" w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90 + i // 2))
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
+        encoder.make_room()
+        assert encoder.held <= 50 * tokenizing.SLOT_BYTES and len(encoder.slots) == len(encoder.length) == len(encoder.again)
